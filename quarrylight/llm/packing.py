@@ -14,8 +14,8 @@ longer than a window. At the end of a partition the windows of a power of two,
 which need no padding, are added as transitions and positions within sentences
 as boundaries, so the tail costs little.
 
-The stream is cut into blocks of about ``BLOCK`` ids; the last windows of a
-block are carried to the next, so memory does not grow with the partition. Each
+The stream is taken in blocks of about ``BLOCK`` ids; what lies behind a block's
+last window is carried to the next, so memory does not grow with the partition. Each
 partition packs on its own: there is no shuffle, nothing meets in one task, and
 a task run again after a loss gives the same windows.
 
@@ -46,9 +46,10 @@ def padding(n: int, size: int = SIZE) -> int:
     return 0 if n & (n - 1) == 0 else size - n
 
 
-def cuts(at: np.ndarray, penalty: np.ndarray, size: int, powers: bool = False) -> list[int]:
+def cuts(at: np.ndarray, penalty: np.ndarray, size: int, powers: bool = False, more: bool = False) -> list[int]:
     """Positions of the window ends of least cost. ``at``: ascending boundaries,
-    from 0 to the end; no two neighbours are more than ``size`` apart."""
+    from 0 to the end; no two neighbours are more than ``size`` apart. ``more``:
+    the stream goes on, so the last window may end anywhere in the last ``size``."""
     x, pay = at.tolist(), penalty.tolist()
     n = len(x)
     best, back = [0.0] * n, [0] * n
@@ -73,6 +74,8 @@ def cuts(at: np.ndarray, penalty: np.ndarray, size: int, powers: bool = False) -
             queue.pop()
         queue.append((value, j))
     out, j = [], n - 1
+    if more:
+        j = min((k for k in range(n - 1, 0, -1) if x[k] >= x[-1] - size), key=best.__getitem__)
     while j:
         out.append(x[j])
         j = back[j]
@@ -114,9 +117,7 @@ def _pack(size: int, block: int):
             ids = np.concatenate([d[1] for d in open_docs])
             doc_ends = np.cumsum([len(d[1]) for d in open_docs])
             at, cost = boundaries(ids, doc_ends, size, ends, last)
-            found = cuts(at, cost, size, last)
-            if not last:  # the end of a block is no end of the stream: leave its last windows open
-                found = [c for c in found if c <= len(ids) - 8 * size]
+            found = cuts(at, cost, size, last, not last)
             rows, a, d, done = [], 0, 0, 0
             for c in found:
                 p = a

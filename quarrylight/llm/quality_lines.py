@@ -53,6 +53,16 @@ TERMINAL = r"[.!?…。！？؟।:;][\"'”’»)\]]*$"
 WORDLIKE = r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
 
 
+#: Words in windows found twice or more. Each transform(array(x), v -> ...)[0]
+#: binds v to x, so that no rewriting of the plan evaluates x for each element.
+REPEATS = """
+transform(array(q_words), w ->
+  transform(array(sort_array(transform(sequence(0, size(w) - 3, 1), i -> struct(concat(get(w, i), ' ', get(w, i + 1), ' ', get(w, i + 2)) AS g, i AS p)))), s ->
+    aggregate(sort_array(transform(filter(s, (x, i) -> x.g <=> get(s, i - 1).g OR x.g <=> get(s, i + 1).g), x -> x.p)),
+      struct(0 AS upto, 0L AS total), (a, p) -> struct(p + 3 AS upto, a.total + p + 3 - greatest(p, a.upto) AS total), a -> a.total))[0])[0]
+"""
+
+
 def _without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
@@ -79,18 +89,14 @@ def judged(docs: DataFrame) -> DataFrame:
     out = out.withColumn("q_word_chars", F.length(_without(F.col("q_text"), BLANKS)).cast("long"))
     out = out.withColumn("q_n_symbols", (F.length("q_text") - F.length(_without(F.col("q_text"), SYMBOLS))).cast("long"))
     out = out.withColumn("q_n_dup_lines", (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"))
-    grams = F.expr("CASE WHEN q_n_words >= 3 THEN transform(sequence(0, cast(q_n_words AS int) - 3), i -> struct(concat(get(q_words, i), ' ', get(q_words, i + 1), ' ', get(q_words, i + 2)) AS g, i AS p)) END")
-    out = out.withColumn("q_sorted", F.sort_array(grams))
-    out = out.withColumn("q_starts", F.expr("sort_array(transform(filter(q_sorted, (x, i) -> x.g <=> get(q_sorted, i - 1).g OR x.g <=> get(q_sorted, i + 1).g), x -> x.p))"))
-    repeats = "aggregate(q_starts, struct(0 AS upto, 0L AS total), (a, p) -> struct(p + 3 AS upto, a.total + p + 3 - greatest(p, a.upto) AS total), a -> a.total)"
-    out = out.withColumn("q_n_repeat_words", F.coalesce(F.expr(repeats), F.lit(0)).cast("long"))
+    out = out.withColumn("q_n_repeat_words", F.coalesce(F.expr(f"CASE WHEN q_n_words >= 3 THEN {REPEATS} END"), F.lit(0)).cast("long"))
     out = out.withColumn("q_base_failed", (F.col("q_n_words") < MIN_WORDS) | (100 * F.col("q_n_repeat_words") > REPEAT_PERCENT * F.col("q_n_words")))
     out = out.withColumn("q_kept_lines", F.filter("q_lines", _line_passes))
     out = out.withColumn("q_clean_text", F.array_join("q_kept_lines", "\n"))
     out = out.withColumn("q_kept_chars", F.length(_without(F.col("q_clean_text"), BLANKS)).cast("long"))
     out = out.withColumn("q_n_lines", F.size("q_lines").cast("long")).withColumn("q_n_kept_lines", F.size("q_kept_lines").cast("long"))
     out = out.withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_kept_chars") >= F.lit(LEAST) * F.col("q_word_chars")))
-    return out.drop("q_text", "q_bare", "q_words", "q_lines", "q_sorted", "q_starts", "q_kept_lines")
+    return out.drop("q_text", "q_bare", "q_words", "q_lines", "q_kept_lines")
 
 
 def quality(docs: DataFrame) -> DataFrame:

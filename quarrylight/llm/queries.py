@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylight.llm.quality_lines import SQL as QUALITY_SQL
+
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.substring_dedup import substring_dedup
@@ -14,8 +16,30 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.quality_lines import quality
+
+    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op4_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: doc_id, class_id, n_links, first."""
+    from quarrylight.llm.probminhash import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("digest")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.packing import packed
+
+    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_lines": op2_quality_lines,
+    "op4_probminhash": op4_probminhash,
+    "op9_packing": op9_packing,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_quality_lines": QUALITY_SQL}

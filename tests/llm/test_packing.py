@@ -41,7 +41,6 @@ def test_cuts_are_optimal():
             for _ in range(rng.randint(1, 14)):
                 x.append(x[-1] + rng.randint(1, size))
             pay = [0.0] + [rng.choice([0, 2, 5]) for _ in x[1:]]
-            best = [0] + [min(best_i + pay[j] + (0 if powers and (x[j] - x[i]) & (x[j] - x[i] - 1) == 0 else size - x[j] + x[i]) for i, best_i in enumerate(best) if x[j] - x[i] <= size) for j in []]
             best = [0.0]
             for j in range(1, len(x)):
                 best.append(min(best[i] + pay[j] + (0 if powers and (x[j] - x[i]) & (x[j] - x[i] - 1) == 0 else size - x[j] + x[i]) for i in range(j) if x[j] - x[i] <= size))
