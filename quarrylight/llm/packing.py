@@ -9,8 +9,8 @@ j at position x(j),
 
 so the minimum over the sliding range is kept by a monotone queue, and each
 boundary costs constant time. The penalty is nothing at a document end,
-``SENTENCE`` ids at a sentence end and ``FORCED`` where a sentence alone is
-longer than a window. At the end of a partition the windows of a power of two,
+``SENTENCE`` ids at a sentence end and ``FORCED`` within a long
+sentence. At the end of a partition the windows of a power of two,
 which need no padding, are added as transitions and positions within sentences
 as boundaries, so the tail costs little.
 
@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from quarrylight.llm.tokens import END, encode, sentence_ends
 
 SIZE, SENTENCE, FORCED, BLOCK = 2048, 2, 64, 1 << 19
+#: In a sentence of more than WIDE ids, each STEP-th position is a boundary too.
+WIDE, STEP = 512, 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -94,9 +96,9 @@ def boundaries(ids: np.ndarray, doc_ends: np.ndarray, size: int, ends: np.ndarra
     mark[doc_ends] = 2
     mark[0] = mark[n] = 2
     at = np.flatnonzero(mark)
-    wide = np.flatnonzero(np.diff(at) > size)
+    wide = np.flatnonzero(np.diff(at) > min(WIDE, size))
     if len(wide):
-        more = np.concatenate([np.arange(at[i] + size, at[i + 1], size) for i in wide])
+        more = np.concatenate([np.arange(at[i] + STEP, at[i + 1], STEP) for i in wide])
         mark[more] = 3
         at = np.flatnonzero(mark)
     cost = np.array([0, SENTENCE, 0, FORCED], np.float64)[mark[at]]
