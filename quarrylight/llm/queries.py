@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrylight.llm.mixing import SQL as MIXING_SQL
 from quarrylight.llm.quality_lines import SQL as QUALITY_SQL
 
 
@@ -35,11 +36,25 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.mixing import mix
+
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.warc import round_trip
+
+    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_lines": op2_quality_lines,
     "op4_probminhash": op4_probminhash,
     "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
+    "op6_mixing": op6_mixing,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_lines": QUALITY_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_lines": QUALITY_SQL, "op6_mixing": MIXING_SQL}
