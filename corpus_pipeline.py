@@ -1,26 +1,61 @@
-"""The corpus pipeline: quality rules, near-dedup, substring dedup, mixing and
-packing, each stage written as Parquet and reread by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet
+and reread as the next one's input.
+
+Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of ``docs``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quarrylight.llm import mixing, packing, probminhash, quality_lines, substring_dedup
+from quarrylight.llm.common import fresh_dir
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the line rules, without their failed lines."""
+    return quality_lines.cleaned(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return probminhash.deduplicated(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 50 words or more that an earlier document has."""
+    return substring_dedup.deduplicated(docs)
 
-#: Tokenisation and signatures have no SQL form; tests compare with brute force.
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows of 2048 ids."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("near-duplicates", near_duplicate_stage),
+    ("substring dedup", substring_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Signatures and tokens have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``."""
-    from quarrylight.llm.common import fresh_dir
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
+        docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = fresh_dir(spark, f"stage-{k}")
-            out.write.parquet(path)
-            out = spark.read.parquet(path)
-        docs = out
+            docs.write.parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
     return docs

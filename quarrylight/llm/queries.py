@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.llm.mixing import SQL as MIXING_SQL
 from quarrylight.llm.quality_lines import SQL as QUALITY_SQL
+from quarrylight.llm.substring_dedup import SQL as SUBSTRING_SQL
+from quarrylight.llm.topk_search import SQL as TOPK_SQL
+from quarrylight.llm.warc import SQL as WARC_SQL
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,30 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.topk_search import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.langid import predict_languages
+
+    return predict_languages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.token_rollup import rolled_up
+
+    return rolled_up(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.sharding import sharded
+
+    return sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.quality_lines import quality
 
@@ -49,12 +76,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_quality_lines": op2_quality_lines,
-    "op4_probminhash": op4_probminhash,
-    "op9_packing": op9_packing,
-    "op10_warc": op10_warc,
-    "op6_mixing": op6_mixing,
-    "op7_substring_dedup": op7_substring_dedup,
+    f.__name__: f
+    for f in (
+        op1_topk_search,
+        op2_quality_lines,
+        op3_langid,
+        op4_probminhash,
+        op5_token_rollup,
+        op6_mixing,
+        op7_substring_dedup,
+        op8_sharding,
+        op9_packing,
+        op10_warc,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_lines": QUALITY_SQL, "op6_mixing": MIXING_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_lines": QUALITY_SQL, "op6_mixing": MIXING_SQL, "op1_topk_search": TOPK_SQL, "op7_substring_dedup": SUBSTRING_SQL, "op10_warc": WARC_SQL}

@@ -206,3 +206,24 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.expr("CASE WHEN _kept IS NULL THEN n_chars ELSE length(text) END").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
+
+
+SQL = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT row_id, doc_id, i, array_to_string(list_slice(words, i, i + {LENGTH} - 1), ' ') AS g
+  FROM (SELECT row_id, doc_id, words, unnest(range(1, len(words) - {LENGTH} + 2)) AS i FROM w WHERE doc_id IS NOT NULL AND len(words) >= {LENGTH})
+), marked AS (
+  SELECT row_id, i FROM (SELECT row_id, i, doc_id, min(doc_id) OVER (PARTITION BY g) AS first_id FROM windows) WHERE first_id < doc_id
+), gone AS (
+  SELECT row_id, list(DISTINCT p) AS ps FROM (SELECT row_id, unnest(range(i, i + {LENGTH})) AS p FROM marked) GROUP BY row_id
+), kept AS (
+  SELECT w.row_id, string_agg(x.word, ' ' ORDER BY x.p) AS t, count(*) AS n
+  FROM w JOIN (SELECT row_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w) x ON w.row_id = x.row_id
+  LEFT JOIN (SELECT row_id, unnest(ps) AS p FROM gone) g ON g.row_id = x.row_id AND g.p = x.p
+  WHERE g.p IS NULL GROUP BY w.row_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (row_id)
+"""

@@ -224,3 +224,19 @@ def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     if written.isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return read_archives(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of a SHA-1 has 32 characters of five bits each.
+SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s, strlen(coalesce(html, ''))::BIGINT AS n FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY s, n) AS top FROM p
+)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform(range(0, 4), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, 5 * k + 1, 5))::BIGINT >> (15 - 5 * j)) & 31)::INTEGER + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id <> top OR (page_id IS NULL AND top IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> top OR (page_id IS NULL AND top IS NOT NULL) THEN top END AS refers_to
+FROM g
+"""
