@@ -123,6 +123,14 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame, key: str, n_keys: int,
     return joined.filter("shiftright(_bm, cast(_bh & 63 AS int)) & 1L = 1L").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def hash_sample(df: DataFrame, key: str, n_rows: int, size: int) -> DataFrame:
+    """About 1.5 ``size`` rows, cut to ``size``, by hash of ``key``. The bound is
+    met before rows move, so what reaches the driver does not grow with ``df``."""
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 40))
+    bound = (1 << 40) if n_rows <= 2 * size else int((1 << 40) * 1.5 * size / n_rows)
+    return df.withColumn("_place", place).filter(F.col("_place") < bound).orderBy("_place", key).limit(size).drop("_place")
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of text (one row at least)."""
     for batch in batches:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import staged
+from quarrylight.llm.common import hash_sample, staged
 
 K, SCALE, EVERY = 5, 256, 50
 PIVOTS, SAMPLE, ANNULI, CHUNK, BLOCK = 32, 1024, 4096, 1024, 256
@@ -181,7 +181,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIVO
     schema = "query_id long, rank int, vec_id long, score long"
     if not n:
         return spark.createDataFrame([], schema)
-    sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
+    sample = hash_sample(valid, "vec_id", n, SAMPLE).select("embedding").collect()
     dim = max(dim, 1)
     points = np.zeros((len(sample), dim))
     for i, r in enumerate(sample):
