@@ -183,6 +183,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIVO
         return spark.createDataFrame([], schema)
     sample = hash_sample(valid, "vec_id", n, SAMPLE).select("embedding").collect()
     dim = max(dim, 1)
+    sample = sample or valid.select("embedding").limit(pivots).collect()
     points = np.zeros((len(sample), dim))
     for i, r in enumerate(sample):
         points[i, : len(r[0])] = np.floor(SCALE * np.array(r[0], np.float64))
