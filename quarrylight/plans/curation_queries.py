@@ -64,11 +64,11 @@ def dedupe_against_known(spark, d):
 
 
 @query(f"""WITH k AS (SELECT doc_id, source, left({norm('text')}, 2) AS p, source || ':chunk-' || (doc_id % 3) AS sid FROM documents)
-SELECT doc_id FROM k a WHERE doc_id % 2 = 1 AND EXISTS (SELECT 1 FROM k b WHERE b.doc_id % 2 = 0 AND b.p = a.p AND b.source = a.source)""")
+SELECT doc_id FROM k a WHERE doc_id % 3 <> 0 AND EXISTS (SELECT 1 FROM k b WHERE b.doc_id % 3 = 0 AND b.p = a.p AND b.source = a.source)""")
 def dedupe_source_family(spark, d):
     """Texts already known from the same source family."""
     rows = read(spark, d, "documents").select("doc_id", F.lit("u").alias("user_id"), F.substring(t.content_key("text"), 1, 2).alias("content"), F.concat("source", F.lit(":chunk-"), (F.col("doc_id") % 3).cast("string")).alias("source_id"))
-    return c.source_family_duplicates(rows.filter("doc_id % 2 = 1"), rows.filter("doc_id % 2 = 0")).select("doc_id")
+    return c.source_family_duplicates(rows.filter("doc_id % 3 != 0"), rows.filter("doc_id % 3 = 0")).select("doc_id")
 
 
 @query("SELECT doc_id, CASE WHEN (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 10 = 0 THEN 'validation' ELSE 'train' END AS split FROM documents")
