@@ -14,7 +14,7 @@ def ask(spark, query, rows, **more):
 def test_golden_scores(spark):
     got = ask(spark, "What database does the user prefer?", [("User prefers SQLite for local apps.", [], 0.8, 0.8), ("User went hiking yesterday.", [], 0.8, 0.8)])
     assert (got["0"].score, got["1"].score) == (1.117492, 0.5725) and got["0"].rank == 1
-    got = ask(spark, "When did Melanie paint a sunrise?", [("Melanie experienced a meteor shower during a camping trip last year.", ["camping", "memory"], 0.95, 0.9), ("Melanie shared a painting of a sunrise from 2022 that holds special meaning to her.", ["painting", "locomo_speaker:Melanie", "locomo_dia_id:D1:12"], 0.9, 0.85)])
+    got = ask(spark, "When did Melanie paint a sunrise?", [("Melanie experienced a meteor shower during a camping trip last year.", ["camping", "memory"], 0.95, 0.9), ("Melanie shared a painting of a sunrise from 2022 that holds special meaning to her.", ["painting", "sample_speaker:Melanie", "sample_dia_id:D1:12"], 0.9, 0.85)])
     assert (got["0"].score, got["1"].score) == (1.08517, 1.813254) and got["1"].rank == 1
 
 
