@@ -10,10 +10,11 @@ Banding: registers in ``bands`` groups of ``rows``; texts that agree on a group
 share a bucket. In each bucket every text is compared with the bucket's hub,
 the text whose buckets are the largest in sum, so the work grows with the
 bucket, not with its square. Where a bucket still holds several classes, the
-texts concerned go through an exact prefix filter: shingles ordered by rising
-frequency, and a pair can reach the threshold only if it shares one of the
-rarest fifth. What both steps propose is verified by the exact Jaccard
-similarity of shingle sets (0.8 or more); connected texts form a class.
+texts concerned go through exact filters (see ``_rest``) that propose every pair
+that can reach the threshold and few others: rare shingles in common, for texts
+of one hub those that the hub has not. What both steps propose is verified by
+the exact Jaccard similarity of shingle sets (0.8 or more); connected texts form
+a class.
 
 Texts of equal words are one node from the start. Defined results: a text under
 five words is one shingle of all its words; texts without a word are copies of
@@ -112,7 +113,9 @@ def _one(text: str, k: int) -> np.ndarray:
     return shingles(Words(raw, np.array([0, len(raw)])).hash, k)[0]
 
 
-def _verify(k: int, threshold: float):
+def _compare(k: int):
+    """Sizes of two texts' shingle sets and of what they share."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: OrderedDict[bytes, np.ndarray] = OrderedDict()
 
@@ -125,16 +128,11 @@ def _verify(k: int, threshold: float):
 
         for batch in batches:
             a, b, s, t = (batch.column(c) for c in ("a", "b", "text_a", "text_b"))
-            keep = []
+            out = []
             for i in range(batch.num_rows):
                 x, y = of(a[i].as_py(), s[i].as_py()), of(b[i].as_py(), t[i].as_py())
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= threshold * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.record_batch([a.filter(mask), b.filter(mask)], ["a", "b"])
+                out.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+            yield pa.record_batch([a, b, *(pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], [])))], ["a", "b", "na", "nb", "shared"])
 
     return scan
 
@@ -174,6 +172,57 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = tuple(seen)
 
 
+def _meet(rows: DataFrame, key: list[str], apart: str, threshold: float) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (key, digest, comp, n) that share a key, differ in
+    ``apart`` and in comp, and are near enough in size. Of a key's holders, those
+    of its most frequent ``apart`` meet the others only."""
+    major = rows.groupBy(*key, apart).agg(F.count("*").alias("c")).groupBy(*key).agg(F.max(F.struct("c", apart)).alias("x"), F.count("*").alias("kinds"))
+    major = staged(major.filter("kinds > 1").select(*key, F.col(f"x.{apart}").alias("major")), "op4-major")
+    rows = rows.withColumn("part", F.col(apart)).join(major, key)
+    left = rows.select(*key, F.col("digest").alias("a"), F.col("comp").alias("ca"), F.col("part").alias("pa"), F.col("n").alias("na"))
+    right = rows.filter("part != major").select(*key, F.col("digest").alias("b"), F.col("comp").alias("cb"), F.col("part").alias("pb"), F.col("n").alias("nb"))
+    found = left.join(right, key).filter(f"pa != pb AND ca != cb AND na >= {threshold}D * nb AND nb >= {threshold}D * na")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _rest(own: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Pairs of different classes that may still reach ``threshold``, exactly:
+    none that can is left out. ``own``: (digest, comp, family, na, n, shared),
+    with na the shingles of the family's hub, n the text's and shared both's.
+
+    Any pair that reaches it has, with t = threshold / (1 + threshold), at least
+    t (n_i + n_j) shingles in common, so under any one order of shingles the
+    least that they share is within the first n - ceil(threshold n) + 1 of each.
+    * Of different families: the order is by rising frequency.
+    * Of one family with hub M: what they share within M is at most the smaller
+      of their overlaps with M. If that falls short, they share a shingle that M
+      has not; with those ordered first, it is within both prefixes. If not,
+      min(shared_i, shared_j) >= t (n_i + n_j), which bounds n_j from n_i and
+      shared_i, and one of the two is not linked to M."""
+    t = threshold / (1 + threshold)
+    hub_texts = texts.join(own.select(F.col("family").alias("digest")).distinct(), "digest", "left_semi")
+    hub_grams = staged(hub_texts.withColumn("comp", F.col("digest")).mapInArrow(_grams(k), "digest binary, comp binary, n long, gram long").select(F.col("digest").alias("family"), "gram", F.lit(True).alias("of_hub")), "op4-hub-grams")
+    grams = staged(texts.join(own.select("digest", "comp"), "digest").mapInArrow(_grams(k), "digest binary, comp binary, n long, gram long"), "op4-grams")
+    counts = staged(grams.groupBy("gram").agg(F.count("*").alias("df")), "op4-counts")
+    grams = grams.join(counts.filter("df > 1"), "gram", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    grams = grams.join(own.select("digest", "family"), "digest").join(hub_grams, ["family", "gram"], "left").withColumn("of_hub", F.coalesce("of_hub", F.lit(False)))
+    first = f"cast(n - ceil({threshold}D * n - 0.000001D) + 1 AS int)"
+    lists = grams.groupBy("digest", "comp", "family", "n").agg(F.collect_list(F.struct("df", "gram", "of_hub")).alias("all"))
+    rare = lists.select("digest", "comp", "family", "n", F.expr(f"slice(sort_array(all), 1, {first})").alias("across"), F.expr(f"slice(sort_array(filter(all, x -> NOT x.of_hub)), 1, {first})").alias("within"))
+    rare = staged(rare, "op4-rare")
+    keep = ["digest", "comp", "family", "n"]
+    across = rare.select(*keep, F.explode("across").alias("x")).filter("x.df > 1").select(*keep, F.col("x.gram").alias("gram"))
+    within = rare.select(*keep, F.explode("within").alias("x")).filter("x.df > 1").select(*keep, F.col("x.gram").alias("gram"))
+    one = _meet(across, ["gram"], "family", threshold)
+    two = _meet(within, ["family", "gram"], "comp", threshold)
+    stray = own.filter(f"shared IS NOT NULL AND shared < {threshold}D * (na + n - shared)")
+    low, high = f"cast(ceil({threshold}D * n - 0.000001D) AS long)", f"cast(least(floor(shared / {t}D + 0.000001D) - n, floor(n / {threshold}D)) AS long)"
+    stray = stray.filter(f"{high} >= {low}").select("family", F.col("digest").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.explode(F.expr(f"sequence({low}, {high})")).alias("n"))
+    mates = own.filter("shared IS NOT NULL").select("family", "n", F.col("digest").alias("b"), F.col("comp").alias("cb"), F.col("shared").alias("sb"))
+    three = stray.join(mates, ["family", "n"]).filter(f"ca != cb AND sb >= {t}D * (na + n) - 0.000001D").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return one.unionByName(two).unionByName(three).distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, digest (of its words, null for a
     null text), class_id, n_links (verified links of its text to others), first
@@ -187,38 +236,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     sizes = staged(flat.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "op4-sizes")
     multi = staged(flat.join(sizes, "bucket"), "op4-buckets")
     weight = multi.groupBy("digest").agg(F.sum("size").alias("weight"))
-    hubs = multi.join(weight, "digest").groupBy("bucket").agg(F.max(F.struct("weight", "digest")).alias("x")).select("bucket", F.col("x.digest").alias("hub"))
-    hubs = staged(hubs, "op4-hubs")
-    tried = staged(multi.join(hubs, "bucket").filter("hub != digest").select(F.least("hub", "digest").alias("a"), F.greatest("hub", "digest").alias("b")).distinct(), "op4-tried")
+    weighed = staged(multi.select("bucket", "digest").join(weight, "digest"), "op4-weighed")
+    hubs = staged(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "digest")).alias("hub")), "op4-hubs")
+    tried = weighed.join(hubs, "bucket").filter("hub.digest != digest").select("hub.weight", F.col("hub.digest").alias("a"), F.col("digest").alias("b"))
+    tried = staged(tried.distinct(), "op4-tried")
 
     wanted = staged(nodes.select("digest", "least").join(multi.select("digest").distinct(), "digest"), "op4-wanted")
     near = maybe_in(docs.filter("text IS NOT NULL"), "doc_id", wanted, "least", wanted.count())
     texts = staged(near.mapInArrow(_digest, "digest binary, text string").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "op4-texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
         left, right = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(left, "a").join(right, "b").mapInArrow(_verify(k, threshold), "a binary, b binary")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(k), "a binary, b binary, na long, nb long, shared long")
 
-    links = staged(verified(tried), "op4-links")
+    near_enough = f"shared >= {threshold}D * (na + nb - shared)"
+    checked = staged(compared(tried.select("a", "b")), "op4-checked")
+    links = checked.filter(near_enough).select("a", "b")
     comps = staged(components(links), "op4-comps")
     labelled = multi.select("bucket", "digest").join(comps, F.col("digest") == F.col("node"), "left").select("bucket", "digest", F.coalesce("comp", "digest").alias("comp"))
-    mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("bucket")
-    mixed = staged(mixed, "op4-mixed")
+    mixed = staged(labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("bucket"), "op4-mixed")
     open_texts = labelled.join(mixed, "bucket", "left_semi").select("digest", "comp").distinct()
-    grams = staged(texts.join(open_texts, "digest").mapInArrow(_grams(k), "digest binary, comp binary, n long, gram long"), "op4-grams")
-    counts = staged(grams.groupBy("gram").agg(F.count("*").alias("df"), (F.min("comp") != F.max("comp")).alias("split")), "op4-counts")
-    ranked = grams.join(counts, "gram").groupBy("digest", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "split"))).alias("order"))
-    rare = ranked.select("digest", "comp", "n", F.explode(F.expr(f"slice(order, 1, cast(n - ceil({threshold} * n - 0.000001) + 1 as int))")).alias("x"))
-    rare = staged(rare.filter("x.split").select("digest", "comp", "n", F.col("x.gram").alias("gram")), "op4-rare")
-    # of a shingle's holders, those of its largest class meet the others only
-    major = rare.groupBy("gram", "comp").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max(F.struct("c", "comp")).alias("x")).select("gram", F.col("x.comp").alias("major"))
-    rare = rare.join(staged(major, "op4-major"), "gram")
-    other = rare.filter("comp != major").select("gram", F.col("digest").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    more = rare.select("gram", F.col("digest").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na")).join(other, "gram")
-    more = more.filter(f"ca != cb AND na >= {threshold} * nb AND nb >= {threshold} * na")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = staged(more.join(tried, ["a", "b"], "left_anti"), "op4-more")
-    extra = staged(verified(more), "op4-extra")
+    # the family of a text: the heaviest hub that it was compared with, or itself
+    heaviest = tried.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("x")).select(F.col("b").alias("digest"), F.col("x.a").alias("family"))
+    own = open_texts.join(heaviest, "digest", "left").withColumn("family", F.coalesce("family", "digest"))
+    facts = checked.select(F.col("a").alias("family"), F.col("b").alias("digest"), "na", "nb", "shared")
+    own = staged(own.join(facts, ["digest", "family"], "left").select("digest", "comp", "family", "na", F.col("nb").alias("n"), "shared"), "op4-open")
+    more = staged(_rest(own, texts, k, threshold).join(checked.select("a", "b"), ["a", "b"], "left_anti").join(checked.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "op4-more")
+    extra = staged(compared(more).filter(near_enough).select("a", "b"), "op4-extra")
     if extra.isEmpty():
         final = comps
     else:
