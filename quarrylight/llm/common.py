@@ -44,7 +44,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     a lost executor costs no recomputation of what lies before."""
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -104,11 +104,7 @@ class CommitLog:
         return True
 
 
-def maybe_in(df: DataFrame, column: str, keys: DataFrame, key: str, n_keys: int, most_bits: int = 1 << 25) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be among ``keys[key]``: never loses a
-    member, lets a few others pass, and shuffles nothing of ``df``. A join that
-    decides exactly must follow. The bitmap has at most ``most_bits / 64`` rows
-    (512 Ki), so it may be broadcast at any input size."""
+def _flagged(df: DataFrame, column: str, keys: DataFrame, key: str, n_keys: int, most_bits: int) -> DataFrame:
     bits = 1 << 16
     while bits < most_bits and bits < 64 * max(1, n_keys):
         bits <<= 1
@@ -119,8 +115,23 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame, key: str, n_keys: int,
         .agg(F.expr("bit_or(_bm)").alias("_bm"))
     )
     found = df.withColumn("_bh", F.expr(place.format(column))).withColumn("_bw", F.expr("shiftright(_bh, 6)"))
-    joined = found.join(F.broadcast(bitmap), "_bw", "inner")
-    return joined.filter("shiftright(_bm, cast(_bh & 63 AS int)) & 1L = 1L").select(*[F.col(f"`{c}`") for c in df.columns])
+    return found.join(F.broadcast(bitmap), "_bw", "left").withColumn("_hit", F.expr("coalesce(shiftright(_bm, cast(_bh & 63 AS int)) & 1L = 1L, false)"))
+
+
+def split_by(df: DataFrame, column: str, keys: DataFrame, key: str, n_keys: int, most_bits: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
+    """(may, never): rows of ``df`` whose ``column`` may be among ``keys[key]``, and
+    those where it surely is not. A one-hash bitmap decides, so nothing of ``df``
+    is shuffled; it has at most ``most_bits / 64`` rows (512 Ki) and may be
+    broadcast at any input size. A join that decides exactly must follow for the
+    first part."""
+    flagged = _flagged(df, column, keys, key, n_keys, most_bits)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return flagged.filter("_hit").select(*columns), flagged.filter("NOT _hit").select(*columns)
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, key: str, n_keys: int, most_bits: int = 1 << 25) -> DataFrame:
+    """The first part of ``split_by``."""
+    return split_by(df, column, keys, key, n_keys, most_bits)[0]
 
 
 def hash_sample(df: DataFrame, key: str, n_rows: int, size: int) -> DataFrame:
