@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import BLANKS, maybe_in, staged, text_slices
+from quarrylight.llm.common import BLANKS, maybe_in, split_by, staged, text_slices
 from quarrylight.llm.wordhash import Words, runs, text_buffer, winnow
 
 LENGTH, SEED = 50, 25
@@ -158,10 +158,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> tuple[Da
         found.filter(f"n_words >= {length} AND doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
         .filter("first_id < last_id").select("sha", "first_id")
     )
+    copied = staged(copied, "op7-copied")
     rows = found.select("doc_id", "n_words", "sha", "anchors", "places").join(copied, "sha", "left")
     rows = staged(rows.withColumn("copy", F.expr("coalesce(doc_id > first_id, false)")).drop("first_id"), "op7-rows")
     flat = rows.filter("NOT copy AND doc_id IS NOT NULL AND size(anchors) > 0")
     shared = flat.select("doc_id", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
+    shared = staged(shared, "op7-shared")  # a join can split hot keys only of what it reads, not of an aggregate
     placed = flat.select("doc_id", "sha", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("doc_id", "sha", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
     hits = staged(placed.join(shared, "anchor").groupBy("doc_id", "sha").agg(F.collect_set("place").alias("places")), "op7-hits")
     n_hits = hits.count()
@@ -170,6 +172,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> tuple[Da
     texts = staged(near.join(hits, ["doc_id", "sha"]).dropDuplicates(["doc_id", "sha"]), "op7-texts")
     windows = staged(texts.mapInArrow(_extend(length, seed), "h1 long, h2 long, doc_id long, place int, sha binary"), "op7-windows")
     firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").select("h1", "h2", "first_id")
+    firsts = staged(firsts, "op7-firsts")
     doomed = windows.join(firsts, ["h1", "h2"]).filter("doc_id > first_id").groupBy("doc_id", "sha").agg(F.collect_list("place").alias("places"))
     cuts = texts.drop("places").join(doomed, ["doc_id", "sha"])
     cuts = cuts.mapInArrow(_cut(length), "doc_id long, sha binary, n_removed long, kept_sha256 string, spans array<array<long>>, kept_text string")
@@ -195,17 +198,20 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` and ``n_chars`` set
-    anew where there is one; rows left without a word go."""
+    anew where there is one; rows without a word go, null texts stay."""
     rows, cuts = repeats(docs, length, seed)
     cuts = staged(cuts.select("doc_id", "sha", "kept_text"), "op7-cuts")
-    plain = docs.withColumn("_sha", F.unhex(F.sha2(_joined("text"), 256)))
     changed = rows.filter("copy").select("doc_id", F.col("sha").alias("_sha"), F.lit("").alias("_kept")).distinct()
     changed = changed.unionByName(cuts.select("doc_id", F.col("sha").alias("_sha"), F.col("kept_text").alias("_kept")))
-    out = plain.join(changed, ["doc_id", "_sha"], "left")
-    out = out.withColumn("text", F.coalesce("_kept", "text")).filter(F.col("_kept").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
+    changed = staged(changed.select(F.col("doc_id").alias("_id"), "_sha", "_kept"), "op7-changed")
+    # texts that surely stay as they are take no part in the join
+    may, never = split_by(docs.withColumn("_doc", F.col("doc_id").cast("long")), "_doc", changed, "_id", changed.count())
+    may = may.withColumn("_own", F.unhex(F.sha2(_joined("text"), 256)))
+    out = may.join(changed, (may["_doc"] == changed["_id"]) & (may["_own"] == changed["_sha"]), "left")
+    out = out.withColumn("text", F.coalesce("_kept", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.expr("CASE WHEN _kept IS NULL THEN n_chars ELSE length(text) END").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return never.select(docs.columns).unionByName(out.select(docs.columns)).filter(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 SQL = rf"""
