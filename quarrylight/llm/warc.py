@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import fresh_dir, staged
+from quarrylight.llm.common import fresh_dir, hash_sample, staged
 
 MAGIC, ROLL, LEVEL = 0x184D2A5D, 16 << 20, 6
 SAMPLE, SAMPLE_BYTES, DICTIONARY, LEAST = 1000, 4096, 64 << 10, 0
@@ -196,7 +196,7 @@ def archive(pages: DataFrame, root: str, least: int = LEAST, roll: int = ROLL) -
     share = hashed.filter(F.col("n") >= least).groupBy("sha", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies"))
     share = staged(share.filter("copies > 1").select("sha", "n", "refers_to"), "op10-shared")
     plain = pages.withColumn("sha", F.sha1(body.cast("binary"))).withColumn("n", F.octet_length(body).cast("long"))
-    dictionary = train([record(r.page_id, r.url, (r.html or "").encode(), None, False)[:SAMPLE_BYTES] for r in pages.withColumn("html", F.substring("html", 1, SAMPLE_BYTES)).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect()])
+    dictionary = train([record(r.page_id, r.url, (r.html or "").encode(), None, False)[:SAMPLE_BYTES] for r in hash_sample(pages.withColumn("html", F.substring("html", 1, SAMPLE_BYTES)), "page_id", pages.count(), SAMPLE).collect()])
     n_shared = share.count()
     if n_shared:
         joined = plain.join(share, ["sha", "n"], "left")
