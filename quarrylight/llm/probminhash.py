@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import BLANKS, maybe_in, staged, text_slices
+from quarrylight.llm.common import BLANKS, maybe_in, split_by, staged, text_slices
 from quarrylight.llm.wordhash import Words, mix, runs, text_buffer
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
@@ -94,8 +94,8 @@ def _sign(k: int, bands: int, rows: int):
             null = batch.column("text").is_null().to_pylist()
             digests = [None if null[i] else hashlib.sha256(b" ".join(data[off[i] : off[i + 1]].split())).digest()[:16] for i in range(n)]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(cut, pa.array(key[some].ravel().view(np.int64)))],
-                ["doc_id", "digest", "bands"],
+                [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array([len(p[0]) for p in parts], pa.int64()), pa.ListArray.from_arrays(cut, pa.array(key[some].ravel().view(np.int64)))],
+                ["doc_id", "digest", "n", "bands"],
             )
 
     return scan
@@ -138,17 +138,20 @@ def _compare(k: int):
 
 
 def _grams(k: int):
+    """(num, gram, of_hub): a text's shingles, and whether its hub has them."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            raw, off = text_buffer(batch.column("text"))
-            words = Words(raw, off)
-            parts = [shingles(words.hash[words.off[i] : words.off[i + 1]], k)[0] for i in range(batch.num_rows)]
-            sizes = [len(p) for p in parts]
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            yield pa.record_batch(
-                [batch.column("digest").take(rows), batch.column("comp").take(rows), pa.array(np.repeat(sizes, sizes).astype(np.int64)), pa.array(np.concatenate(parts).view(np.int64))],
-                ["digest", "comp", "n", "gram"],
-            )
+        held: tuple[bytes | None, np.ndarray] = (None, np.empty(0, U))
+        for whole in batches:
+            for batch in text_slices(iter([whole]), "text"):
+                nums, out = batch.column("num").to_pylist(), []
+                for num, text, family, hub in zip(nums, batch.column("text"), batch.column("family"), batch.column("hub_text")):
+                    family = family.as_py()
+                    if held[0] != family:  # rows come sorted by family from the join
+                        held = (family, _one(hub.as_py(), k))
+                    own = _one(text.as_py(), k)
+                    out.append((np.full(len(own), num), own.view(np.int64), np.isin(own, held[1], assume_unique=True)))
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], ["num", "gram", "of_hub"])
 
     return scan
 
@@ -187,8 +190,8 @@ def _meet(rows: DataFrame, key: list[str], apart: str, threshold: float) -> Data
 
 def _rest(own: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """Pairs of different classes that may still reach ``threshold``, exactly:
-    none that can is left out. ``own``: (digest, comp, family, na, n, shared),
-    with na the shingles of the family's hub, n the text's and shared both's.
+    none that can is left out. ``own``: (digest, num, comp, family, na, n,
+    shared), with na the shingles of the family's hub, n the text's and shared both's.
 
     Any pair that reaches it has, with t = threshold / (1 + threshold), at least
     t (n_i + n_j) shingles in common, so under any one order of shingles the
@@ -200,19 +203,18 @@ def _rest(own: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFra
       min(shared_i, shared_j) >= t (n_i + n_j), which bounds n_j from n_i and
       shared_i, and one of the two is not linked to M."""
     t = threshold / (1 + threshold)
-    hub_texts = texts.join(own.select(F.col("family").alias("digest")).distinct(), "digest", "left_semi")
-    hub_grams = staged(hub_texts.withColumn("comp", F.col("digest")).mapInArrow(_grams(k), "digest binary, comp binary, n long, gram long").select(F.col("digest").alias("family"), "gram", F.lit(True).alias("of_hub")), "op4-hub-grams")
-    grams = staged(texts.join(own.select("digest", "comp"), "digest").mapInArrow(_grams(k), "digest binary, comp binary, n long, gram long"), "op4-grams")
-    counts = staged(grams.groupBy("gram").agg(F.count("*").alias("df")), "op4-counts")
-    grams = grams.join(counts.filter("df > 1"), "gram", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    grams = grams.join(own.select("digest", "family"), "digest").join(hub_grams, ["family", "gram"], "left").withColumn("of_hub", F.coalesce("of_hub", F.lit(False)))
-    first = f"cast(n - ceil({threshold}D * n - 0.000001D) + 1 AS int)"
-    lists = grams.groupBy("digest", "comp", "family", "n").agg(F.collect_list(F.struct("df", "gram", "of_hub")).alias("all"))
-    rare = lists.select("digest", "comp", "family", "n", F.expr(f"slice(sort_array(all), 1, {first})").alias("across"), F.expr(f"slice(sort_array(filter(all, x -> NOT x.of_hub)), 1, {first})").alias("within"))
-    rare = staged(rare, "op4-rare")
+    mine = texts.join(own.select("digest", "family", "num"), "digest").select("num", "family", "text")
+    hub_texts = texts.join(own.select(F.col("family").alias("digest")).distinct(), "digest", "left_semi").select(F.col("digest").alias("family"), F.col("text").alias("hub_text"))
+    grams = staged(mine.join(hub_texts, "family").mapInArrow(_grams(k), "num long, gram long, of_hub boolean"), "op4-grams")
+    counts = staged(grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "op4-counts")
+    ranked = grams.join(counts, "gram", "left").select("num", F.struct(F.coalesce("df", F.lit(1)).cast("int").alias("df"), "gram", "of_hub").alias("x"))
+    lists = ranked.groupBy("num").agg(F.sort_array(F.collect_list("x")).alias("all"))
+    first = f"cast(size(all) - ceil({threshold}D * size(all) - 0.000001D) + 1 AS int)"
+    rare = lists.select("num", F.expr(f"filter(slice(all, 1, {first}), x -> x.df > 1)").alias("across"), F.expr(f"filter(slice(filter(all, x -> NOT x.of_hub), 1, {first}), x -> x.df > 1)").alias("within"))
+    rare = staged(rare.filter("size(across) + size(within) > 0").join(own.select("num", "digest", "comp", "family", "n"), "num"), "op4-rare")
     keep = ["digest", "comp", "family", "n"]
-    across = rare.select(*keep, F.explode("across").alias("x")).filter("x.df > 1").select(*keep, F.col("x.gram").alias("gram"))
-    within = rare.select(*keep, F.explode("within").alias("x")).filter("x.df > 1").select(*keep, F.col("x.gram").alias("gram"))
+    across = rare.select(*keep, F.explode("across").alias("x")).select(*keep, F.col("x.gram").alias("gram"))
+    within = rare.select(*keep, F.explode("within").alias("x")).select(*keep, F.col("x.gram").alias("gram"))
     one = _meet(across, ["gram"], "family", threshold)
     two = _meet(within, ["family", "gram"], "comp", threshold)
     stray = own.filter(f"shared IS NOT NULL AND shared < {threshold}D * (na + n - shared)")
@@ -228,17 +230,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     null text), class_id, n_links (verified links of its text to others), first
     (whether its text is the one that stays for its class)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = staged(docs.mapInArrow(_sign(k, bands, rows), "doc_id long, digest binary, bands array<long>"), "op4-signed")
-    nodes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    signed = staged(docs.mapInArrow(_sign(k, bands, rows), "doc_id long, digest binary, n long, bands array<long>"), "op4-signed")
+    nodes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = staged(nodes, "op4-nodes")
-    flat = nodes.select("digest", F.explode("bands").alias("bucket"))
+    flat = nodes.select("digest", "n", F.explode("bands").alias("bucket"))
     # what a join takes from an aggregate is staged first: only then can the join split hot keys
     sizes = staged(flat.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "op4-sizes")
-    multi = staged(flat.join(sizes, "bucket"), "op4-buckets")
+    # most buckets hold one text; a bounded bitmap keeps those from the shuffle
+    multi = staged(maybe_in(flat, "bucket", sizes, "bucket", sizes.count()).join(sizes, "bucket"), "op4-buckets")
     weight = multi.groupBy("digest").agg(F.sum("size").alias("weight"))
-    weighed = staged(multi.select("bucket", "digest").join(weight, "digest"), "op4-weighed")
-    hubs = staged(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "digest")).alias("hub")), "op4-hubs")
-    tried = weighed.join(hubs, "bucket").filter("hub.digest != digest").select("hub.weight", F.col("hub.digest").alias("a"), F.col("digest").alias("b"))
+    weighed = staged(multi.select("bucket", "digest", "n").join(weight, "digest"), "op4-weighed")
+    hubs = staged(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "digest", "n")).alias("hub")), "op4-hubs")
+    # sizes that differ by more than the threshold allows rule a pair out; a little below it the overlap still serves
+    near_size = f"n >= {0.9 * threshold}D * hub.n AND hub.n >= {0.9 * threshold}D * n"
+    tried = weighed.join(hubs, "bucket").filter("hub.digest != digest").filter(near_size).select("hub.weight", F.col("hub.digest").alias("a"), F.col("digest").alias("b"))
     tried = staged(tried.distinct(), "op4-tried")
 
     wanted = staged(nodes.select("digest", "least").join(multi.select("digest").distinct(), "digest"), "op4-wanted")
@@ -246,8 +251,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     texts = staged(near.mapInArrow(_digest, "digest binary, text string").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "op4-texts")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        left, right = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(k), "a binary, b binary, na long, nb long, shared long")
+        some = texts.join(pairs.select(F.col("a").alias("digest")).distinct(), "digest", "left_semi")
+        left, right = some.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
+        return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_compare(k), "a binary, b binary, na long, nb long, shared long")
 
     near_enough = f"shared >= {threshold}D * (na + nb - shared)"
     checked = staged(compared(tried.select("a", "b")), "op4-checked")
@@ -260,7 +266,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     heaviest = tried.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("x")).select(F.col("b").alias("digest"), F.col("x.a").alias("family"))
     own = open_texts.join(heaviest, "digest", "left").withColumn("family", F.coalesce("family", "digest"))
     facts = checked.select(F.col("a").alias("family"), F.col("b").alias("digest"), "na", "nb", "shared")
-    own = staged(own.join(facts, ["digest", "family"], "left").select("digest", "comp", "family", "na", F.col("nb").alias("n"), "shared"), "op4-open")
+    own = own.join(facts, ["digest", "family"], "left").join(nodes.select("digest", "n"), "digest")
+    own = staged(own.select("digest", "comp", "family", "na", "n", "shared", F.monotonically_increasing_id().alias("num")), "op4-open")
     more = staged(_rest(own, texts, k, threshold).join(checked.select("a", "b"), ["a", "b"], "left_anti").join(checked.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "op4-more")
     extra = staged(compared(more).filter(near_enough).select("a", "b"), "op4-extra")
     if extra.isEmpty():
@@ -282,16 +289,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one row of each class: that of the least doc_id. Rows with
     a null text stay."""
-    classes = near_duplicates(docs, **settings)
-    stay = classes.filter("first AND (digest IS NULL OR doc_id <=> class_id)").groupBy("doc_id", "digest").agg(F.count("*").alias("_n"))
-    stay = staged(stay, "op4-stay")
-    repeated = stay.filter("_n > 1 AND digest IS NOT NULL").limit(1).count() > 0
-    stay = stay.select(F.col("doc_id").alias("_id"), F.coalesce("digest", F.lit(b"")).alias("_of"))
+    classes = staged(near_duplicates(docs, **settings).select("doc_id", "digest", F.expr("first AND (digest IS NULL OR doc_id <=> class_id)").alias("stays")), "op4-rows")
+    gone = staged(classes.filter("NOT stays").select(F.col("doc_id").alias("_id"), F.coalesce("digest", F.lit(b"")).alias("_of")).distinct(), "op4-gone")
+    repeated = classes.filter("stays AND digest IS NOT NULL").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
     words = F.regexp_replace(F.btrim("text", F.lit(BLANKS)), r"[\x20\x09-\x0D]+", " ")
     own = F.coalesce(F.unhex(F.substring(F.sha2(words, 256), 1, 32)), F.lit(b""))
-    kept = docs.withColumn("_own", own)
-    kept = kept.join(stay, kept["doc_id"].eqNullSafe(stay["_id"]) & (kept["_own"] == stay["_of"]), "left_semi")
+    # most rows surely stay; only those whose doc_id may go take part in the join
+    ids = docs.withColumn("_doc", F.col("doc_id").cast("long"))
+    may, never = split_by(ids, "_doc", gone, "_id", gone.count())
+    may = may.withColumn("_own", own)
+    may = may.join(gone, may["_doc"].eqNullSafe(gone["_id"]) & (may["_own"] == gone["_of"]), "left_anti").select(docs.columns)
+    kept = never.select(docs.columns).unionByName(may)
     if repeated:
-        known = kept.filter("text IS NOT NULL").dropDuplicates(["doc_id", "_own"])
-        kept = known.unionByName(kept.filter("text IS NULL"))
+        kept = kept.withColumn("_own", own)
+        kept = kept.filter("text IS NOT NULL").dropDuplicates(["doc_id", "_own"]).unionByName(kept.filter("text IS NULL"))
     return kept.select(docs.columns)
