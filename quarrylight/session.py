@@ -22,4 +22,16 @@ def get_session(app: str = "quarrylight", cores: int | str = "*", shuffle_partit
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return share_package(spark)
+
+
+def share_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers of this session import the package from where the
+    driver has it, whatever the working folder; for local and shared paths. Ship
+    the package with ``--py-files`` elsewhere."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
     return spark
