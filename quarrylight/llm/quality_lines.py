@@ -109,7 +109,8 @@ def quality(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents kept, without their failed lines, in the columns of ``docs``;
     a text that lost no line stays as it was, ``n_chars`` follows the text."""
-    out = judged(docs).filter("q_kept")
+    # the row number keeps the filter above the projection, which else is evaluated for both
+    out = judged(docs).withColumn("q_row", F.monotonically_increasing_id()).filter("q_kept")
     changed = F.col("q_n_kept_lines") < F.col("q_n_lines")
     columns = [F.when(changed, F.col("q_clean_text")).otherwise(F.col("text")).alias("text") if c == "text" else F.when(changed, F.length("q_clean_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*columns)
