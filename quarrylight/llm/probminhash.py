@@ -1,13 +1,15 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-Signature: each distinct run of five words, weighted by how often the text has
-it, starts a Poisson process at the rate of its weight. An arrival picks one of
-``m`` registers, which keeps the element whose arrival came first; a text's
-processes end as soon as the next arrival is later than every register. Equal
-registers of two texts estimate their probability Jaccard.
+Signature: each distinct run of five words starts a Poisson process at the rate
+of its weight. An arrival picks one of ``m`` registers, which keeps the element
+whose arrival came first; a text's processes end as soon as the next arrival is
+later than every register. Equal registers of two texts estimate their
+probability Jaccard. With equal weights that is the Jaccard similarity of the
+sets, by which classes are made. A text that has some runs more often than
+others gets a second signature, weighted by how often it has each.
 
 Banding: registers in ``bands`` groups of ``rows``; texts that agree on a group
-share a bucket. In each bucket every text is compared with the bucket's hub,
+of any signature share a bucket. In each bucket every text is compared with the bucket's hub,
 the text whose buckets are the largest in sum, so the work grows with the
 bucket, not with its square. Where a bucket still holds several classes, the
 texts concerned go through exact filters (see ``_rest``) that propose every pair
@@ -77,6 +79,15 @@ def signatures(elements: np.ndarray, weights: np.ndarray, of: np.ndarray, n: int
     return held.reshape(n, m)
 
 
+def _buckets(elements: np.ndarray, weights: np.ndarray, of: np.ndarray, n: int, bands: int, rows: int) -> np.ndarray:
+    """n x bands keys, each of a band's number and its registers."""
+    held = signatures(elements, weights, of, n, bands * rows).reshape(n, bands, rows)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=U) * U(0x9E3779B97F4A7C15), (n, bands)).copy()
+    for r in range(rows):
+        key = mix(key + held[:, :, r])
+    return key
+
+
 def _sign(k: int, bands: int, rows: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -85,16 +96,23 @@ def _sign(k: int, bands: int, rows: int):
             parts = [shingles(words.hash[words.off[i] : words.off[i + 1]], k) for i in range(n)]
             elements, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             of = np.repeat(np.arange(n), [len(p[0]) for p in parts])
-            held = signatures(elements, counts.astype(np.float64), of, n, bands * rows).reshape(n, bands, rows)
-            key = np.broadcast_to(np.arange(1, bands + 1, dtype=U) * U(0x9E3779B97F4A7C15), (n, bands)).copy()
-            for r in range(rows):
-                key = mix(key + held[:, :, r])
+            sets = _buckets(elements, np.ones(len(elements)), of, n, bands, rows)
             some = np.diff(words.off) > 0
-            cut = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
+            keys = [sets[i] if some[i] else np.empty(0, U) for i in range(n)]
+            # equal counts lead to the same registers as no counts
+            uneven = np.flatnonzero([len(p[1]) > 0 and p[1].min() < p[1].max() for p in parts])
+            if len(uneven):
+                at = np.full(n, -1)
+                at[uneven] = np.arange(len(uneven))
+                mine = at[of] >= 0
+                weighted = _buckets(elements[mine], counts[mine].astype(np.float64), at[of[mine]], len(uneven), bands, rows)
+                for i, more in zip(uneven, weighted):
+                    keys[i] = np.unique(np.concatenate([keys[i], more]))
+            cut = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             null = batch.column("text").is_null().to_pylist()
             digests = [None if null[i] else hashlib.sha256(b" ".join(data[off[i] : off[i + 1]].split())).digest()[:16] for i in range(n)]
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array([len(p[0]) for p in parts], pa.int64()), pa.ListArray.from_arrays(cut, pa.array(key[some].ravel().view(np.int64)))],
+                [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array([len(p[0]) for p in parts], pa.int64()), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(keys).view(np.int64)))],
                 ["doc_id", "digest", "n", "bands"],
             )
 
