@@ -42,7 +42,7 @@ array_to_string({s.meaningful(s.squeeze(HEAD))}, ' ') AS meaningful, array_to_st
 {FIRST} AS statement, {s.temporal_signal('text')} AS temporal FROM documents""")
 def text_functions(spark, d):
     """F1-F13, F15, F19, R5 over documents."""
-    h = F.substring("text", 1, 200)
+    h = F.col("text")
     return read(spark, d, "documents").select(
         "doc_id", F.array_join(t.tokens(h), " ").alias("tokens"), F.array_join(t.numbers(h), " ").alias("numbers"), F.array_join(t.entity_tokens(h), " ").alias("entities"), F.array_join(t.meaningful_tokens(h), " ").alias("meaningful"),
         F.array_join(t.keywords(h), " ").alias("keywords"), t.recall_key(h).alias("recall_key"), t.predicate(h).alias("predicate"), t.squeeze(h).alias("squeezed"), t.estimated_tokens("text").alias("n_tokens"), t.first_statement(h).alias("statement"), t.temporal_signal("text").alias("temporal"),
