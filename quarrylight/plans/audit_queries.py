@@ -90,7 +90,7 @@ def dataset_gate(spark, d):
 SELECT pair, count(*) AS n FROM p GROUP BY pair ORDER BY n DESC, length(pair) DESC, pair LIMIT 50""")
 def word_pairs(spark, d):
     """The fifty most frequent pairs of neighbours (a report)."""
-    return a.top_pairs(read(spark, d, "documents"), F.regexp_extract_all(F.lower(F.substring("text", 1, 300)), F.lit("[a-z0-9]+"), F.lit(0)), 50)
+    return a.top_pairs(read(spark, d, "documents"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), 50)
 
 
 @query("""WITH ev AS (SELECT conv_id AS sample, conv_id * 10 AS qid, unnest([0, 3, 99]) AS id FROM (SELECT DISTINCT conv_id FROM conversations)), mine AS (SELECT sample, qid, ev.id FROM ev JOIN conversations c ON c.conv_id = sample AND c.turn = ev.id),

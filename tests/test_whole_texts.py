@@ -43,3 +43,8 @@ def same(spark, d, name, *cuts):
 def test_text_functions(spark, tables):
     got = {r.doc_id: r for r in same(spark, tables, "text_functions", ("left(text, 200)", "text")).collect()}
     assert got[0].numbers == "2021 14" and got[0].entities == "may melanie museum"
+
+
+def test_word_pairs(spark, tables):
+    got = {r.pair: r.n for r in same(spark, tables, "word_pairs", ("left(text, 300)", "text")).collect()}
+    assert got["before noon"] == 60
