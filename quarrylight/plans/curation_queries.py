@@ -180,7 +180,7 @@ r AS (SELECT key, n, doc_id, row_number() OVER (PARTITION BY key ORDER BY doc_id
 SELECT key, n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS locations FROM r WHERE rn <= 12 GROUP BY key, n""")
 def duplicate_groups(spark, d):
     """Repeated texts and where they are."""
-    out = e.duplicate_groups(read(spark, d, "documents"), t.content_key(F.substring("text", 1, 400)), "doc_id", 1)
+    out = e.duplicate_groups(read(spark, d, "documents"), t.content_key("text"), "doc_id", 1)
     return out.select("key", "n", F.array_join(F.transform("locations", lambda x: x.cast("string")), ",").alias("locations"))
 
 

@@ -48,3 +48,8 @@ def test_text_functions(spark, tables):
 def test_word_pairs(spark, tables):
     got = {r.pair: r.n for r in same(spark, tables, "word_pairs", ("left(text, 300)", "text")).collect()}
     assert got["before noon"] == 60
+
+
+def test_duplicate_groups(spark, tables):
+    got = same(spark, tables, "duplicate_groups", ("left(text, 400)", "text"))
+    assert sorted(r.locations for r in got.collect()) == ["1,9", "2,3", "6,7"]
