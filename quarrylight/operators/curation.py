@@ -40,7 +40,7 @@ def source_family_duplicates(new: DataFrame, old: DataFrame) -> DataFrame:
     """Rows of ``new`` (user_id, content, source_id) whose normalised content
     ``old`` has from the same source family (chunk numbers aside)."""
     def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_norm", t.content_key("content")).withColumn("_family", t.base_source("source_id"))
+        return df.withColumn("_norm", F.sha2(t.content_key("content"), 256)).withColumn("_family", t.base_source("source_id"))
 
     return keyed(new).join(keyed(old).select("user_id", "_norm", "_family").distinct(), ["user_id", "_norm", "_family"], "left_semi").drop("_norm", "_family")
 

@@ -67,7 +67,7 @@ def dedupe_against_known(spark, d):
 SELECT doc_id FROM k a WHERE doc_id % 3 <> 0 AND EXISTS (SELECT 1 FROM k b WHERE b.doc_id % 3 = 0 AND b.p = a.p AND b.source = a.source)""")
 def dedupe_source_family(spark, d):
     """Texts already known from the same source family."""
-    rows = read(spark, d, "documents").select("doc_id", F.lit("u").alias("user_id"), F.substring(t.content_key("text"), 1, 2).alias("content"), F.concat("source", F.lit(":chunk-"), (F.col("doc_id") % 3).cast("string")).alias("source_id"))
+    rows = read(spark, d, "documents").select("doc_id", F.lit("u").alias("user_id"), F.col("text").alias("content"), F.concat("source", F.lit(":chunk-"), (F.col("doc_id") % 3).cast("string")).alias("source_id"))
     return c.source_family_duplicates(rows.filter("doc_id % 3 != 0"), rows.filter("doc_id % 3 = 0")).select("doc_id")
 
 
@@ -187,8 +187,9 @@ def duplicate_groups(spark, d):
 @query("""WITH o AS (SELECT lang, left(text, 3) AS opening, count(*) AS n, sum(ceil(length(text) / 4.0))::BIGINT AS tk FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, opening) AS r FROM o)
 SELECT lang, sum(n)::BIGINT AS n_rows, sum(tk)::BIGINT AS tokens, count(*) AS openings, sum(CASE WHEN r <= 3 THEN n ELSE 0 END)::DOUBLE / sum(n) AS top3_share, sum(tk)::DOUBLE / sum(n) AS avg_tokens FROM r GROUP BY lang""")
 def opening_audit(spark, d):
-    """A5 by language."""
-    return e.opening_audit(read(spark, d, "documents"), "lang", F.substring("text", 1, 3), F.ceil(F.length("text") / 4).cast("long"))
+    """A5 by language, with the first eight words as the opening."""
+    opening = t.squeeze(F.regexp_extract("text", r"^\s*\S+(?:\s+\S+){0,7}", 0))
+    return e.opening_audit(read(spark, d, "documents"), "lang", opening, F.ceil(F.length("text") / 4).cast("long"))
 
 
 @query("""WITH k AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n FROM documents)

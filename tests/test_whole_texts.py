@@ -4,6 +4,8 @@ made documents that differ only far behind their openings."""
 import duckdb
 import pytest
 
+from quarrylight.plans import sqltext as s
+from quarrylight.plans.curation_queries import norm
 from quarrylight.plans.registry import ORACLE_SQL, QUERIES
 
 OPENING = "the harbour crew painted seven wooden boats before noon " * 10
@@ -53,3 +55,14 @@ def test_word_pairs(spark, tables):
 def test_duplicate_groups(spark, tables):
     got = same(spark, tables, "duplicate_groups", ("left(text, 400)", "text"))
     assert sorted(r.locations for r in got.collect()) == ["1,9", "2,3", "6,7"]
+
+
+def test_dedupe_source_family(spark, tables):
+    got = same(spark, tables, "dedupe_source_family", (f"left({norm('text')}, 2)", norm("text")))
+    assert [r.doc_id for r in got.collect()] == [1]
+
+
+def test_opening_audit(spark, tables):
+    words = f"array_to_string(list_slice(string_split({s.squeeze('text')}, ' '), 1, 8), ' ')"
+    got = same(spark, tables, "opening_audit", ("left(text, 3)", words))
+    assert got.first().openings == 6
