@@ -157,8 +157,8 @@ SELECT doc_id, CASE WHEN len(d) = 0 THEN 'memory-anchor' ELSE array_to_string(li
 round(least(0.68::DOUBLE + CASE WHEN regexp_matches(lower(left(text, 300)), '\\b\\d{{4}}\\b|yesterday|last week|workflow|review|procedure') THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(lower(left(text, 300)), 'decision|prefer|constraint|indexable|mnemonic|recall') THEN 0.12::DOUBLE ELSE 0 END + 0.04::DOUBLE, 0.98::DOUBLE), 2) AS salience FROM u""")
 def mnemonic_keys(spark, d):
     """F42, F6, salience."""
-    h, tags = F.substring("text", 1, 300), F.array("lang")
-    return read(spark, d, "documents").select("doc_id", t.mnemonic_key(h, tags).alias("mnemonic"), t.salience(h, tags).alias("salience"))
+    tags = F.array("lang")
+    return read(spark, d, "documents").select("doc_id", t.mnemonic_key("text", tags).alias("mnemonic"), t.salience("text", tags).alias("salience"))
 
 
 @query("""SELECT conv_id, turn, key, n_steps, kind FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'review-pr' ELSE 'grounding-bar' END AS key, 2 AS n_steps, 'workflow' AS kind FROM conversations)""")

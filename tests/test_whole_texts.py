@@ -66,3 +66,8 @@ def test_opening_audit(spark, tables):
     words = f"array_to_string(list_slice(string_split({s.squeeze('text')}, ' '), 1, 8), ' ')"
     got = same(spark, tables, "opening_audit", ("left(text, 3)", words))
     assert got.first().openings == 6
+
+
+def test_mnemonic_keys(spark, tables):
+    got = {r.doc_id: float(r.salience) for r in same(spark, tables, "mnemonic_keys", ("left(text, 300)", "text")).collect()}
+    assert (got[0], got[1], got[2], got[5]) == (0.8, 0.84, 0.8, 0.72)
