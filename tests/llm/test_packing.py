@@ -10,13 +10,11 @@ from tokenizers import Tokenizer
 from quarrylight.llm import packing
 from quarrylight.llm.tokens import encode
 
-ODD = ["", "<|endoftext|> x", "a  b c\u0085d᠎e﻿f", "  lead\n\n\n tail  ", "it's IT'S we'll", "日本語テキスト😀👩‍👩‍👧", "x" * 3000, "é" * 500, "1234567 ١٢٣ ²³", "\x00\x1f\x7f"]
+ODD = ["", "<|endoftext|> x", "x<|endoftext|><|endoftext|>y  <|endoftext|>  z", "<|endoftext|", "a\n<|endoftext|>\nb", "a  b c\u0085d᠎e﻿f", "  lead\n\n\n tail  ", "it's IT'S we'll", "日本語テキスト😀👩‍👩‍👧", "x" * 3000, "é" * 500, "1234567 ١٢٣ ²³", "\x00\x1f\x7f"]
 
 
 def plain():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ids_equal_the_tokenizers_library():
@@ -32,6 +30,16 @@ def test_ids_equal_the_tokenizers_library():
     same()
 
 
+def test_long_runs_of_blanks(spark):
+    t = plain()
+    for text in ("a" + " " * 2_000_000 + "b", "\n \t" * 500_000, "x" * 200_000):
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    text = "word. " * 60_000 + " " * 1_200_000 + "end"
+    out = packing.packed(spark.createDataFrame([(1, text), (2, "<|endoftext|>")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.doc_tokens for r in out} == {1: len(t.encode(text, add_special_tokens=False).ids) + 1, 2: 2}
+    assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
+
+
 def test_cuts_are_optimal():
     rng = random.Random(0)
     for powers in (False, True):
