@@ -20,37 +20,85 @@ BLANKS = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 1 << 20
 
 
+#: Folders of staged tables that this process wrote and has not dropped.
+_LIVE: dict[str, None] = {}
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session. A private temporary folder is set only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    the session. Where that is unset, a local session gets a private folder,
+    removed at exit; any other raises, as its executors could not read one."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or ""
-    if not found:
-        own = tempfile.mkdtemp(prefix="quarrylight-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(own)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="quarrylight-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        found = f"file://{_OWN[0]}"
     return found.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quarrylight/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quarrylight/{label}-{uuid.uuid4().hex}"
+    _LIVE[path] = None
+    return path
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts lineage:
     a lost executor costs no recomputation of what lies before."""
+    return _stage(df, label)[0]
+
+
+def _stage(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = fresh_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _LIVE.pop(path, None)
+
+
+def live() -> list[str]:
+    """Folders of staged tables that this process wrote and has not dropped."""
+    return list(_LIVE)
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None, among: list[str] | None = None) -> None:
+    """Drop what this process staged (or of it those ``among``), but what ``keep``
+    reads. For callers that have written an operator's result and need its tables
+    no more."""
+    paths = [p for p in _LIVE if among is None or p in among]
+    read = keep.inputFiles() if keep is not None and paths else []
+    for path in paths:
+        if not any(f"{path.split('://', 1)[-1]}/" in f for f in read):
+            drop_path(spark, path)
+
+
+class Scratch:
+    """The staged tables of one run of an operator, dropped by name once their
+    last reader has been written. What a lazy result still reads stays until
+    ``release``."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.paths = spark, label, {}
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _stage(df, f"{self.label}-{name}")
+        self.paths.setdefault(name, []).append(path)
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            for path in self.paths.pop(name, []):
+                drop_path(self.spark, path)
 
 
 class CommitLog:

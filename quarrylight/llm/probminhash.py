@@ -18,16 +18,21 @@ of one hub those that the hub has not. What both steps propose is verified by
 the exact Jaccard similarity of shingle sets (0.8 or more); connected texts form
 a class.
 
+One measure decides: the Jaccard similarity of shingle sets. The signatures of
+sets estimate it and bound what banding may miss; those weighted by counts add
+candidates, texts that agree in what they repeat. Shingles are compared by 64
+bits (see ``wordhash``), texts by 128 bits of SHA-256.
+
 Texts of equal words are one node from the start. Defined results: a text under
 five words is one shingle of all its words; texts without a word are copies of
 each other; a null text is a class of its own; rows repeated with one doc_id
 get the same class if their words are equal; class_id is the least doc_id of
-the class (null where all are null); extra columns are ignored.
+the class (null where all are null); extra columns are ignored, whatever their
+names; a text of any length is taken whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -36,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import BLANKS, maybe_in, split_by, staged, text_slices
+from quarrylight.llm.common import BLANKS, Scratch, maybe_in, split_by, text_slices
 from quarrylight.llm.wordhash import Words, mix, runs, text_buffer
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
@@ -92,7 +97,7 @@ def _sign(k: int, bands: int, rows: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             raw, off = text_buffer(batch.column("text"))
-            words, data, n = Words(raw, off), raw.tobytes(), batch.num_rows
+            words, n = Words(raw, off, shas=True), batch.num_rows
             parts = [shingles(words.hash[words.off[i] : words.off[i + 1]], k) for i in range(n)]
             elements, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             of = np.repeat(np.arange(n), [len(p[0]) for p in parts])
@@ -110,7 +115,7 @@ def _sign(k: int, bands: int, rows: int):
                     keys[i] = np.unique(np.concatenate([keys[i], more]))
             cut = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             null = batch.column("text").is_null().to_pylist()
-            digests = [None if null[i] else hashlib.sha256(b" ".join(data[off[i] : off[i + 1]].split())).digest()[:16] for i in range(n)]
+            digests = [None if null[i] else words.shas[i][:16] for i in range(n)]
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array([len(p[0]) for p in parts], pa.int64()), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(keys).view(np.int64)))],
                 ["doc_id", "digest", "n", "bands"],
@@ -121,9 +126,8 @@ def _sign(k: int, bands: int, rows: int):
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches, "text"):
-        texts = batch.column("text").to_pylist()
-        digests = [None if t is None else hashlib.sha256(b" ".join(t.encode().split())).digest()[:16] for t in texts]
-        yield pa.record_batch([pa.array(digests, pa.binary()), batch.column("text")], ["digest", "text"])
+        shas = Words(*text_buffer(batch.column("text")), shas=True).shas
+        yield pa.record_batch([pa.array([x[:16] for x in shas], pa.binary()), batch.column("text")], ["digest", "text"])
 
 
 def _one(text: str, k: int) -> np.ndarray:
@@ -177,36 +181,39 @@ def _grams(k: int):
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): the least node reachable over ``edges``, by alternating
     large-star and small-star steps, each staged in the shared folder."""
-    now = staged(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "stars")
-    mark = None
+    scratch = Scratch(edges.sparkSession, "stars")
+    now, mark, step = scratch.stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "0"), None, 0
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = staged(both.groupBy("u").agg(F.min("v").alias("w")).withColumn("w", F.least("u", "w")), "stars-low")
+        low = scratch.stage(both.groupBy("u").agg(F.min("v").alias("w")).withColumn("w", F.least("u", "w")), "low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("w").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("w"))
         small = large.join(low, "u")
         small = small.filter("v != w").select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(low.withColumnRenamed("w", "v"))
-        now = staged(small.distinct(), "stars")
+        now = scratch.stage(small.distinct(), str(step + 1))
+        scratch.drop("low", str(step))
+        step += 1
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
         mark = tuple(seen)
 
 
-def _meet(rows: DataFrame, key: list[str], apart: str, threshold: float) -> DataFrame:
+def _meet(scratch: Scratch, rows: DataFrame, key: list[str], apart: str, threshold: float) -> DataFrame:
     """Pairs (a, b) of ``rows`` (key, digest, comp, n) that share a key, differ in
     ``apart`` and in comp, and are near enough in size. Of a key's holders, those
     of its most frequent ``apart`` meet the others only."""
     major = rows.groupBy(*key, apart).agg(F.count("*").alias("c")).groupBy(*key).agg(F.max(F.struct("c", apart)).alias("x"), F.count("*").alias("kinds"))
-    major = staged(major.filter("kinds > 1").select(*key, F.col(f"x.{apart}").alias("major")), "op4-major")
-    rows = rows.withColumn("part", F.col(apart)).join(major, key)
+    major = scratch.stage(major.filter("kinds > 1").select(*key, F.col(f"x.{apart}").alias("major")), "major")
+    # staged, so that both sides of the next join are read and a hot key is split
+    rows = scratch.stage(rows.withColumn("part", F.col(apart)).join(major, key), "meet")
     left = rows.select(*key, F.col("digest").alias("a"), F.col("comp").alias("ca"), F.col("part").alias("pa"), F.col("n").alias("na"))
     right = rows.filter("part != major").select(*key, F.col("digest").alias("b"), F.col("comp").alias("cb"), F.col("part").alias("pb"), F.col("n").alias("nb"))
     found = left.join(right, key).filter(f"pa != pb AND ca != cb AND na >= {threshold}D * nb AND nb >= {threshold}D * na")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _rest(own: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+def _rest(scratch: Scratch, own: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """Pairs of different classes that may still reach ``threshold``, exactly:
     none that can is left out. ``own``: (digest, num, comp, family, na, n,
     shared), with na the shingles of the family's hub, n the text's and shared both's.
@@ -222,19 +229,20 @@ def _rest(own: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFra
       shared_i, and one of the two is not linked to M."""
     t = threshold / (1 + threshold)
     mine = texts.join(own.select("digest", "family", "num"), "digest").select("num", "family", "text")
-    hub_texts = texts.join(own.select(F.col("family").alias("digest")).distinct(), "digest", "left_semi").select(F.col("digest").alias("family"), F.col("text").alias("hub_text"))
-    grams = staged(mine.join(hub_texts, "family").mapInArrow(_grams(k), "num long, gram long, of_hub boolean"), "op4-grams")
-    counts = staged(grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "op4-counts")
+    hub_texts = scratch.stage(texts.join(own.select(F.col("family").alias("digest")).distinct(), "digest", "left_semi").select(F.col("digest").alias("family"), F.col("text").alias("hub_text")), "hub-texts")
+    grams = scratch.stage(mine.join(hub_texts, "family").mapInArrow(_grams(k), "num long, gram long, of_hub boolean"), "grams")
+    counts = scratch.stage(grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "counts")
     ranked = grams.join(counts, "gram", "left").select("num", F.struct(F.coalesce("df", F.lit(1)).cast("int").alias("df"), "gram", "of_hub").alias("x"))
     lists = ranked.groupBy("num").agg(F.sort_array(F.collect_list("x")).alias("all"))
     first = f"cast(size(all) - ceil({threshold}D * size(all) - 0.000001D) + 1 AS int)"
     rare = lists.select("num", F.expr(f"filter(slice(all, 1, {first}), x -> x.df > 1)").alias("across"), F.expr(f"filter(slice(filter(all, x -> NOT x.of_hub), 1, {first}), x -> x.df > 1)").alias("within"))
-    rare = staged(rare.filter("size(across) + size(within) > 0").join(own.select("num", "digest", "comp", "family", "n"), "num"), "op4-rare")
+    rare = scratch.stage(rare.filter("size(across) + size(within) > 0").join(own.select("num", "digest", "comp", "family", "n"), "num"), "rare")
+    scratch.drop("hub-texts", "grams", "counts")
     keep = ["digest", "comp", "family", "n"]
     across = rare.select(*keep, F.explode("across").alias("x")).select(*keep, F.col("x.gram").alias("gram"))
     within = rare.select(*keep, F.explode("within").alias("x")).select(*keep, F.col("x.gram").alias("gram"))
-    one = _meet(across, ["gram"], "family", threshold)
-    two = _meet(within, ["family", "gram"], "comp", threshold)
+    one = _meet(scratch, across, ["gram"], "family", threshold)
+    two = _meet(scratch, within, ["family", "gram"], "comp", threshold)
     stray = own.filter(f"shared IS NOT NULL AND shared < {threshold}D * (na + n - shared)")
     low, high = f"cast(ceil({threshold}D * n - 0.000001D) AS long)", f"cast(least(floor(shared / {t}D + 0.000001D) - n, floor(n / {threshold}D)) AS long)"
     stray = stray.filter(f"{high} >= {low}").select("family", F.col("digest").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.explode(F.expr(f"sequence({low}, {high})")).alias("n"))
@@ -247,78 +255,97 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     """One row for each row of ``docs``: doc_id, digest (of its words, null for a
     null text), class_id, n_links (verified links of its text to others), first
     (whether its text is the one that stays for its class)."""
+    scratch = Scratch(docs.sparkSession, "op4")
+    stage = scratch.stage
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = staged(docs.mapInArrow(_sign(k, bands, rows), "doc_id long, digest binary, n long, bands array<long>"), "op4-signed")
-    nodes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = staged(nodes, "op4-nodes")
-    flat = nodes.select("digest", "n", F.explode("bands").alias("bucket"))
+    signed = stage(docs.mapInArrow(_sign(k, bands, rows), "doc_id long, digest binary, n long, bands array<long>"), "signed")
+    ids = stage(signed.select("doc_id", "digest"), "ids")
+    banded = stage(signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "banded")
+    scratch.drop("signed")
+    nodes = stage(banded.select("digest", "least", "n"), "nodes")
+    flat = banded.select("digest", "n", F.explode("bands").alias("bucket"))
     # what a join takes from an aggregate is staged first: only then can the join split hot keys
-    sizes = staged(flat.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "op4-sizes")
+    sizes = stage(flat.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     # most buckets hold one text; a bounded bitmap keeps those from the shuffle
-    multi = staged(maybe_in(flat, "bucket", sizes, "bucket", sizes.count()).join(sizes, "bucket"), "op4-buckets")
-    weight = multi.groupBy("digest").agg(F.sum("size").alias("weight"))
-    weighed = staged(multi.select("bucket", "digest", "n").join(weight, "digest"), "op4-weighed")
-    hubs = staged(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "digest", "n")).alias("hub")), "op4-hubs")
+    multi = stage(maybe_in(flat, "bucket", sizes, "bucket", sizes.count()).join(sizes, "bucket"), "buckets")
+    scratch.drop("banded", "sizes")
+    weight = stage(multi.groupBy("digest").agg(F.sum("size").alias("weight")), "weight")
+    weighed = stage(multi.select("bucket", "digest", "n").join(weight, "digest"), "weighed")
+    scratch.drop("buckets", "weight")
+    hubs = stage(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "digest", "n")).alias("hub")), "hubs")
     # sizes that differ by more than the threshold allows rule a pair out; a little below it the overlap still serves
     near_size = f"n >= {0.9 * threshold}D * hub.n AND hub.n >= {0.9 * threshold}D * n"
     tried = weighed.join(hubs, "bucket").filter("hub.digest != digest").filter(near_size).select("hub.weight", F.col("hub.digest").alias("a"), F.col("digest").alias("b"))
-    tried = staged(tried.distinct(), "op4-tried")
+    tried = stage(tried.distinct(), "tried")
+    scratch.drop("hubs")
 
-    wanted = staged(nodes.select("digest", "least").join(multi.select("digest").distinct(), "digest"), "op4-wanted")
+    wanted = stage(nodes.select("digest", "least").join(weighed.select("digest").distinct(), "digest"), "wanted")
     near = maybe_in(docs.filter("text IS NOT NULL"), "doc_id", wanted, "least", wanted.count())
-    texts = staged(near.mapInArrow(_digest, "digest binary, text string").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "op4-texts")
+    texts = stage(near.mapInArrow(_digest, "digest binary, text string").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "texts")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        some = texts.join(pairs.select(F.col("a").alias("digest")).distinct(), "digest", "left_semi")
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        # both sides of the join on the hub are read from tables, so that a hub of many texts is split
+        some = stage(texts.join(pairs.select(F.col("a").alias("digest")).distinct(), "digest", "left_semi"), "compared")
         left, right = some.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_compare(k), "a binary, b binary, na long, nb long, shared long")
+        found = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_compare(k), "a binary, b binary, na long, nb long, shared long")
+        found = stage(found, name)
+        scratch.drop("compared")
+        return found
 
     near_enough = f"shared >= {threshold}D * (na + nb - shared)"
-    checked = staged(compared(tried.select("a", "b")), "op4-checked")
+    checked = compared(tried.select("a", "b"), "checked")
     links = checked.filter(near_enough).select("a", "b")
-    comps = staged(components(links), "op4-comps")
-    labelled = multi.select("bucket", "digest").join(comps, F.col("digest") == F.col("node"), "left").select("bucket", "digest", F.coalesce("comp", "digest").alias("comp"))
-    mixed = staged(labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("bucket"), "op4-mixed")
+    comps = stage(components(links), "comps")
+    labelled = stage(weighed.select("bucket", "digest").join(comps, F.col("digest") == F.col("node"), "left").select("bucket", "digest", F.coalesce("comp", "digest").alias("comp")), "labelled")
+    scratch.drop("weighed", "wanted")
+    mixed = stage(labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("bucket"), "mixed")
     open_texts = labelled.join(mixed, "bucket", "left_semi").select("digest", "comp").distinct()
     # the family of a text: the heaviest hub that it was compared with, or itself
     heaviest = tried.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("x")).select(F.col("b").alias("digest"), F.col("x.a").alias("family"))
     own = open_texts.join(heaviest, "digest", "left").withColumn("family", F.coalesce("family", "digest"))
     facts = checked.select(F.col("a").alias("family"), F.col("b").alias("digest"), "na", "nb", "shared")
     own = own.join(facts, ["digest", "family"], "left").join(nodes.select("digest", "n"), "digest")
-    own = staged(own.select("digest", "comp", "family", "na", "n", "shared", F.monotonically_increasing_id().alias("num")), "op4-open")
-    more = staged(_rest(own, texts, k, threshold).join(checked.select("a", "b"), ["a", "b"], "left_anti").join(checked.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "op4-more")
-    extra = staged(compared(more).filter(near_enough).select("a", "b"), "op4-extra")
+    own = stage(own.select("digest", "comp", "family", "na", "n", "shared", F.monotonically_increasing_id().alias("num")), "open")
+    scratch.drop("labelled", "mixed", "tried")
+    more = _rest(scratch, own, texts, k, threshold).join(checked.select("a", "b"), ["a", "b"], "left_anti").join(checked.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    more = stage(more, "more")
+    scratch.drop("rare", "major", "meet", "open")
+    extra = compared(more, "extra").filter(near_enough).select("a", "b")
+    scratch.drop("texts", "more")
     if extra.isEmpty():
         final = comps
     else:
         links = links.unionByName(extra)
-        final = staged(components(links), "op4-final")
+        final = stage(components(links), "final")
     degree = links.select(F.col("a").alias("digest")).unionByName(links.select(F.col("b").alias("digest"))).groupBy("digest").agg(F.count("*").alias("n_links"))
     named = nodes.select("digest", "least").join(final, F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("comp", "digest").alias("comp"))
-    named = staged(named, "op4-named")
+    named = stage(named, "named")
     best = named.groupBy("comp").agg(F.min("least").alias("class_id"), F.min(F.struct(F.expr("least IS NULL"), "least", "digest")).alias("x")).select("comp", "class_id", F.col("x.digest").alias("stays"))
-    best = staged(best, "op4-best")
+    best = stage(best, "best")
     classes = named.join(best, "comp").join(degree, "digest", "left")
-    classes = staged(classes.select("digest", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.expr("digest = stays").alias("first")), "op4-classes")
-    out = signed.select("doc_id", "digest").join(classes, "digest", "left")
+    classes = stage(classes.select("digest", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.expr("digest = stays").alias("first")), "classes")
+    scratch.drop("named", "best", "checked", "extra", "comps", "final", "nodes")
+    out = ids.join(classes, "digest", "left")
     return out.select("doc_id", "digest", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", F.lit(True)).alias("first"))
 
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one row of each class: that of the least doc_id. Rows with
     a null text stay."""
-    classes = staged(near_duplicates(docs, **settings).select("doc_id", "digest", F.expr("first AND (digest IS NULL OR doc_id <=> class_id)").alias("stays")), "op4-rows")
-    gone = staged(classes.filter("NOT stays").select(F.col("doc_id").alias("_id"), F.coalesce("digest", F.lit(b"")).alias("_of")).distinct(), "op4-gone")
+    scratch = Scratch(docs.sparkSession, "op4")
+    classes = scratch.stage(near_duplicates(docs, **settings).select("doc_id", "digest", F.expr("first AND (digest IS NULL OR doc_id <=> class_id)").alias("stays")), "rows")
+    gone = scratch.stage(classes.filter("NOT stays").select(F.col("doc_id").alias("id"), F.coalesce("digest", F.lit(b"")).alias("of")).distinct(), "gone")
     repeated = classes.filter("stays AND digest IS NOT NULL").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() > 0
-    words = F.regexp_replace(F.btrim("text", F.lit(BLANKS)), r"[\x20\x09-\x0D]+", " ")
+    scratch.drop("rows")
+    # the columns of docs travel in one struct, so that none can clash with those of the join
+    whole = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    words = F.regexp_replace(F.btrim(F.col("row.text").cast("string"), F.lit(BLANKS)), r"[\x20\x09-\x0D]+", " ")
     own = F.coalesce(F.unhex(F.substring(F.sha2(words, 256), 1, 32)), F.lit(b""))
     # most rows surely stay; only those whose doc_id may go take part in the join
-    ids = docs.withColumn("_doc", F.col("doc_id").cast("long"))
-    may, never = split_by(ids, "_doc", gone, "_id", gone.count())
-    may = may.withColumn("_own", own)
-    may = may.join(gone, may["_doc"].eqNullSafe(gone["_id"]) & (may["_own"] == gone["_of"]), "left_anti").select(docs.columns)
-    kept = never.select(docs.columns).unionByName(may)
+    may, never = split_by(whole, "key", gone, "id", gone.count())
+    may = may.withColumn("own", own)
+    kept = never.unionByName(may.join(gone, may["key"].eqNullSafe(gone["id"]) & (may["own"] == gone["of"]), "left_anti").select("key", "row"))
     if repeated:
-        kept = kept.withColumn("_own", own)
-        kept = kept.filter("text IS NOT NULL").dropDuplicates(["doc_id", "_own"]).unionByName(kept.filter("text IS NULL"))
-    return kept.select(docs.columns)
+        kept = kept.withColumn("own", own)
+        kept = kept.filter("row.text IS NOT NULL").dropDuplicates(["key", "own"]).unionByName(kept.filter("row.text IS NULL"))
+    return kept.select("row.*")

@@ -17,7 +17,7 @@ from quarrylight.llm.warc import SQL as WARC_SQL
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.substring_dedup import substring_dedup
 
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

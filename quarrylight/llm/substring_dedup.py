@@ -2,21 +2,24 @@
 
 Seeds are winnowed anchors: of every ``length`` consecutive words at least one
 ``seed``-word run is chosen, and the choice depends only on those words, so two
-texts that share a passage of ``length`` words share an anchor inside it.
+texts that share a passage of ``length`` words share the anchors inside it.
 Anchors are joined across texts by a partially aggregated minimum and maximum
-of doc_id. Around each anchor that two texts share, the match is extended to
-both sides by testing every ``length``-word window that covers the anchor; the
-windows found in a text with a smaller doc_id merge into maximal repeats.
+of doc_id. From each anchor that two texts share the match is extended to both
+sides: every ``length``-word window that has it for its own anchor (its least
+run) is looked up among those of other texts, and the windows found in a text
+with a smaller doc_id merge into maximal repeats (``spans``). A window whose own
+anchor no other text has can't be a repeat and is never made into a row.
 
 No pair of texts is ever formed, so a passage shared by a third of all rows
 costs a row for each occurrence and window, not for each pair. Texts of equal
-words are represented by that with the smallest doc_id. Runs are compared by
-two independent 64-bit hashes.
+words are represented by that with the smallest doc_id. Windows are compared by
+128 bits, two hashes over independent word hashes (see ``wordhash``).
 
 Defined results: a null text has no words; a text under ``length`` words loses
 nothing; a row with null doc_id loses nothing and takes nothing from others;
-rows with equal doc_id never remove words from one another; extra columns are
-ignored; an empty table gives an empty result.
+rows with equal doc_id never remove words from one another, and those that also
+repeat the text have equal results; a text of any length is taken whole; extra
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,74 +32,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import BLANKS, maybe_in, split_by, staged, text_slices
-from quarrylight.llm.wordhash import Words, runs, text_buffer, winnow
+from quarrylight.llm.common import BLANKS, Scratch, maybe_in, split_by, text_slices
+from quarrylight.llm.wordhash import Words, runs, slide, text_buffer, winnow
 
 LENGTH, SEED = 50, 25
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
+def _mark(sha: bytes) -> int:
+    """A number that tells texts of one doc_id apart."""
+    return int.from_bytes(sha[:8], "big", signed=True)
+
+
+def _anchors(words: Words, length: int, seed: int) -> np.ndarray:
+    grams = runs(words.hash, seed)
+    starts = np.arange(max(0, len(words) - length + 1))
+    ends = np.repeat(words.off[1:], np.diff(words.off))
+    return winnow(grams, starts + length <= ends[: len(starts)], length - seed + 1)
+
+
 def _seeds(length: int, seed: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            raw, off = text_buffer(batch.column("text"))
-            words = Words(raw, off)
-            data = raw.tobytes()
-            counts = np.diff(words.off)
-            shas = [hashlib.sha256(b" ".join(data[off[i] : off[i + 1]].split())).digest() for i in range(len(counts))]
-            grams = runs(words.hash, seed)
-            ends = np.repeat(words.off[1:], counts)
-            starts = np.arange(max(0, len(words) - length + 1))
-            valid = starts + length <= ends[: len(starts)]
-            at = winnow(grams, valid, length - seed + 1)
-            cut = np.searchsorted(at, words.off).astype(np.int32)
+            words = Words(*text_buffer(batch.column("text")), shas=True)
+            at = _anchors(words, length, seed)
+            cut = np.searchsorted(at, words.off)
+            grams = runs(words.hash, seed)[at].view(np.int64) if len(at) else np.empty(0, np.int64)
+            places = (at - np.repeat(words.off[:-1], np.diff(cut))).astype(np.int32)
+            cut = cut.astype(np.int32)
             yield pa.record_batch(
                 [
                     batch.column("doc_id"),
-                    pa.array(counts, pa.int64()),
-                    pa.array(shas, pa.binary()),
-                    pa.ListArray.from_arrays(cut, pa.array(grams[at].view(np.int64))),
-                    pa.ListArray.from_arrays(cut, pa.array((at - np.repeat(words.off[:-1], np.diff(cut))).astype(np.int32))),
+                    pa.array([_mark(x) for x in words.shas], pa.int64()),
+                    pa.array(np.diff(words.off), pa.int64()),
+                    pa.array(words.shas, pa.binary()),
+                    pa.ListArray.from_arrays(cut, pa.array(grams)),
+                    pa.ListArray.from_arrays(cut, pa.array(places)),
                 ],
-                ["doc_id", "n_words", "sha", "anchors", "places"],
+                ["doc_id", "mark", "n_words", "sha", "anchors", "places"],
             )
 
     return scan
 
 
 def _extend(length: int, seed: int):
-    """Each window that covers a shared anchor, as two hashes."""
+    """The windows whose own anchor, their least run, is shared, as two hashes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            raw, off = text_buffer(batch.column("text"))
-            words = Words(raw, off)
-            one, two = runs(words.hash, length, 1), runs(words.hash, length, 2)
-            ids, shas, lists = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("sha"), batch.column("places")
+            words = Words(*text_buffer(batch.column("text")))
+            if len(words) < length:
+                continue
+            grams = runs(words.hash, seed)
+            least = slide(grams, length - seed + 1, np.minimum)
             at, of = [], []
             for i in range(batch.num_rows):
-                n = int(words.off[i + 1] - words.off[i]) - length + 1
-                if n <= 0:
-                    continue
-                p = lists[i].values.to_numpy()
-                step = np.zeros(n + 1, np.int32)
-                np.add.at(step, np.clip(p - (length - seed), 0, n), 1)
-                np.add.at(step, np.clip(p + 1, 0, n), -1)
-                found = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-                at.append(found + words.off[i])
-                of.append(np.full(len(found), i))
+                a, n = int(words.off[i]), int(words.off[i + 1] - words.off[i]) - length + 1
+                if n > 0:
+                    found = np.flatnonzero(np.isin(least[a : a + n], grams[a + batch.column("places")[i].values.to_numpy()]))
+                    at.append(found + a)
+                    of.append(np.full(len(found), i))
             if not at:
                 continue
             at, of = np.concatenate(at), np.concatenate(of)
+            one, two = runs(words.hash, length, 1)[at], runs(words.hash2, length, 2)[at]
             yield pa.record_batch(
                 [
-                    pa.array(one[at].view(np.int64)),
-                    pa.array(two[at].view(np.int64)),
-                    pa.array(ids[of], pa.int64()),
+                    pa.array(one.view(np.int64)),
+                    pa.array(two.view(np.int64)),
+                    *(batch.column(c).take(pa.array(of)) for c in ("doc_id", "mark")),
                     pa.array((at - words.off[of]).astype(np.int32)),
-                    shas.take(pa.array(of)),
                 ],
-                ["h1", "h2", "doc_id", "place", "sha"],
+                ["h1", "h2", "doc_id", "mark", "place"],
             )
 
     return scan
@@ -109,8 +116,7 @@ def _cut(length: int):
         for batch in text_slices(batches, "text"):
             raw, off = text_buffer(batch.column("text"))
             words = Words(raw, off)
-            data = raw.tobytes()
-            texts, spans, removed = [], [], []
+            texts, spans, removed, kept = [], [], [], []
             for i in range(batch.num_rows):
                 a, b = int(words.off[i]), int(words.off[i + 1])
                 step = np.zeros(b - a + 1, np.int32)
@@ -118,21 +124,21 @@ def _cut(length: int):
                 np.add.at(step, p, 1)
                 np.add.at(step, p + length, -1)
                 gone = np.cumsum(step[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                spans.append(edge.reshape(-1, 2).tolist())
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
+                text = _without(raw[off[i] : off[i + 1]].tobytes(), words.start[a:b] - off[i], words.end[a:b] - off[i], edge)
+                texts.append(text)
+                spans.append(edge.tolist())
                 removed.append(int(gone.sum()))
-                texts.append(_without(data[off[i] : off[i + 1]], words.start[a:b] - off[i], words.end[a:b] - off[i], edge.reshape(-1, 2)))
-            kept = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts]
+                kept.append(Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), shas=True).shas[0].hex())
             yield pa.record_batch(
                 [
-                    batch.column("doc_id"),
-                    batch.column("sha"),
+                    *(batch.column(c) for c in ("doc_id", "mark")),
                     pa.array(removed, pa.int64()),
                     pa.array(kept, pa.string()),
                     pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                     pa.array([t.decode() for t in texts], pa.string()),
                 ],
-                ["doc_id", "sha", "n_removed", "kept_sha256", "spans", "kept_text"],
+                ["doc_id", "mark", "n_removed", "kept_sha256", "spans", "kept_text"],
             )
 
     return scan
@@ -147,71 +153,89 @@ def _without(text: bytes, start: np.ndarray, end: np.ndarray, spans: np.ndarray)
     return b"".join([*parts, text[at:]])
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(rows, cuts). rows: (doc_id, n_words, sha, copy) for every input row,
-    ``copy`` where another text of the same words has a smaller doc_id. cuts:
-    (doc_id, sha, n_removed, kept_sha256, spans, kept_text) of the other texts
-    that lose words; spans are maximal repeats [from, to) in words."""
+def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> tuple[DataFrame, DataFrame, Scratch]:
+    """(rows, cuts, scratch). rows: (doc_id, mark, n_words, sha, copy) for every
+    input row, ``copy`` where another text of the same words has a smaller
+    doc_id. cuts: (doc_id, mark, n_removed, kept_sha256, spans, kept_text) of the
+    other texts that lose words; spans are maximal repeats [from, to) in words.
+    Both read tables of ``scratch``."""
+    scratch = Scratch(docs.sparkSession, "op7")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = staged(docs.mapInArrow(_seeds(length, seed), "doc_id long, n_words long, sha binary, anchors array<long>, places array<int>"), "op7-seeds")
-    copied = (
-        found.filter(f"n_words >= {length} AND doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-        .filter("first_id < last_id").select("sha", "first_id")
-    )
-    copied = staged(copied, "op7-copied")
-    rows = found.select("doc_id", "n_words", "sha", "anchors", "places").join(copied, "sha", "left")
-    rows = staged(rows.withColumn("copy", F.expr("coalesce(doc_id > first_id, false)")).drop("first_id"), "op7-rows")
-    flat = rows.filter("NOT copy AND doc_id IS NOT NULL AND size(anchors) > 0")
+    found = scratch.stage(docs.mapInArrow(_seeds(length, seed), "doc_id long, mark long, n_words long, sha binary, anchors array<long>, places array<int>"), "seeds")
+    copied = found.filter(f"n_words >= {length} AND doc_id IS NOT NULL").groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    copied = scratch.stage(copied.filter("first_id < last_id").select("sha", "first_id"), "copied")
+    # most texts have no copy; a bounded bitmap keeps them and their anchors from the shuffle
+    may, never = split_by(found, "sha", copied, "sha", copied.count())
+    marked = may.join(copied, "sha", "left").withColumn("copy", F.expr("coalesce(doc_id > first_id, false)")).select(*found.columns, "copy")
+    marked = scratch.stage(marked, "marked")
+    flat = never.unionByName(marked.filter("NOT copy").drop("copy")).filter("doc_id IS NOT NULL AND size(anchors) > 0")
     shared = flat.select("doc_id", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
-    shared = staged(shared, "op7-shared")  # a join can split hot keys only of what it reads, not of an aggregate
-    placed = flat.select("doc_id", "sha", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("doc_id", "sha", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
-    hits = staged(placed.join(shared, "anchor").groupBy("doc_id", "sha").agg(F.collect_set("place").alias("places")), "op7-hits")
-    n_hits = hits.count()
-    near = maybe_in(docs, "doc_id", hits, "doc_id", n_hits)
-    near = near.withColumn("sha", F.unhex(F.sha2(_joined("text"), 256)))
-    texts = staged(near.join(hits, ["doc_id", "sha"]).dropDuplicates(["doc_id", "sha"]), "op7-texts")
-    windows = staged(texts.mapInArrow(_extend(length, seed), "h1 long, h2 long, doc_id long, place int, sha binary"), "op7-windows")
+    shared = scratch.stage(shared, "shared")  # a join can split hot keys only of what it reads, not of an aggregate
+    placed = flat.select("doc_id", "mark", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("doc_id", "mark", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
+    placed = maybe_in(placed, "anchor", shared, "anchor", shared.count())
+    hits = scratch.stage(placed.join(shared, "anchor").groupBy("doc_id", "mark").agg(F.collect_list("place").alias("places")), "hits")
+    scratch.drop("shared")
+    near = maybe_in(docs, "doc_id", hits, "doc_id", hits.count()).withColumn("mark", _mark_of("text"))
+    texts = scratch.stage(near.join(hits, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]), "texts")
+    scratch.drop("hits")
+    windows = scratch.stage(texts.mapInArrow(_extend(length, seed), "h1 long, h2 long, doc_id long, mark long, place int"), "windows")
     firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").select("h1", "h2", "first_id")
-    firsts = staged(firsts, "op7-firsts")
-    doomed = windows.join(firsts, ["h1", "h2"]).filter("doc_id > first_id").groupBy("doc_id", "sha").agg(F.collect_list("place").alias("places"))
-    cuts = texts.drop("places").join(doomed, ["doc_id", "sha"])
-    cuts = cuts.mapInArrow(_cut(length), "doc_id long, sha binary, n_removed long, kept_sha256 string, spans array<array<long>>, kept_text string")
-    return rows.select("doc_id", "n_words", "sha", "copy"), cuts
+    firsts = scratch.stage(firsts, "firsts")
+    doomed = windows.join(firsts, ["h1", "h2"]).filter("doc_id > first_id").groupBy("doc_id", "mark").agg(F.collect_list("place").alias("places"))
+    doomed = scratch.stage(doomed, "doomed")
+    scratch.drop("windows", "firsts")
+    cuts = texts.drop("places").join(doomed, ["doc_id", "mark"]).mapInArrow(_cut(length), "doc_id long, mark long, n_removed long, kept_sha256 string, spans array<array<long>>, kept_text string")
+    rows = never.withColumn("copy", F.lit(False)).unionByName(marked).select("doc_id", "mark", "n_words", "sha", "copy")
+    return rows, cuts, scratch
 
 
-def _joined(column: str):
-    """Words of a text joined by one space."""
-    return F.regexp_replace(F.btrim(F.coalesce(F.col(column), F.lit("")), F.lit(BLANKS)), r"[\x20\x09-\x0D]+", " ")
+def _mark_of(column: str):
+    """``_mark`` of a text's words joined by one space."""
+    words = F.regexp_replace(F.btrim(F.coalesce(F.col(column), F.lit("")), F.lit(BLANKS)), r"[\x20\x09-\x0D]+", " ")
+    return F.conv(F.substring(F.sha2(words, 256), 1, 16), 16, -10).cast("long")
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256."""
-    rows, cuts = repeats(docs, length, seed)
-    out = rows.join(cuts.select("doc_id", "sha", "n_removed", "kept_sha256"), ["doc_id", "sha"], "left")
-    return out.select(
+    """One row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256,
+    and spans, the maximal repeats removed, as [from, to) in words."""
+    rows, cuts, scratch = repeats(docs, length, seed)
+    cuts = scratch.stage(cuts.drop("kept_text"), "cuts")
+    scratch.drop("texts", "doomed")
+    whole = F.array(F.array(F.lit(0).cast("long"), F.col("n_words")))
+    return rows.join(cuts, ["doc_id", "mark"], "left").select(
         "doc_id",
         "n_words",
         F.expr("CASE WHEN copy THEN n_words ELSE coalesce(n_removed, 0L) END").alias("n_removed"),
         F.expr(f"CASE WHEN copy THEN '{EMPTY}' ELSE coalesce(kept_sha256, lower(hex(sha))) END").alias("kept_sha256"),
+        F.when(F.col("copy"), whole).otherwise(F.coalesce("spans", F.array().cast("array<array<long>>"))).alias("spans"),
     )
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` and ``n_chars`` set
     anew where there is one; rows without a word go, null texts stay."""
-    rows, cuts = repeats(docs, length, seed)
-    cuts = staged(cuts.select("doc_id", "sha", "kept_text"), "op7-cuts")
-    changed = rows.filter("copy").select("doc_id", F.col("sha").alias("_sha"), F.lit("").alias("_kept")).distinct()
-    changed = changed.unionByName(cuts.select("doc_id", F.col("sha").alias("_sha"), F.col("kept_text").alias("_kept")))
-    changed = staged(changed.select(F.col("doc_id").alias("_id"), "_sha", "_kept"), "op7-changed")
-    # texts that surely stay as they are take no part in the join
-    may, never = split_by(docs.withColumn("_doc", F.col("doc_id").cast("long")), "_doc", changed, "_id", changed.count())
-    may = may.withColumn("_own", F.unhex(F.sha2(_joined("text"), 256)))
-    out = may.join(changed, (may["_doc"] == changed["_id"]) & (may["_own"] == changed["_sha"]), "left")
-    out = out.withColumn("text", F.coalesce("_kept", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.expr("CASE WHEN _kept IS NULL THEN n_chars ELSE length(text) END").cast(docs.schema["n_chars"].dataType))
-    return never.select(docs.columns).unionByName(out.select(docs.columns)).filter(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    rows, cuts, scratch = repeats(docs, length, seed)
+    cuts = scratch.stage(cuts.select("doc_id", "mark", "kept_text"), "cuts")
+    scratch.drop("texts", "doomed")
+    changed = rows.filter("copy").select("doc_id", "mark", F.lit("").alias("kept_text")).distinct().unionByName(cuts)
+    changed = scratch.stage(changed.select(F.col("doc_id").alias("id"), F.col("mark").alias("of"), F.col("kept_text").alias("kept")), "changed")
+    scratch.drop("cuts", "marked", "copied", "seeds")
+    # texts that surely stay as they are take no part in the join; the columns of
+    # docs travel in one struct, so that none can clash with those of the join
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    may, never = split_by(whole, "id", changed, "id", changed.count())
+    may = may.withColumn("of", _mark_of("row.text"))
+    kept = may.join(changed, ["id", "of"], "left").select("row", "kept")
+    out = kept.unionByName(never.select("row", F.lit(None).cast("string").alias("kept")))
+    columns = []
+    for f in docs.schema:
+        own = F.col("row").getField(f.name)
+        if f.name == "text":
+            own = F.coalesce(F.col("kept"), own)
+        elif f.name == "n_chars":
+            own = F.when(F.col("kept").isNull(), own).otherwise(F.length("kept").cast(f.dataType))
+        columns.append(own.alias(f.name))
+    return out.select(*columns).filter(F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 SQL = rf"""

@@ -83,6 +83,32 @@ def test_copies_that_repeat_a_line(spark):
     assert sorted((r.doc_id, r.class_id) for r in got) == brute(rows) == [(d, d - d % 2) for d in range(60)]
 
 
+def test_one_word_a_thousand_times_and_thue_morse(spark):
+    """Set Jaccard 0.975 and more, probability Jaccard near nothing; and two
+    wholly different texts of words whose polynomial hashes are equal."""
+    rng = random.Random(4)
+    rows = []
+    for d in range(0, 80, 2):
+        words = [f"v{rng.randrange(9000)}" for _ in range(200)]
+        rows += [(d, " ".join(words)), (d + 1, " ".join(words + ["again"] * 1000))]
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows += [(90, " ".join(f"{one}{i}" for i in range(20))), (91, " ".join(f"{two}{i}" for i in range(20)))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == brute(rows) == [(d, d - d % 2) for d in range(80)] + [(90, 90), (91, 91)]
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = made(5)[:30]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(3) for c in ("id", "of", "own", "key", "row", "_doc", "_bw", "_hit", "first")})
+    kept = deduplicated(df)
+    assert kept.columns == df.columns
+    out = kept.collect()
+    assert {r.doc_id for r in out} == {c for _, c in brute(rows)} and all(r["key"] == r["row"] == 3 for r in out)
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(empty).collect() == [] and deduplicated(empty).collect() == []

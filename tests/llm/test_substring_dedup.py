@@ -54,8 +54,51 @@ def test_equals_brute_force(spark, seed):
     from pyspark.sql import functions as F
 
     df = df.withColumns({"places": F.lit(1), "anchor": F.lit("x"), "sha": F.lit(2)})
-    got = sorted(map(tuple, substring_dedup(df).collect()), key=str)
+    found = substring_dedup(df).collect()
+    assert sorted((tuple(r)[:4] for r in found), key=str) == brute(rows, 50)
+    assert all(sum(b - a for a, b in r.spans) == r.n_removed and all(b - a >= 50 for a, b in r.spans) for r in found)
+
+
+def order(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_and_runs_in_thue_morse_order(spark):
+    """Unequal words of 1024 and 2048 letters that any polynomial hash takes for equal."""
+    flip = str.maketrans("ab", "ba")
+    rows = []
+    for k, n in enumerate((1024, 2048)):
+        same = [f"s{k}x{i}" for i in range(49)]
+        rows += [(10 * k, " ".join([*same, order(n)])), (10 * k + 1, " ".join([*same, order(n).translate(flip)]))]
+    rows += [(30, " ".join(order(2048))), (31, " ".join("x" + order(2048).translate(flip)))]
+    got = sorted((tuple(r)[:4] for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute(rows, 50)
+    assert all(r[2] == 0 for r in got if r[0] < 30)
+
+
+def test_long_text_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"n{i}" for i in range(300_000))
+    rows = [(1, " ".join(f"n{i}" for i in range(1000, 1100)) + " tail"), (2, long), (3, "a" * 2_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("id", "of", "kept", "row", "mark", "_bw", "_hit")})
+    out = {r.doc_id: r for r in deduplicated(df).collect()}
+    assert out[1].text == rows[0][1] and out[3].text == rows[2][1]
+    assert len(out[2].text.split()) == 300_000 - 100 and out[2].kept == out[2].row == 7
+
+
+def test_tables_are_dropped(spark):
+    from quarrylight.llm import common
+
+    common.release(spark)
+    before = list(common._LIVE)
+    rows = made(3, 40)
+    df = deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    common.release(spark, keep=df)
+    n = df.count()
+    assert n and common._LIVE
+    common.release(spark)
+    assert before == [] and not common._LIVE
 
 
 def test_empty_and_kept_text(spark):
