@@ -14,12 +14,15 @@ the budget with them than without.
 
 No source is gathered or sorted whole: keys fall into ``BUCKETS`` ordered ranges
 for each source, sums of ranges are partial aggregates, and only the range in
-which the budget ends is sorted.
+which a source's budget ends, about a ``BUCKETS``-th of it, is sorted. Whether a
+document lies before, behind or within that range follows from its own key and
+one row for its source, so ``mixed`` moves no text but those within.
 
 Defined results: a null text has size 0 and quality weight ``FLOOR``; documents
 of size 0 are taken with their neighbours and count nothing; a null source is a
 source of its own; rows with equal doc_id share a key and are taken by size; an
-empty table or one without words gives targets of 0; extra columns are ignored.
+empty table or one without words gives targets of 0; a text of any length is
+taken whole; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import BLANKS, staged
+from quarrylight.llm.common import BLANKS, Scratch, maybe_in
 
-WEIGHTS, MOST, BUCKETS, SEED, FLOOR = (1, 2, 3), 3, 1024, "mix-1", 0.05
+WEIGHTS, MOST, BUCKETS, SEED, FLOOR = (1, 2, 3), 3, 1 << 20, "mix-1", 0.05
 SPAN = 1 << 52
 
 
@@ -49,59 +52,82 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return out.select("source", "source_size", F.coalesce(F.least(bound, F.col("level") * F.col("weight")), bound).alias("target"))
 
 
-def keyed(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, key) of every row."""
+def keyed(docs: DataFrame, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
+    """(doc_id, source, size, key, bucket) of every row, and ``row`` if ``docs``
+    has it. Buckets rise with keys."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bare = F.btrim(text, F.lit(BLANKS))
     size = F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long")
+    solid = text
+    for blank in BLANKS:
+        solid = F.replace(solid, F.lit(blank), F.lit(""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
-    quality = F.greatest(F.lit(FLOOR), letters / F.greatest(F.lit(1), F.length(F.translate(text, BLANKS, ""))).cast("double"))
+    quality = F.greatest(F.lit(FLOOR), letters / F.greatest(F.lit(1), F.length(solid)).cast("double"))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(SPAN))
-    out = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), quality.alias("q"), u.alias("u"))
-    return out.select("doc_id", "source", "size", (-F.log("u") / F.col("q")).alias("key"))
+    more = ["row"] if "row" in docs.columns else []
+    out = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), quality.alias("q"), u.alias("u"), *more)
+    out = out.select("doc_id", "source", "size", (-F.log("u") / F.col("q")).alias("key"), *more)
+    return out.withColumn("bucket", F.floor(buckets * (1 - F.exp(-F.col("key")))).cast("int"))
+
+
+def _plan(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """One row for each source: s (the source in a struct, so that null joins),
+    source_size, target, epochs, budget (words of the fraction), edge (the bucket
+    in which the budget ends; those below are taken, those above are not) and
+    before (words below it)."""
+    sums = scratch.stage(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "sums")
+    goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
+    goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    goals = goals.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("s", F.struct("source"))
+    # at most BUCKETS rows of a source, whatever its size
+    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = sums.withColumn("upto", F.sum("words").over(running)).withColumn("s", F.struct("source")).drop("source")
+    ends = ranges.join(goals.select("s", "budget"), "s").filter("budget > 0 AND upto > budget").groupBy("s").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("x"))
+    plan = goals.drop("source").join(ends, "s", "left")
+    edge = F.coalesce("x.bucket", F.when(F.col("budget") > 0, F.lit((1 << 31) - 1)).otherwise(F.lit(-1)))
+    plan = scratch.stage(plan.select("s", "source_size", "target", "epochs", "budget", edge.alias("edge"), F.coalesce("x.before", F.lit(0)).alias("before")), "plan")
+    scratch.drop("sums")
+    return plan
+
+
+def _edge(rows: DataFrame) -> DataFrame:
+    """``chosen`` of the rows in their source's edge bucket."""
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto, budget = F.col("before") + F.sum("size").over(order), F.col("budget")
+    return rows.withColumn("chosen", (upto - F.col("size") < budget) & (F.abs(upto - budget) <= F.abs(upto - F.col("size") - budget)))
 
 
 def mix(docs: DataFrame, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, source, size, source_size,
     target, epochs (complete ones), chosen (taken once more), taken."""
-    rows = staged(keyed(docs, seed).withColumn("bucket", F.floor(buckets * (1 - F.exp(-F.col("key")))).cast("int")), "op6-keyed")
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    sums = staged(sums, "op6-sums")
-    goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
-    goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    goals = staged(goals.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "op6-goals")
-    goals = goals.withColumn("s", F.struct("source"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = sums.withColumn("before", before).withColumn("s", F.struct("source"))
-    ranges = ranges.join(goals.select("s", "source_size", "target", "epochs", "budget"), "s").withColumn(
-        "state", F.expr("CASE WHEN budget <= 0 OR before >= budget THEN 0 WHEN before + words <= budget THEN 2 ELSE 1 END")
-    )
-    ranges = staged(ranges.select("s", "bucket", "before", "source_size", "target", "epochs", "budget", "state"), "op6-ranges")
-    placed = rows.withColumn("s", F.struct("source")).join(ranges, ["s", "bucket"])
-    placed = staged(placed, "op6-placed")
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = placed.filter("state = 1").withColumn("upto", F.col("before") + F.sum("size").over(order))
-    edge = edge.withColumn("chosen", (F.col("upto") - F.col("size") < F.col("budget")) & (F.abs(F.col("upto") - F.col("budget")) <= F.abs(F.col("upto") - F.col("size") - F.col("budget"))))
-    sure = placed.filter("state != 1").withColumn("chosen", F.col("state") == 2)
-    out = edge.drop("upto").unionByName(sure)
+    scratch = Scratch(docs.sparkSession, "op6")
+    rows = scratch.stage(keyed(docs.select("doc_id", "source", "text"), seed, buckets), "keyed")
+    placed = rows.withColumn("s", F.struct("source")).join(_plan(scratch, rows), "s")
+    sure = placed.filter("bucket != edge").withColumn("chosen", F.col("bucket") < F.col("edge"))
+    out = _edge(placed.filter("bucket = edge")).unionByName(sure)
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs", "chosen", (F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))).alias("taken"))
 
 
-def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def mixed(docs: DataFrame, seed: str = SEED, buckets: int = BUCKETS) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them. Rows that share doc_id,
-    source and size take equal shares of what was taken of them."""
-    shares = mix(docs, seed).select("doc_id", "source", "size", (F.col("epochs") + F.col("chosen").cast("long")).alias("times"))
-    shares = shares.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("times"), asc=False).alias("times"))
-    text = F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(BLANKS))
-    key = F.struct(F.col("doc_id").alias("d"), F.col("source").cast("string").alias("s"), F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, r"[\x20\x09-\x0D]+"))).cast("long").alias("z"))
-    shares = staged(shares.select(F.struct(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z")).alias("_key"), F.col("times").alias("_times")), "op6-shares")
-    once = shares.filter("size(_times) = 1").select("_key", F.col("_times")[0].alias("_n"))
-    rows = docs.withColumn("_key", key)
-    if shares.filter("size(_times) > 1").isEmpty():
-        found = rows.join(once, "_key")
-    else:
-        found = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy("text"))).join(shares, "_key").withColumn("_n", F.expr("_times[_rank - 1]"))
-    return found.filter("_n > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, _n)"))).select(docs.columns)
+    source, size and key take what was taken of them in the order of their texts."""
+    scratch = Scratch(docs.sparkSession, "op6")
+    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = scratch.stage(keyed(docs.select("doc_id", "source", "text"), seed, buckets), "keyed")
+    plan = _plan(scratch, rows)
+    same = F.struct("doc_id", "source", "size", "key")
+    edge = _edge(rows.withColumn("s", F.struct("source")).join(plan, "s").filter("bucket = edge"))
+    edge = edge.groupBy(same.alias("same")).agg(F.sort_array(F.collect_list((F.col("epochs") + F.col("chosen").cast("long"))), asc=False).alias("times"))
+    edge = scratch.stage(edge, "edge")
+    scratch.drop("keyed")
+    placed = keyed(whole, seed, buckets).withColumn("s", F.struct("source")).join(plan, "s")
+    sure = placed.filter("bucket != edge").select("row", (F.col("epochs") + (F.col("bucket") < F.col("edge")).cast("long")).alias("n"))
+    # the few documents within the edge ranges, found by doc_id and then by all of their key
+    few = maybe_in(whole, "doc_id", edge.select("same.doc_id"), "doc_id", edge.count())
+    near = keyed(few, seed, buckets).select(same.alias("same"), "row")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("same").orderBy("row.text")))
+    near = near.join(edge, "same").select("row", F.expr("times[rank - 1]").alias("n"))
+    return sure.unionByName(near).filter("n > 0").withColumn("copy", F.explode(F.expr("sequence(1L, n)"))).select("row.*")
 
 
 SQL = rf"""

@@ -35,6 +35,12 @@ def made():
     return [(*r, len(r[1] or "")) for r in rows]
 
 
+def written(df, path):
+    """As the contract has it: each stage's result is written and read again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -44,17 +50,17 @@ def test_stages_and_run(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     quality, near, substring, mixing, packing = [f for _, f in corpus_pipeline.STAGES]
 
-    one = quality(spark, docs, str(tmp_path))
+    one = written(quality(spark, docs, str(tmp_path)), f"{tmp_path}/1")
     assert one.columns == docs.columns
     kept = {r.doc_id: r.text for r in one.collect()}
     assert set(kept) == set(range(80)) | {83} and "rights" not in kept[83]
     assert all(kept[i] == rows[i][1] for i in range(80))
 
-    two = near(spark, one, str(tmp_path))
+    two = written(near(spark, one, str(tmp_path)), f"{tmp_path}/2")
     left = {r.doc_id: r.text for r in two.collect()}
     assert set(left) == {c for _, c in near_classes(sorted(kept.items()))}
 
-    three = substring(spark, two, str(tmp_path))
+    three = written(substring(spark, two, str(tmp_path)), f"{tmp_path}/3")
     texts, first = {d: WORD.findall(t) for d, t in left.items()}, {}
     for d, w in texts.items():
         for i in range(len(w) - 49):
@@ -79,3 +85,35 @@ def test_stages_and_run(spark, tmp_path):
         assert r.doc_tokens == ids[r.doc_id]
         seen[r.doc_id] = seen.get(r.doc_id, 0) + r.length
     assert seen == {d: ids[d] * n for d, n in times.items()}
+
+
+def test_lazy_stages_keep_what_they_read(spark, tmp_path):
+    """A stage drops no table that its input reads, nor any of other operators."""
+    from quarrylight.llm.common import live
+    from quarrylight.llm.substring_dedup import substring_dedup
+
+    docs = spark.createDataFrame(made()[:40], SCHEMA)
+    other, out = substring_dedup(docs), docs
+    n = other.count()
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, out, str(tmp_path))
+    assert out.count() > 0 and other.count() == n and live()
+
+
+def test_odd_rows(spark, tmp_path):
+    """No rows; repeated doc_ids and rows, null columns, ties; clashing names."""
+    from pyspark.sql import functions as F
+
+    quality, near, substring, mixing, packing = [f for _, f in corpus_pipeline.STAGES]
+    extra = {c: F.lit(5) for c in ("q_text", "q_words", "q_kept", "row", "key", "id", "of", "own", "kept", "n", "copy", "rank", "s", "bucket", "size", "edge", "_bw", "_hit", "mark", "start")}
+    empty = spark.createDataFrame([], SCHEMA).withColumns(extra)
+    text = made()[1][1]
+    rows = [(1, text), (1, text), (1, made()[2][1]), (2, text), (None, text), (None, None), (3, None), (4, ""), (5, " \n")]
+    odd = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], SCHEMA).withColumns(extra)
+    for df in (empty, odd):
+        for k, f in enumerate((quality, near, substring, mixing)):
+            assert f(spark, df, str(tmp_path)).columns == df.columns
+        assert packing(spark, df, str(tmp_path)).count() >= df.count()
+    kept = quality(spark, odd, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in kept), key=str) == [1, 1, 1, 2, None] and all(r.q_text == r.q_kept == 5 for r in kept)
+    assert sorted(((r.doc_id, r.text) for r in near(spark, odd, str(tmp_path)).collect()), key=str) == sorted([(1, text), (1, made()[2][1]), (None, None), (3, None), (4, "")], key=str)
