@@ -6,7 +6,7 @@ words fails
 * punctuation: it does not end in a terminal mark, or more than ``MARKS`` of
   its non-blank characters are neither letters, marks nor digits;
 * navigation: it has at least three separators, one to every five words or more;
-* boilerplate: it holds one of a fixed list of phrases.
+* boilerplate: it holds one of a fixed list of phrases in four languages.
 
 Failed lines are removed; a document is rejected if the lines that stay hold
 less than ``LEAST`` of the characters that its words had. Base counts follow
@@ -30,7 +30,8 @@ from quarrylight.llm.common import BLANKS
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Boilerplate phrases, matched without regard to case.
+#: Boilerplate phrases in English, French, German and Spanish,
+#: matched without regard to case.
 BOILERPLATE = (
     "all rights reserved",
     "click here",
@@ -46,6 +47,27 @@ BOILERPLATE = (
     "terms of service",
     "terms of use",
     "use cookies",
+    "abonnez-vous à",
+    "cliquez ici",
+    "conditions générales",
+    "mentions légales",
+    "politique de confidentialité",
+    "tous droits réservés",
+    "utilise des cookies",
+    "alle rechte vorbehalten",
+    "allgemeine geschäftsbedingungen",
+    "datenschutzerklärung",
+    "hier klicken",
+    "newsletter abonnieren",
+    "nutzungsbedingungen",
+    "verwendet cookies",
+    "aviso legal",
+    "haga clic aquí",
+    "política de privacidad",
+    "suscríbete a",
+    "términos y condiciones",
+    "todos los derechos reservados",
+    "utiliza cookies",
 )
 SEPARATORS = "|»›•·→"
 MARKS, LEAST, MIN_WORDS, REPEAT_PERCENT = 0.2, 0.5, 50, 50
@@ -64,7 +86,9 @@ transform(array(q_words), w ->
 
 
 def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def _line_passes(line: Column) -> Column:
@@ -73,7 +97,10 @@ def _line_passes(line: Column) -> Column:
     marks = F.length(F.regexp_replace(line, WORDLIKE, ""))
     separators = F.length(line) - F.length(_without(line, SEPARATORS))
     ends = F.rtrim(line, F.lit(BLANKS)).rlike(TERMINAL)
-    return ends & (marks <= F.lit(MARKS) * solid) & ~((separators >= 3) & (separators * 5 >= words)) & ~F.lower(line).rlike("|".join(BOILERPLATE))
+    low, boiler = F.lower(line), F.lit(False)
+    for phrase in BOILERPLATE:
+        boiler = boiler | low.contains(phrase)
+    return ends & (marks <= F.lit(MARKS) * solid) & ~((separators >= 3) & (separators * 5 >= words)) & ~boiler
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -109,10 +136,19 @@ def quality(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents kept, without their failed lines, in the columns of ``docs``;
     a text that lost no line stays as it was, ``n_chars`` follows the text."""
-    # the row number keeps the filter above the projection, which else is evaluated for both
-    out = judged(docs).withColumn("q_row", F.monotonically_increasing_id()).filter("q_kept")
+    # the columns of docs travel in one struct, so that none can clash; the row
+    # number keeps the filter above the projection, which else is evaluated for both
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    out = judged(whole).withColumn("q_row", F.monotonically_increasing_id()).filter("q_kept")
     changed = F.col("q_n_kept_lines") < F.col("q_n_lines")
-    columns = [F.when(changed, F.col("q_clean_text")).otherwise(F.col("text")).alias("text") if c == "text" else F.when(changed, F.length("q_clean_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    columns = []
+    for f in docs.schema:
+        own = F.col("row").getField(f.name)
+        if f.name == "text":
+            own = F.when(changed, F.col("q_clean_text")).otherwise(own)
+        elif f.name == "n_chars":
+            own = F.when(changed, F.length("q_clean_text").cast(f.dataType)).otherwise(own)
+        columns.append(own.alias(f.name))
     return out.select(*columns)
 
 

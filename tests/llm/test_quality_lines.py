@@ -34,6 +34,7 @@ ROWS = [
     (1, "A good line of prose stands here.\n" + " ".join(f"word{i}" for i in range(60)) + "."),
     (None, "x " * 20000),
     (11, " ".join(f"t{i}" for i in range(70))),
+    (13, "Tous droits RÉSERVÉS.\nAlle Rechte vorbehalten.\nPolítica de privacidad.\n" + " ".join(f"t{i}" for i in range(70)) + "."),
     (12, "z" * 500000),
 ]
 
@@ -47,12 +48,13 @@ def test_base_counts_and_sql(spark):
     db.executemany("INSERT INTO documents VALUES (?, ?)", ROWS)
     assert sorted((tuple(r) for r in db.execute(SQL).fetchall()), key=str) == got
     kept = {g[0] for g in got if g[7]}
-    assert kept == {1, 7, 10}
+    assert kept == {1, 7, 10, 13}
 
 
 def test_cleaned(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "cast(length(text) as long) AS n_chars", "'s' AS source")
     out = {r.doc_id: r for r in cleaned(df).collect()}
     assert out[1].text == ROWS[0][1]
+    assert out[13].text.startswith("t0 t1")
     assert "reserved" not in out[10].text and out[10].n_chars == len(out[10].text)
     assert quality(spark.createDataFrame([], "doc_id long, text string")).collect() == []
