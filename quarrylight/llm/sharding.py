@@ -8,11 +8,17 @@ shards of the target size are final and never rewritten, so a byte is rewritten
 about once for each tier. Merging reads files and writes fewer of them with no
 shuffle. A manifest is a numbered log entry that becomes visible whole, by a
 rename that fails if the number is taken; a writer that loses rereads and tries
-again, and files no manifest lists are never read.
-
-Defined results: rows keep all their columns, order within a shard is that of
-arrival, repeated rows and nulls are stored as they are; an empty arrival adds
-no shard; an empty table gives an empty manifest and an empty result.
+again, and files no manifest lists are never read. Merged shards stay, so that a
+reader of an earlier manifest finds them, until ``vacuum`` drops all manifests
+before a version and what only they list.
+
+Defined results: the table has the columns of all arrivals, in the order in which
+they first came; a row lacks none of its own and is null where its arrival had no
+such column; a column that comes with another type is refused before anything is
+committed. Order within a shard is that of arrival, repeated rows and nulls are
+stored as they are, texts of any length are stored whole; an empty arrival adds
+no shard (but its columns); an empty table gives an empty manifest and an empty
+result.
 """
 
 from __future__ import annotations
@@ -23,13 +29,25 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from quarrylight.llm.common import CommitLog, drop_path, fresh_dir
 
 TARGET, LEAST, FANOUT = 32 << 20, 1 << 20, 4
 
 
+def merged_schema(known: str | None, new: StructType) -> str:
+    """The columns of both, as JSON; raises if one changes its type."""
+    fields = list(StructType.fromJson(json.loads(known)).fields) if known else []
+    types = {f.name: f.dataType for f in fields}
+    for f in new.fields:
+        if f.name not in types:
+            fields.append(StructField(f.name, f.dataType, True))
+        elif types[f.name] != f.dataType:
+            raise ValueError(f"column {f.name} is {types[f.name].simpleString()}, not {f.dataType.simpleString()}")
+    return StructType(fields).json()
+
+
 class Shards:
     """A table of Parquet shards under ``root``."""
 
@@ -59,23 +77,26 @@ class Shards:
         rows = self.spark.read.parquet(path).groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name")).count().collect()
         return [{"path": f"{path}/{r['name']}", "bytes": sizes[r["name"]], "rows": r["count"]} for r in sorted(rows)]
 
-    def _commit(self, gone: set[str], new: list[dict], schema: str, tries: int = 20) -> bool:
-        """Replace ``gone`` by ``new``; False if some of ``gone`` was replaced meanwhile."""
+    def _commit(self, gone: set[str], new: list[dict], columns: StructType | None = None, tries: int = 20) -> bool:
+        """Replace ``gone`` by ``new``; False if some of ``gone`` was replaced
+        meanwhile. ``columns``: those of an arrival."""
         for _ in range(tries):
             version, state = self.log.latest()
             state = state or {"shards": [], "schema": None}
             if not gone <= {s["path"] for s in state["shards"]}:
                 return False
+            schema = merged_schema(state["schema"], columns) if columns is not None else state["schema"]
             if self.log.commit(version + 1, {"shards": [s for s in state["shards"] if s["path"] not in gone] + new, "schema": schema}):
                 return True
         raise RuntimeError("the manifest could not be committed")
 
     def append(self, arrivals: DataFrame) -> int:
         """Store ``arrivals`` as new shards; returns how many."""
+        merged_schema(self.manifest()["schema"], arrivals.schema)
         path = f"{self.root}/run-{uuid.uuid4().hex}"
         arrivals.write.parquet(path)
         new = self._written(path)
-        self._commit(set(), new, arrivals.schema.json())
+        self._commit(set(), new, arrivals.schema)
         return len(new)
 
     def plan(self) -> list[list[dict]]:
@@ -85,17 +106,13 @@ class Shards:
             tiers.setdefault(self.tier(s["bytes"]), []).append(s)
         return [runs for t, runs in sorted(tiers.items()) if t >= 0 and len(runs) >= self.fanout]
 
-    def compact(self, keep_old: bool = False) -> int:
+    def compact(self) -> int:
         """Merge until no tier is full; returns the number of merges."""
         merges = 0
         while groups := self.plan():
             with ThreadPoolExecutor(4) as pool:
                 done = list(pool.map(self._merge, groups))
             merges += sum(map(bool, done))
-            if not keep_old:
-                for group, ok in zip(groups, done):
-                    for s in group if ok else []:
-                        drop_path(self.spark, s["path"])
             if not any(done):
                 break
         return merges
@@ -104,18 +121,32 @@ class Shards:
         path = f"{self.root}/merged-{uuid.uuid4().hex}"
         total = sum(s["bytes"] for s in group)
         files = max(1, min(len(group) - 1, round(total / self.target)))
-        rows = self._read([s["path"] for s in group])
+        rows = self._read([s["path"] for s in group], self.manifest()["schema"])
         rows.coalesce(files).write.parquet(path)
-        return self._commit({s["path"] for s in group}, self._written(path), self.manifest()["schema"])
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        schema = StructType.fromJson(json.loads(self.manifest()["schema"]))
-        return self.spark.read.schema(schema).parquet(*paths)
-
-    def read(self) -> DataFrame | None:
-        """The table of the latest manifest; None before the first arrival."""
-        shards = self.manifest()["shards"]
-        return self._read([s["path"] for s in shards]) if shards else None
+        return self._commit({s["path"] for s in group}, self._written(path))
+
+    def vacuum(self, version: int | None = None) -> int:
+        """Drop manifests before ``version`` (the latest, if not given) and the
+        shards that none from there on lists; returns how many shards."""
+        versions = self.log.versions()
+        version = versions[-1] if version is None and versions else version
+        old, kept = [v for v in versions if v < version], [v for v in versions if v >= version] if versions else []
+        used = {s["path"] for v in kept for s in self.log.read(v)["shards"]}
+        gone = {s["path"] for v in old for s in self.log.read(v)["shards"]} - used
+        for path in sorted(gone):
+            drop_path(self.spark, path)
+        for v in old:
+            drop_path(self.spark, f"{self.root}/_log/{v:020d}.json")
+        return len(gone)
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*paths)
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """The table of the latest manifest, or of ``version``; None before the
+        first shard."""
+        state = self.manifest() if version is None else self.log.read(version)
+        return self._read([s["path"] for s in state["shards"]], state["schema"]) if state["shards"] else None
 
 
 def sharded(docs: DataFrame, arrivals: int = 4) -> DataFrame:
@@ -128,6 +159,7 @@ def sharded(docs: DataFrame, arrivals: int = 4) -> DataFrame:
     for a in range(arrivals):
         table.append(docs.filter(part == a))
         table.compact()
+        table.vacuum()
     schema = "doc_id long, shard string, shard_rows long, shard_bytes long, manifest_version long"
     rows = table.read()
     if rows is None:

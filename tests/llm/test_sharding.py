@@ -1,5 +1,7 @@
 import collections
 
+import pytest
+
 from quarrylight.llm.sharding import Shards, sharded
 
 
@@ -20,11 +22,40 @@ def test_append_compact_and_manifest(spark, tmp_path):
     assert not table.plan() or len(table.plan()) < 2
     version = table.log.latest()[0]
     group = table.manifest()["shards"][:2]
-    assert table._commit({g["path"] for g in group}, [], table.manifest()["schema"])
-    assert not table._commit({g["path"] for g in group}, [], table.manifest()["schema"])  # replaced meanwhile
+    assert table._commit({g["path"] for g in group}, [])
+    assert not table._commit({g["path"] for g in group}, [])  # replaced meanwhile
     assert table.log.latest()[0] == version + 1
 
 
+def test_columns_come_and_go_and_old_manifests_stay_readable(spark, tmp_path):
+    table = Shards(spark, f"file://{tmp_path}/t", target=200_000, least=1000, fanout=2)
+    a = spark.createDataFrame([(i, f"t{i}", i * 2) for i in range(10)], "doc_id long, text string, extra long")
+    b = spark.createDataFrame([(i, f"t{i}") for i in range(10, 20)], "doc_id long, text string")
+    c = spark.createDataFrame([("n", f"t{i}", i) for i in range(20, 30)], "note string, text string, doc_id long")
+    table.append(a)
+    table.append(b)
+    first = table.log.latest()[0]
+    old = table.read()
+    table.append(c.limit(0))
+    table.append(c)
+    with pytest.raises(ValueError, match="extra is bigint, not string"):
+        table.append(spark.createDataFrame([("x",)], "extra string"))
+    assert table.compact() >= 1
+    want = [(i, f"t{i}", i * 2 if i < 10 else None, "n" if i >= 20 else None) for i in range(30)]
+    out = table.read()
+    assert out.columns == ["doc_id", "text", "extra", "note"] and sorted(map(tuple, out.collect())) == want
+    assert sorted(map(tuple, old.collect())) == [w[:3] for w in want[:20]]  # a reader of the former manifest
+    assert table.read(first).count() == 20
+    assert table.vacuum() > 0
+    assert sorted(map(tuple, table.read().collect())) == want and table.log.versions() == table.log.versions()[-1:]
+
+
+def test_long_text(spark, tmp_path):
+    table = Shards(spark, f"file://{tmp_path}/t")
+    table.append(spark.createDataFrame([(1, "x " * 3_000_000)], "doc_id long, text string"))
+    assert len(table.read().first().text) == 6_000_000
+
+
 def test_query(spark):
     df = spark.createDataFrame([(i % 90, f"t{i}", None) for i in range(100)] + [(None, None, "x")], "doc_id long, text string, shard string")
     out = sharded(df).collect()
