@@ -12,14 +12,16 @@ it. The groups are partial aggregates over payload hashes; pages are joined only
 with those of two rows or more, a join that splits hot payloads, and not at all
 where every payload is unique.
 
-A task writes its archives to the shared folder under a temporary name and
-renames them; names derive from the partition, so a task run again replaces its
-own files, and only archives reported by finished tasks are read.
+A task writes its archives to the shared folder under names that hold its
+attempt, so a task run again or twice at once touches no file of another, and
+reports them as it ends. Spark commits these reports to an index, and archives
+that it does not list are never read.
 
 Defined results: a null html is an empty payload; a null page_id is left out of
 the header and read back as null, and never is what others revisit unless all
-are null; rows that repeat both page_id and payload are responses if theirs is
-the largest page_id; a null url is written as ``urn:none``; extra columns are
+are null (then one is the response); of rows that repeat the largest page_id of
+a payload one is the response and the others revisit it; payloads of any length
+are kept whole; a null url is written as ``urn:none``; extra columns are
 ignored; an empty table gives no archive and an empty result.
 """
 
@@ -42,6 +44,7 @@ from quarrylight.llm.common import fresh_dir, hash_sample, staged
 
 MAGIC, ROLL, LEVEL = 0x184D2A5D, 16 << 20, 6
 SAMPLE, SAMPLE_BYTES, DICTIONARY, LEAST = 1000, 4096, 64 << 10, 0
+FILES, INDEX = 4096, "name string, n_records long, n_bytes long"
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -146,12 +149,10 @@ def _write(root: str, dictionary: bytes, roll: int):
 
         def close() -> None:
             nonlocal number, writer, count
-            name = f"part-{part:05d}-{number:04d}.warc.zst"
-            temp = f"{path}/.{name}.{attempt}.tmp"
-            with store.open_output_stream(temp) as out:
+            name = f"part-{part:05d}-{number:04d}-{attempt}.warc.zst"
+            with store.open_output_stream(f"{path}/{name}", compression=None) as out:  # compressed already
                 for x in writer.parts:
                     out.write(x)
-            store.move(temp, f"{path}/{name}")
             done.append((name, count, writer.size))
             number, writer, count = number + 1, None, 0
 
@@ -169,50 +170,72 @@ def _write(root: str, dictionary: bytes, roll: int):
     return scan
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch.column("content"):
-            out = []
-            for fields, payload in records(content.as_py()):
-                kind = fields["WARC-Type"]
-                if kind == "warcinfo":
-                    continue
-                digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                if kind == "response" and digest32(payload) != digest:
-                    raise ValueError("a payload does not match its digest")
-                page, refers = fields.get("X-Page-Id"), fields.get("X-Refers-To-Page-Id")
-                out.append((page and int(page), fields["WARC-Target-URI"], int(fields["X-Payload-Length"]), digest, kind, refers and int(refers), payload.decode() if kind == "response" else None))
-            columns = list(zip(*out)) or [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"])
+def _read(root: str):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
+                with store.open_input_file(f"{path}/{name}") as f:
+                    content = f.read()
+                out = []
+                for fields, payload in records(content):
+                    kind = fields["WARC-Type"]
+                    if kind == "warcinfo":
+                        continue
+                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if kind == "response" and digest32(payload) != digest:
+                        raise ValueError("a payload does not match its digest")
+                    page, refers = fields.get("X-Page-Id"), fields.get("X-Refers-To-Page-Id")
+                    out.append((page and int(page), fields["WARC-Target-URI"], int(fields["X-Payload-Length"]), digest, kind, refers and int(refers), payload.decode() if kind == "response" else None))
+                columns = list(zip(*out)) or [[]] * 7
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"])
+
+    return scan
+
+
+def _with_references(pages: DataFrame, least: int) -> DataFrame:
+    """page_id, url, html, refers_to and revisit of every row."""
+    body = F.coalesce(F.col("html"), F.lit(""))
+    keys = {"sha": F.sha1(body.cast("binary")), "n": F.octet_length(body).cast("long")}
+    where = F.struct(F.col("url").isNull().alias("none"), F.coalesce("url", F.lit("")).alias("url"))
+    hashed = pages.select("page_id", where.alias("w"), *[v.alias(k) for k, v in keys.items()]).filter(F.col("n") >= least)
+    by_page = hashed.groupBy("sha", "n", "page_id").agg(F.count("*").alias("c"), F.min("w").alias("w"))
+    share = by_page.groupBy("sha", "n").agg(F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "c", "w")).alias("top"), F.sum("c").alias("copies"))
+    share = staged(share.filter("copies > 1").select("sha", "n", F.col("top.page_id").alias("refers_to"), F.col("top.c").alias("c"), F.col("top.w").alias("w")), "op10-shared")
+    many, ties = share.agg(F.count("*"), F.count_if(F.col("c") > 1)).first()
+    if not many:
+        return pages.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"))
+    rows = pages.withColumns(keys).join(share, ["sha", "n"], "left")
+    lead = F.col("c").isNotNull() & F.col("page_id").eqNullSafe(F.col("refers_to"))
+    out = rows.withColumn("revisit", F.col("c").isNotNull() & ~lead)
+    if ties:
+        # rows that repeat the largest page_id: equal rows are one row and a count until one is picked
+        tied = rows.filter(lead & (F.col("c") > 1)).groupBy("sha", "n", "page_id", "url", "refers_to", "w").agg(F.first("html").alias("html"), F.count("*").alias("k"))
+        tied = tied.withColumn("i", F.explode(F.expr("sequence(1L, k)"))).withColumn("revisit", (F.col("i") > 1) | ~F.col("w").eqNullSafe(where))
+        names = ["page_id", "url", "html", "refers_to", "revisit"]
+        out = out.filter(~lead | (F.col("c") == 1)).select(names).unionByName(tied.select(names))
+    return out.select("page_id", "url", "html", F.when(F.col("revisit"), F.col("refers_to")).alias("refers_to"), "revisit")
 
 
 def archive(pages: DataFrame, root: str, least: int = LEAST, roll: int = ROLL) -> DataFrame:
-    """Write ``pages`` to archives under the folder ``root``; returns their
-    names, records and bytes."""
+    """Write ``pages`` to archives under the folder ``root``, and under
+    ``root/_index`` the names, records and bytes of those that finished tasks
+    reported; returns the index."""
+    spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    body = F.coalesce(F.col("html"), F.lit(""))
-    hashed = pages.select("page_id", F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).cast("long").alias("n"))
-    share = hashed.filter(F.col("n") >= least).groupBy("sha", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies"))
-    share = staged(share.filter("copies > 1").select("sha", "n", "refers_to"), "op10-shared")
-    plain = pages.withColumn("sha", F.sha1(body.cast("binary"))).withColumn("n", F.octet_length(body).cast("long"))
-    dictionary = train([record(r.page_id, r.url, (r.html or "").encode(), None, False)[:SAMPLE_BYTES] for r in hash_sample(pages.withColumn("html", F.substring("html", 1, SAMPLE_BYTES)), "page_id", pages.count(), SAMPLE).collect()])
-    n_shared = share.count()
-    if n_shared:
-        joined = plain.join(share, ["sha", "n"], "left")
-        plain = joined.withColumn("revisit", F.expr("refers_to IS NOT NULL AND NOT (page_id <=> refers_to)"))
-    else:
-        plain = plain.withColumn("refers_to", F.lit(None).cast("long")).withColumn("revisit", F.lit(False))
-    out = plain.select("page_id", "url", "html", F.when(F.col("revisit"), F.col("refers_to")).alias("refers_to"), "revisit")
-    return staged(out.mapInArrow(_write(root, dictionary, roll), "name string, n_records long, n_bytes long"), "op10-written")
+    sample = hash_sample(pages.withColumn("html", F.substring("html", 1, SAMPLE_BYTES)), "page_id", pages.count(), SAMPLE).collect()
+    dictionary = train([record(r.page_id, r.url, (r.html or "").encode(), None, False)[:SAMPLE_BYTES] for r in sample])
+    _with_references(pages, least).mapInArrow(_write(root, dictionary, roll), INDEX).write.parquet(f"{root}/_index")
+    return spark.read.schema(INDEX).parquet(f"{root}/_index")
 
 
 def read_archives(spark: SparkSession, root: str) -> DataFrame:
-    """All page records of the archives under ``root``: page_id, url,
+    """All page records of the archives that ``root``'s index lists: page_id, url,
     payload_bytes, payload_digest, record_type, refers_to, html (null for a
     revisit, whose payload its response holds)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(root)
-    return files.select("content").mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
+    names = spark.read.schema(INDEX).parquet(f"{root}/_index").select("name")
+    return names.repartition(max(1, min(names.count(), FILES)), "name").mapInArrow(_read(root), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -220,23 +243,21 @@ def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
     spark = pages.sparkSession
     root = fresh_dir(spark, "warc")
     root = root if "://" in root else f"file://{root}"
-    written = archive(pages, root, least)
-    if written.isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    archive(pages, root, least)
     return read_archives(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: Base32 of a SHA-1 has 32 characters of five bits each.
 SQL = """
 WITH p AS (
-  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s, strlen(coalesce(html, ''))::BIGINT AS n FROM pages
+  SELECT page_id, url, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s, strlen(coalesce(html, ''))::BIGINT AS n FROM pages
 ), g AS (
-  SELECT *, max(page_id) OVER (PARTITION BY s, n) AS top FROM p
+  SELECT *, max(page_id) OVER (PARTITION BY s, n) AS top, row_number() OVER (PARTITION BY s, n ORDER BY page_id DESC NULLS LAST, url NULLS LAST) AS place FROM p
 )
 SELECT page_id, n AS payload_bytes,
   array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform(range(0, 4), lambda j:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, 5 * k + 1, 5))::BIGINT >> (15 - 5 * j)) & 31)::INTEGER + 1, 1)), '')), '') AS payload_digest,
-  CASE WHEN page_id <> top OR (page_id IS NULL AND top IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN page_id <> top OR (page_id IS NULL AND top IS NOT NULL) THEN top END AS refers_to
+  CASE WHEN place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN place > 1 THEN top END AS refers_to
 FROM g
 """
