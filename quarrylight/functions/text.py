@@ -21,6 +21,14 @@ TEMPORAL_QUESTION = "when|date|year|month|day|time"
 BLEED = r"(?i)checkpoint|powershell|gate datasets|nvidia-smi|direct probe|token budget|runpod|fact parser|malformed parser|constoursated|gate6|expanded probe|gate-?\d"
 #: Workflow headers and the keys they stand for.
 WORKFLOWS = [("review.*pull request|pull request review", "review-pr"), ("runpod.*train|gpu train|train.*runpod", "runpod-gpu-train"), ("grounding bar|promotion bar", "grounding-bar")]
+#: What is redacted and its labels. A local path is one of any drive.
+SECRETS = [
+    (r"hf_[A-Za-z0-9_=-]{16,}", "[REDACTED_HF_TOKEN]"),
+    (r"(?i)sk-[A-Za-z0-9_-]{8,}", "[REDACTED_API_KEY]"),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]"),
+    (r"[A-Za-z]:\\[^ \n\r\t\"'`]+", "[LOCAL_PATH]"),
+    (r"(?i)/content/[^ \n\r\t\"'`]+", "[COLAB_PATH]"),
+]
 LEFT, RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
@@ -168,11 +176,10 @@ def base_source(x: Column | str) -> Column:
 
 
 def redacted(x: Column | str) -> Column:
-    """Tokens, keys, e-mail addresses and local paths replaced; blanks collapsed."""
-    out = F.regexp_replace(col(x), r"hf_[A-Za-z0-9]{10,}", "[REDACTED_HF_TOKEN]")
-    out = F.regexp_replace(out, r"sk-[A-Za-z0-9_-]{10,}", "[REDACTED_API_KEY]")
-    out = F.regexp_replace(out, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]")
-    out = F.regexp_replace(out, r"[A-Za-z]:\\[^\s\"'`]+", "[LOCAL_PATH]")
+    """Tokens, keys, e-mail addresses and paths replaced; blanks collapsed."""
+    out = col(x)
+    for pattern, label in SECRETS:
+        out = F.regexp_replace(out, pattern, label)
     return squeeze(out)
 
 

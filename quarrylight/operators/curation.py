@@ -13,8 +13,7 @@ from quarrylight.functions import text as t
 
 
 def first_by_key(df: DataFrame, key: list[str], pos: str) -> DataFrame:
-    """The row of least position for each key. A partial aggregate
-    finds positions; rows are then kept by a semi-join on (key, position)."""
+    """The row of least position for each key."""
     w = Window.partitionBy(*key).orderBy(pos)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
@@ -132,6 +131,10 @@ def oversampled(df: DataFrame, copies: Column) -> DataFrame:
     return df.filter(copies >= 1).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
 
 
+#: Phrases of one or two words that are scanned for at once.
+ODD = 10_000
+
+
 def phrase_holdout(rows: DataFrame, phrases: DataFrame, least: int = 30) -> DataFrame:
     """Rows without any holdout phrase: equal to one, or holding one of
     ``least`` characters or more. ``rows``: norm; ``phrases``: phrase, both
@@ -139,29 +142,48 @@ def phrase_holdout(rows: DataFrame, phrases: DataFrame, least: int = 30) -> Data
 
     A phrase's inner words stand whole wherever it occurs, so those of four words
     or more are looked up by their second and third word, those of three by the
-    second; only phrases of one or two long words need a scan."""
+    second; texts are known by a digest, and only a text with a candidate meets
+    it. Phrases of one or two long words need a scan, ``ODD`` at a time."""
     words = phrases.select("phrase").distinct().withColumn("_w", F.split("phrase", " "))
     key = F.when(F.size("_w") >= 4, F.concat_ws(" ", F.get("_w", F.lit(1)), F.get("_w", F.lit(2)))).when(F.size("_w") == 3, F.get("_w", F.lit(1)))
     known = words.filter(F.length("phrase") >= least).select("phrase", key.alias("_g"))
-    norm = rows.select("norm").distinct().withColumn("_p", F.split("norm", " "))
+    rows = rows.withColumn("_k", F.sha2("norm", 256))
+    parts = rows.select("_k", F.split("norm", " ").alias("_p"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: F.concat_ws(" ", F.get(F.col("_p"), i), F.get(F.col("_p"), i + 1)))
-    held = norm.select("norm", F.explode(F.array_distinct(F.concat(pairs, F.col("_p")))).alias("_g"))
-    hits = held.join(known.filter("_g IS NOT NULL"), "_g").filter(F.col("norm").contains(F.col("phrase"))).select("norm")
-    odd = norm.join(known.filter("_g IS NULL").select("phrase"), F.col("norm").contains(F.col("phrase"))).select("norm")
-    equal = phrases.select(F.col("phrase").alias("norm"))
-    return rows.join(hits.unionByName(odd).unionByName(equal).distinct(), "norm", "left_anti")
+    held = parts.select("_k", F.explode(F.array_distinct(F.concat(pairs, F.col("_p")))).alias("_g"))
+    tried = held.join(known.filter("_g IS NOT NULL"), "_g").select("_k", "phrase").distinct()
+    hits = rows.select("_k", "norm").join(tried, "_k").filter(F.col("norm").contains(F.col("phrase"))).select("_k")
+    odd = known.filter("_g IS NULL").select("phrase")
+    n = odd.count()
+    blocks = -(-n // ODD)
+    for b in range(blocks):
+        some = odd.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b)
+        hits = hits.unionByName(rows.join(F.broadcast(some), F.col("norm").contains(F.col("phrase"))).select("_k"))  # about ODD phrases
+    equal = phrases.select(F.sha2("phrase", 256).alias("_k"))
+    return rows.join(hits.unionByName(equal).distinct(), "_k", "left_anti").drop("_k")
 
 
 def shingle_overlap(rows: DataFrame, known: DataFrame, n: int = 8, least: int = 2) -> DataFrame:
-    """(id, n_shared) of rows that share ``least`` n-word shingles with any one
-    known text or have equal words. Both: id, words (array)."""
-    a = rows.select("id", F.explode(F.array_distinct(t.word_shingles(F.col("words"), n))).alias("s"))
-    b = known.select(F.col("id").alias("other"), F.explode(F.array_distinct(t.word_shingles(F.col("words"), n))).alias("s"))
-    counts = a.join(b, "s").groupBy("id", "other").agg(F.count("*").alias("n_shared")).filter(F.col("n_shared") >= least)
-    return counts.groupBy("id").agg(F.max("n_shared").alias("n_shared"))
+    """(id, n_shared, equal) of rows that share ``least`` n-word shingles with
+    the known texts taken together, or whose words are those of one. Both: id,
+    words (array)."""
+    def shingles(df: DataFrame) -> DataFrame:
+        return df.select("id", F.explode(F.array_distinct(t.word_shingles(F.col("words"), n))).alias("s"))
+
+    def digest() -> Column:
+        return F.sha2(F.array_join("words", " "), 256).alias("d")
+
+    counts = shingles(rows).join(shingles(known).select("s").distinct(), "s").groupBy("id").agg(F.count("*").alias("n_shared"))
+    equal = rows.select("id", digest()).join(known.select(digest()).distinct(), "d").select("id", F.lit(True).alias("equal"))
+    both = counts.join(equal, "id", "full_outer").select("id", F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"), F.coalesce("equal", F.lit(False)).alias("equal"))
+    return both.filter((F.col("n_shared") >= least) | F.col("equal"))
 
 
-def neighbours(df: DataFrame, group: list[str], pos: str, column: str, back: int, ahead: int) -> DataFrame:
-    """``column`` of the rows around each row, in order."""
+def neighbours(df: DataFrame, group: list[str], pos: str, column: str, back: int, ahead: int, source: str | None = None) -> DataFrame:
+    """``column`` of the rows around each row, in order; with ``source``,
+    without those of the row's own source."""
     w = Window.partitionBy(*group).orderBy(pos).rowsBetween(-back, ahead)
-    return df.withColumn("around", F.collect_list(column).over(w))
+    if source is None:
+        return df.withColumn("around", F.collect_list(column).over(w))
+    near = F.collect_list(F.struct(F.col(source).alias("s"), F.col(column).alias("v"))).over(w)
+    return df.withColumn("_near", near).withColumn("around", F.transform(F.filter("_near", lambda x: ~x.s.eqNullSafe(F.col(source))), lambda x: x.v)).drop("_near")

@@ -138,9 +138,9 @@ def stored_text(content: Column, facts: Column) -> Column:
     return F.array_join(F.filter(F.concat(F.array(t.strip(F.coalesce(content, F.lit("")))), parts), lambda x: F.coalesce(x, F.lit("")) != ""), " ")
 
 
-def grounding(target: Column, stored: Column) -> Column:
-    """struct(overlap, required, grounded) over significant tokens."""
-    a, b = t.significant_tokens(target), t.significant_tokens(stored)
+def grounding(a: Column, b: Column) -> Column:
+    """struct(overlap, required, grounded) of the significant tokens of the
+    target and of what is stored."""
     n = F.size(a)
     overlap = F.size(F.filter(a, lambda x: F.array_contains(b, x)))
     required = F.when(n == 0, 0).otherwise(F.least(F.lit(2), F.greatest(F.lit(1), F.ceil(n * F.lit(0.1)).cast("int"))))
@@ -150,7 +150,9 @@ def grounding(target: Column, stored: Column) -> Column:
 def guarded(df: DataFrame, target: str, stored: str, action: str, parse_error: str) -> DataFrame:
     """guard_route is null, grounding_reject_bleed or grounding_reject."""
     persists = ~F.col(parse_error) & ~route(action).isin("ignore", "recall_only") & (t.strip(stored) != "")
-    out = df.withColumn("grounding", grounding(F.col(target), F.col(stored)))
+    # tokens are columns of their own, so that each text is taken apart once
+    out = df.withColumns({"_target": t.significant_tokens(target), "_stored": F.array_distinct(t.significant_tokens(stored))})
+    out = out.withColumn("grounding", grounding(F.col("_target"), F.col("_stored"))).drop("_target", "_stored")
     return out.withColumn("guard_route", F.when(persists & t.has_bleed(stored), "grounding_reject_bleed").when(persists & ~F.col("grounding.grounded"), "grounding_reject"))
 
 

@@ -66,13 +66,7 @@ def overlaps(queries: DataFrame, memories: DataFrame) -> DataFrame:
     """(user_id, qid, table, id) with overlap counts of every pair that shares
     a token, number, entity or tag token."""
     wanted = _counted(queries, "q_tokens", "token").unionByName(_counted(queries, "q_numbers", "number")).unionByName(_counted(queries, "q_entities", "entity")).unionByName(_counted(queries, "q_tokens", "tag"))
-    token = F.array_distinct("m_tokens")
-    entry = F.concat(
-        F.transform(token, lambda x: F.struct(F.lit("token").alias("kind"), x.alias("key"))),
-        F.transform(token, lambda x: F.struct(F.lit("entity").alias("kind"), x.alias("key"))),
-        F.transform(F.array_distinct("m_numbers"), lambda x: F.struct(F.lit("number").alias("kind"), x.alias("key"))),
-        F.transform(F.array_distinct("m_tags"), lambda x: F.struct(F.lit("tag").alias("kind"), x.alias("key"))),
-    )
+    entry = F.concat(_entries("token", "m_tokens"), _entries("entity", "m_tokens"), _entries("number", "m_numbers"), _entries("tag", "m_tags"))
     held = memories.select("user_id", "table", "id", F.explode(entry).alias("e")).select("user_id", "table", "id", "e.kind", "e.key")
 
     def total(kind: str, when: Column | None = None) -> Column:
@@ -84,6 +78,11 @@ def overlaps(queries: DataFrame, memories: DataFrame) -> DataFrame:
     )
 
 
+def _entries(kind: str, column: str) -> Column:
+    """(kind, key) of each distinct token of an array."""
+    return F.transform(F.array_distinct(column), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+
+
 def _share(n: str, a: Column, b: Column | None = None) -> Column:
     """n / a, or n / sqrt(a b); 0 where a list is empty."""
     if b is None:
@@ -154,7 +153,8 @@ def _hits(q: str, m: Column) -> Column:
 
 
 def rank_facts(queries: DataFrame, facts: DataFrame, top_k: int = 5, min_score: float = 0.2) -> DataFrame:
-    """Coverage and hits on predicate and subject. ``facts``: user_id, id,
+    """Coverage and hits on predicate and subject, by an equi-join on tokens.
+    A fact has one row for each (user_id, id). ``facts``: user_id, id,
     pos, subject, predicate, value_text and optional object, fact_type,
     evidence_text, temporal_expression, resolved_time, source_id, confidence."""
     names = set(facts.columns)
@@ -169,16 +169,25 @@ def rank_facts(queries: DataFrame, facts: DataFrame, top_k: int = 5, min_score:
         (text("fact_type") == "temporal_fact").alias("f_temporal"),
         (F.coalesce(F.col("confidence").cast("double"), F.lit(0.75)) if "confidence" in names else F.lit(0.75)).alias("f_confidence"),
     )
+    f = f.withColumn("f_base", t.round6(0.1 * F.col("f_confidence"))).withColumn("f_late", t.round6(0.1 * F.col("f_confidence") + F.when(F.col("f_temporal"), 0.4).otherwise(0.0)))
     q = queries.select("user_id", "qid", t.tokens("query").alias("q_tokens")).filter(F.size("q_tokens") > 0)
-    # a fact below the threshold without a shared token: 0.1 * confidence + 0.4 at most for temporal facts
-    pairs = f.join(q, "user_id")
-    temporal = F.exists("q_tokens", lambda x: x.isin("when", "date", "year", "month", "time")) & F.col("f_temporal")
+    q = q.withColumn("q_time", F.exists("q_tokens", lambda x: x.isin("when", "date", "year", "month", "time")))
+    kinds = {"token": "f_tokens", "predicate": "f_predicate", "subject": "f_subject"}
+    entry = F.concat(*[_entries(k, c) for k, c in kinds.items()])
+    held = f.select("user_id", "id", F.explode(entry).alias("e")).select("user_id", "id", "e.kind", "e.key")
+    wanted = _counted(q, "q_tokens", "token").drop("kind")
+    total = lambda k: F.sum(F.when(F.col("kind") == k, F.col("times")).otherwise(0))
+    pairs = held.join(wanted, ["user_id", "key"]).groupBy("user_id", "qid", "id").agg(*[total(k).alias(f"n_{k}") for k in kinds])
+    # without a word in common a fact scores its base, so the top_k best bases of
+    # a user stand for all: what they have in common can only raise them
+    best = lambda c: f.filter(F.col(c) >= min_score).withColumn("_r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col(c).desc(), "pos"))).filter(F.col("_r") <= top_k)
+    bare = best("f_base").select("user_id", "id", F.lit(False).alias("q_time")).unionByName(best("f_late").select("user_id", "id", F.lit(True).alias("q_time")))
+    bare = q.select("user_id", "qid", "q_time").join(bare, ["user_id", "q_time"]).select("user_id", "qid", "id")
+    pairs = pairs.join(bare, ["user_id", "qid", "id"], "full_outer").na.fill(0)
+    pairs = pairs.join(q.select("user_id", "qid", F.size("q_tokens").alias("nq"), "q_time"), ["user_id", "qid"]).join(f.select("user_id", "id", "pos", "f_confidence", "f_temporal"), ["user_id", "id"])
     score = (
-        _hits("q_tokens", F.col("f_tokens")) / F.size("q_tokens")
-        + F.when(_hits("q_tokens", F.col("f_predicate")) > 0, 0.3).otherwise(0.0)
-        + F.when(_hits("q_tokens", F.col("f_subject")) > 0, 0.25).otherwise(0.0)
-        + 0.1 * F.col("f_confidence")
-        + F.when(temporal, 0.4).otherwise(0.0)
+        F.col("n_token") / F.col("nq") + F.when(F.col("n_predicate") > 0, 0.3).otherwise(0.0) + F.when(F.col("n_subject") > 0, 0.25).otherwise(0.0)
+        + 0.1 * F.col("f_confidence") + F.when(F.col("q_time") & F.col("f_temporal"), 0.4).otherwise(0.0)
     )
     pairs = pairs.withColumn("score", t.round6(score)).filter(F.col("score") >= min_score)
     order = Window.partitionBy("user_id", "qid").orderBy(F.col("score").desc(), "pos")

@@ -5,7 +5,7 @@ then seq. Scans over all users are windows by user, never sorts of a table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as t
@@ -38,6 +38,16 @@ def select_indexables(df: DataFrame, limit: int = 100) -> DataFrame:
     return newest(df, ["user_id"], limit, [F.col("salience").desc(), F.col("created_at").desc(), F.col("seq").desc()])
 
 
+def ingested(df: DataFrame, limit: int = 100) -> DataFrame:
+    """S3: the newest rows of a table, all users together, by order of ingest."""
+    return df.orderBy(F.col("seq").desc()).limit(limit)
+
+
+def by_key(df: DataFrame, user: str, key: str) -> DataFrame:
+    """The row of a user and key, without regard to case."""
+    return df.filter((F.col("user_id") == user) & (F.lower("key") == key.strip().lower()))
+
+
 def pending(df: DataFrame, status: str = "pending", limit: int = 20) -> DataFrame:
     """The oldest rows of a status."""
     return df.filter(F.col("status") == status).orderBy("created_at", "seq").limit(limit)
@@ -65,11 +75,24 @@ def upsert_last(old: DataFrame, new: DataFrame, key: list[str], keep: list[str]
     return out
 
 
-def upsert_partial(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Columns that the new row defines replace the old; new ids are added."""
+def upsert_partial(old: DataFrame, new: DataFrame, key: str = "id", defined: str | None = None) -> DataFrame:
+    """Columns that the new row defines replace the old, a defined null too;
+    new ids and columns are added. ``defined``: a column of ``new`` with the names
+    of what its row defines; without it, that is what is not null."""
+    names = [*old.columns, *[c for c in new.columns if c not in old.columns and c != defined]]
     a, b = old.alias("a"), new.alias("b")
     joined = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
-    return joined.select(*[F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) if c in new.columns else F.col(f"a.{c}").alias(c) for c in old.columns])
+
+    def merged(c: str) -> Column:
+        if c == key:
+            return F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}"))
+        mine, theirs = (F.col(f"{side}.{c}") if c in df.columns else F.lit(None) for side, df in (("a", old), ("b", new)))
+        if c not in new.columns:
+            return mine
+        given = F.coalesce(F.array_contains(F.col(f"b.{defined}"), c), F.lit(False)) if defined else theirs.isNotNull()
+        return F.when(given, theirs).otherwise(mine)
+
+    return joined.select(*[merged(c).alias(c) for c in names])
 
 
 def valid_facts(df: DataFrame) -> DataFrame:

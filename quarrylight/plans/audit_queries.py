@@ -63,11 +63,16 @@ def calibrated_actions(spark, d):
     return c.select("conv_id", "turn", a.calibrated_action(F.col("role"), F.col("text"), F.when(F.col("turn") % 2 == 0, F.lit("known"))).alias("action"))
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '{a.TRANSIENT.replace("'", "''")}') THEN 'transient' WHEN regexp_matches(lower(text), '{a.CORRECTION.replace("'", "''")}') THEN 'correction' WHEN regexp_matches(lower(text), '{a.RULE.replace("'", "''")}') THEN 'rule' WHEN regexp_matches(lower(text), '{a.MILESTONE}') THEN 'milestone' ELSE 'other' END AS kind,
-length({s.strip('text')}) BETWEEN 16 AND 5000 AS usable FROM conversations""")
+SAID = """CASE turn % 5 WHEN 0 THEN '# Tools ' WHEN 1 THEN '{"status": "in_progress"} ' ELSE '' END || text"""
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '{a.TRANSIENT.replace("'", "''")}') THEN 'transient' WHEN regexp_matches(lower(text), '{a.CORRECTION.replace("'", "''")}') THEN 'correction' WHEN regexp_matches(lower(text), '{a.RULE.replace("'", "''")}') THEN 'rule' WHEN regexp_matches(lower(text), 'harbour|{a.MILESTONE}') THEN 'milestone' ELSE 'other' END AS kind,
+length(text) BETWEEN 16 AND 5000 AND NOT regexp_matches(text, '(?i)^<permissions instructions>|^<environment_context>|# Tools|base_instructions|developer instructions') AND NOT regexp_matches(text, '(?i)^\\{{ ?"status": ?"in_progress"') AS usable FROM (SELECT conv_id, turn, {SAID} AS text FROM conversations)""")
 def message_classes(spark, d):
     """C15, P11."""
-    return read(spark, d, "conversations").select("conv_id", "turn", a.message_class(F.col("text")).alias("kind"), a.usable(F.col("text")).alias("usable"))
+    opening = F.when(F.col("turn") % 5 == 0, "# Tools ").when(F.col("turn") % 5 == 1, '{"status": "in_progress"} ').otherwise("")
+    said = F.concat(opening, F.col("text"))
+    return read(spark, d, "conversations").select("conv_id", "turn", a.message_class(said, ("harbour",)).alias("kind"), a.usable(said).alias("usable"))
 
 
 @query("""WITH i AS (SELECT doc_id, unnest(list_filter([CASE WHEN length(text) < 200 THEN 'low:short' END, CASE WHEN text LIKE '%|%' THEN 'high:bars' END, CASE WHEN n_chars <> length(text) THEN 'medium:size' END], lambda x: x IS NOT NULL)) AS k FROM documents),
@@ -86,7 +91,7 @@ def dataset_gate(spark, d):
     return a.dataset_gate(read(spark, d, "conversations"), "conv_id", F.length("text") >= 200)
 
 
-@query("""WITH w AS (SELECT regexp_extract_all(lower(left(text, 300)), '[a-z0-9]+') AS i FROM documents), p AS (SELECT i[k] || ' ' || i[k + 1] AS pair FROM (SELECT i, unnest(range(1, len(i))) AS k FROM w WHERE len(i) >= 2))
+@query("""WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS i FROM documents), p AS (SELECT i[k] || ' ' || i[k + 1] AS pair FROM (SELECT i, unnest(range(1, len(i))) AS k FROM w WHERE len(i) >= 2))
 SELECT pair, count(*) AS n FROM p GROUP BY pair ORDER BY n DESC, length(pair) DESC, pair LIMIT 50""")
 def word_pairs(spark, d):
     """The fifty most frequent pairs of neighbours (a report)."""
@@ -138,10 +143,14 @@ def answers_and_verdicts(spark, d):
     return read(spark, d, "documents").select("doc_id", a.clean_answer(raw).alias("answer"), a.judged_correct(verdict).alias("correct"))
 
 
-@query("""SELECT doc_id, length(text) < 80 OR length(regexp_replace(text, '[^\\p{L}]+', '', 'g')) < 40 AS noise FROM documents WHERE NOT contains(text, '?')""")
+@query(r"""WITH x AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || chr(10) || 'ChatGPT can make mistakes.' WHEN 1 THEN 'Why so?' || chr(10) || ' And when? ' || chr(10) || text || chr(10) || 'Where?' ELSE text END AS t FROM documents),
+k AS (SELECT doc_id, regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', '') AS t FROM x), l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda v: ends_with(regexp_replace(v, '\s+$', ''), '?')) AS q FROM k)
+SELECT doc_id, length(t) < 80 OR contains(lower(t), 'chatgpt can make mistakes') OR length(regexp_replace(t, '[^\p{L}]+', '', 'g')) < 40 OR (len(q) >= 3 AND len(q) * 2 >= len(string_split(t, chr(10)))) AS noise FROM l""")
 def assistant_noise(spark, d):
-    """P10 over documents without questions."""
-    return read(spark, d, "documents").filter(~F.col("text").contains("?")).select("doc_id", a.assistant_noise(F.col("text")).alias("noise"))
+    """P10 over documents, some of them exported pages or mostly questions."""
+    k = F.col("doc_id") % 4
+    said = F.when(k == 0, F.concat("text", F.lit("\nChatGPT can make mistakes."))).when(k == 1, F.concat(F.lit("Why so?\n And when? \n"), F.col("text"), F.lit("\nWhere?"))).otherwise(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", a.assistant_noise(said).alias("noise"))
 
 
 QUERIES, ORACLE_SQL = Q, SQL

@@ -63,7 +63,7 @@ def dedupe_against_known(spark, d):
     return c.first_by_key(fresh, ["p"], "doc_id").select("doc_id")
 
 
-@query(f"""WITH k AS (SELECT doc_id, source, left({norm('text')}, 2) AS p, source || ':chunk-' || (doc_id % 3) AS sid FROM documents)
+@query(f"""WITH k AS (SELECT doc_id, source, {norm('text')} AS p, source || ':chunk-' || (doc_id % 3) AS sid FROM documents)
 SELECT doc_id FROM k a WHERE doc_id % 3 <> 0 AND EXISTS (SELECT 1 FROM k b WHERE b.doc_id % 3 = 0 AND b.p = a.p AND b.source = a.source)""")
 def dedupe_source_family(spark, d):
     """Texts already known from the same source family."""
@@ -147,20 +147,25 @@ def holdout_phrases(spark, d):
 @query(f"""WITH a AS (SELECT doc_id AS id, string_split({s.squeeze('lower(text)')}, ' ') AS w FROM documents), b AS (SELECT item_id AS id, string_split({s.squeeze('lower(text)')}, ' ') AS w FROM benchmark),
 sa AS (SELECT DISTINCT id, array_to_string(list_slice(w, i, i + 7), ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM a)),
 sb AS (SELECT DISTINCT id, array_to_string(list_slice(w, i, i + 7), ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 6)) AS i FROM b)),
-n AS (SELECT sa.id, sb.id AS o, count(*) AS k FROM sa JOIN sb USING (s) GROUP BY ALL HAVING count(*) >= 2) SELECT id, max(k) AS n_shared FROM n GROUP BY id""")
+n AS (SELECT sa.id, count(*) AS k FROM sa WHERE s IN (SELECT s FROM sb) GROUP BY id), q AS (SELECT id, w IN (SELECT w FROM b) AS equal FROM a)
+SELECT id, coalesce(k, 0) AS n_shared, equal FROM q LEFT JOIN n USING (id) WHERE coalesce(k, 0) >= 2 OR equal""")
 def shingle_overlap(spark, d):
-    """Documents that share two eight-word runs with a benchmark text."""
+    """Documents that share two eight-word runs with the benchmark texts."""
     def words(name, key):
         return read(spark, d, name).select(F.col(key).alias("id"), F.split(t.squeeze(F.lower("text")), " ").alias("words"))
 
     return c.shingle_overlap(words("documents", "doc_id"), words("benchmark", "item_id"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), ',') AS around FROM conversations")
+@query("""SELECT conv_id, turn, array_to_string(list(role) OVER w, ',') AS around, array_to_string(list_transform(list_filter(list({'s': turn // 2, 'v': role || turn}) OVER w, lambda x: x.s <> turn // 2), lambda x: x.v), ',') AS others
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
 def turn_neighbours(spark, d):
-    """Roles of two turns before and after."""
-    out = c.neighbours(read(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role", 2, 2)
-    return out.select("conv_id", "turn", F.array_join("around", ",").alias("around"))
+    """Roles of two turns before and after, and without those of the same
+    source, a pair of turns."""
+    rows = read(spark, d, "conversations").select("conv_id", "turn", "role", F.concat("role", "turn").alias("name"), F.expr("turn div 2").alias("source"))
+    out = c.neighbours(rows, ["conv_id"], "turn", "role", 2, 2).withColumnRenamed("around", "all")
+    out = c.neighbours(out, ["conv_id"], "turn", "name", 2, 2, "source")
+    return out.select("conv_id", "turn", F.array_join("all", ",").alias("around"), F.array_join("around", ",").alias("others"))
 
 
 @query("SELECT lang AS category, count(*) AS questions, avg((quality = 1)::INT::DOUBLE) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)")
@@ -175,7 +180,7 @@ def count_by_json_key(spark, d):
     return e.count_by(read(spark, d, "events").select(F.get_json_object("props", "$.k").alias("k")), "k")
 
 
-@query("""WITH k AS (SELECT doc_id, md5(regexp_replace(lower(regexp_replace(regexp_replace(left(text, 400), '^\\s+', ''), '\\s+$', '')), '\\s+', ' ', 'g')) AS key FROM documents), g AS (SELECT key, count(*) AS n FROM k GROUP BY key HAVING count(*) > 1),
+@query("""WITH k AS (SELECT doc_id, md5(regexp_replace(lower(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')), '\\s+', ' ', 'g')) AS key FROM documents), g AS (SELECT key, count(*) AS n FROM k GROUP BY key HAVING count(*) > 1),
 r AS (SELECT key, n, doc_id, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS rn FROM k JOIN g USING (key))
 SELECT key, n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS locations FROM r WHERE rn <= 12 GROUP BY key, n""")
 def duplicate_groups(spark, d):
@@ -184,7 +189,7 @@ def duplicate_groups(spark, d):
     return out.select("key", "n", F.array_join(F.transform("locations", lambda x: x.cast("string")), ",").alias("locations"))
 
 
-@query("""WITH o AS (SELECT lang, left(text, 3) AS opening, count(*) AS n, sum(ceil(length(text) / 4.0))::BIGINT AS tk FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, opening) AS r FROM o)
+@query(f"""WITH o AS (SELECT lang, array_to_string(list_slice(string_split({s.squeeze('text')}, ' '), 1, 8), ' ') AS opening, count(*) AS n, sum(ceil(length(text) / 4.0))::BIGINT AS tk FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, opening) AS r FROM o)
 SELECT lang, sum(n)::BIGINT AS n_rows, sum(tk)::BIGINT AS tokens, count(*) AS openings, sum(CASE WHEN r <= 3 THEN n ELSE 0 END)::DOUBLE / sum(n) AS top3_share, sum(tk)::DOUBLE / sum(n) AS avg_tokens FROM r GROUP BY lang""")
 def opening_audit(spark, d):
     """A5 by language, with the first eight words as the opening."""

@@ -32,7 +32,7 @@ def slug(x: str, joiner: str = "-", keep: str = "a-z0-9") -> str:
     return f"regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^{keep}]+', '{joiner}', 'g'), '^{joiner}+', ''), '{joiner}+$', '')"
 
 
-HEAD = "left(text, 200)"
+HEAD = "text"
 FIRST = rf"CASE WHEN regexp_matches({HEAD}, '^(.+?[.!?])(?:\s|$)') THEN regexp_extract({HEAD}, '^(.+?[.!?])(?:\s|$)', 1) ELSE {HEAD} END"
 
 
@@ -49,7 +49,7 @@ def text_functions(spark, d):
     )
 
 
-@query(f"""SELECT doc_id, {s.squeeze(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'hf_[A-Za-z0-9]{10,}', '[REDACTED_HF_TOKEN]', 'g'), 'sk-[A-Za-z0-9_-]{10,}', '[REDACTED_API_KEY]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED_EMAIL]', 'g'), '[A-Za-z]:\\[^\s''\"`]+', '[LOCAL_PATH]', 'g')")} AS clean FROM documents""")
+@query(f"""SELECT doc_id, {s.squeeze(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'hf_[A-Za-z0-9_=-]{16,}', '[REDACTED_HF_TOKEN]', 'g'), 'sk-[A-Za-z0-9_-]{8,}', '[REDACTED_API_KEY]', 'gi'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED_EMAIL]', 'g'), '[A-Za-z]:\\[^ \n\r\t''\"`]+', '[LOCAL_PATH]', 'g'), '/content/[^ \n\r\t''\"`]+', '[COLAB_PATH]', 'gi')")} AS clean FROM documents""")
 def redact(spark, d):
     """F21 over documents."""
     return read(spark, d, "documents").select("doc_id", t.redacted("text").alias("clean"))
@@ -149,12 +149,12 @@ def recall_plans(spark, d):
 
 SQL["recall_plans"] = "SELECT item_id, 'recall' AS intent, CASE WHEN item_id % 3 = 0 THEN 'semantic,episodic' ELSE 'episodic,archival' END AS tables, CASE WHEN item_id % 3 = 0 THEN len(list_slice(regexp_extract_all(lower(text), '[a-z0-9]{3,}'), 1, 12)) ELSE 0 END::INT AS n_hints, CASE WHEN item_id % 3 = 0 OR item_id % 9 = 0 THEN 5 ELSE least(5, item_id % 9) END::INT AS top_k, item_id % 3 = 0 AS plan_fallback FROM benchmark"
 
-MEAN = s.meaningful(s.squeeze("left(text, 300)"))
+MEAN = s.meaningful(s.squeeze("text"))
 
 
 @query(f"""WITH k AS (SELECT doc_id, lang, text, list_concat({s.meaningful('lang')}, {MEAN}) AS w FROM documents), u AS (SELECT *, {s.distinct('w')} AS d FROM k)
 SELECT doc_id, CASE WHEN len(d) = 0 THEN 'memory-anchor' ELSE array_to_string(list_slice(d, 1, 4), '-') END AS mnemonic,
-round(least(0.68::DOUBLE + CASE WHEN regexp_matches(lower(left(text, 300)), '\\b\\d{{4}}\\b|yesterday|last week|workflow|review|procedure') THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(lower(left(text, 300)), 'decision|prefer|constraint|indexable|mnemonic|recall') THEN 0.12::DOUBLE ELSE 0 END + 0.04::DOUBLE, 0.98::DOUBLE), 2) AS salience FROM u""")
+round(least(0.68::DOUBLE + CASE WHEN regexp_matches(lower(text), '\\b\\d{{4}}\\b|yesterday|last week|workflow|review|procedure') THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(lower(text), 'decision|prefer|constraint|indexable|mnemonic|recall') THEN 0.12::DOUBLE ELSE 0 END + 0.04::DOUBLE, 0.98::DOUBLE), 2) AS salience FROM u""")
 def mnemonic_keys(spark, d):
     """F42, F6, salience."""
     tags = F.array("lang")
@@ -188,13 +188,14 @@ def upsert_keeps_first_id(spark, d):
     return st.upsert_last(e.filter("id % 2 = 0"), e.filter("id % 2 = 1"), ["user_id", "event_type"], ["id"]).select("user_id", "event_type", "value", "id")
 
 
-@query("""WITH a AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'new' END AS name FROM customer WHERE c_custkey % 3 = 0)
-SELECT coalesce(b.id, a.id) AS id, coalesce(b.name, a.name) AS name, a.bal FROM a FULL JOIN b ON a.id = b.id""")
+@query("""WITH a AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 6 <> 0 THEN 'new' END AS name, c_custkey % 5 AS note FROM customer WHERE c_custkey % 3 = 0)
+SELECT coalesce(b.id, a.id) AS id, CASE WHEN b.id IS NOT NULL AND b.id % 4 <> 0 THEN b.name ELSE a.name END AS name, a.bal, b.note FROM a FULL JOIN b ON a.id = b.id""")
 def upsert_partial_rows(spark, d):
-    """Defined columns replace, new ids are added."""
+    """Defined columns replace, a defined null too; new ids and columns are added."""
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
-    new = c.filter("id % 3 = 0").select("id", F.when(F.col("id") % 6 == 0, F.lit(None)).otherwise(F.lit("new")).alias("name"))
-    return st.upsert_partial(c.filter("id % 2 = 0"), new)
+    given = F.when(F.col("id") % 4 == 0, F.array(F.lit("note"))).otherwise(F.array(F.lit("name"), F.lit("note")))
+    new = c.filter("id % 3 = 0").select("id", F.when(F.col("id") % 6 != 0, F.lit("new")).alias("name"), (F.col("id") % 5).alias("note"), given.alias("given"))
+    return st.upsert_partial(c.filter("id % 2 = 0"), new, defined="given")
 
 
 @query("WITH m AS (SELECT user_id, max(ts) AS last_accessed FROM events GROUP BY user_id) SELECT c_custkey, last_accessed FROM customer LEFT JOIN m ON c_custkey = user_id")
