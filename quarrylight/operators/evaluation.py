@@ -184,3 +184,77 @@ def best_so_far(df: DataFrame, by: list[str], step: str, metrics: list[str]) ->
     value = F.struct(*metrics)
     latest = df.withColumn("_v", value).withColumn("_best", F.max("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     return latest.withColumn("is_best", F.col("_best").isNull() | (F.col("_v") > F.col("_best"))).drop("_v", "_best")
+
+
+def dataset_warnings(df: DataFrame, action: str, indexables: str) -> DataFrame:
+    """Ratios of a dataset of 100 rows or more that are out of bounds."""
+    n = F.count("*")
+    share = lambda a: F.count_if(F.col(action) == a) / F.greatest(F.lit(1), n)
+    ratios = df.agg(n.alias("n"), share("ignore").alias("ignore"), share("recall_context").alias("recall"), (F.count_if(F.col(indexables) > 0) / F.greatest(F.lit(1), n)).alias("indexed"))
+    found = F.array_compact(F.array(F.when(F.col("ignore") > 0.45, "ignore_overrepresented"), F.when(F.col("recall") < 0.05, "recall_underrepresented"), F.when(F.col("indexed") < 0.35, "indexables_underrepresented")))
+    return ratios.filter("n >= 100").select(F.explode(found).alias("warning"))
+
+
+def latency_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Mean, median and the value at max(0, int(0.95 n) - 1) of the sorted ones,
+    by counts of values."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*by)
+    upto = F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    run = counts.withColumns({"upto": upto, "n": F.sum("c").over(w)})
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
+    low, high = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2))
+    late = at(F.greatest(F.lit(0), F.floor(F.col("n") * F.lit(0.95)) - 1))
+    return run.groupBy(*by).agg(F.max("n").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), 3).alias("mean"), F.round((low + high) / 2, 3).alias("p50"), F.round(late, 3).alias("p95"))
+
+
+def filled_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in which each column is neither null nor empty."""
+    return df.agg(*[F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) != "").alias(c) for c in columns])
+
+
+def skip_histogram(df: DataFrame, source: str, reason: str) -> DataFrame:
+    """Skipped rows by source and reason, and by reason over all (source null)."""
+    rows = df.filter(F.col(reason).isNotNull())
+    return rows.groupBy(source, reason).agg(F.count("*").alias("n")).unionByName(rows.groupBy(reason).agg(F.count("*").alias("n")).withColumn(source, F.lit(None).cast(df.schema[source].dataType)))
+
+
+def format_sizes(df: DataFrame, one: str, other: str) -> DataFrame:
+    """Total sizes of two renderings and the share that the second saves."""
+    return df.agg(F.count("*").alias("n_rows"), F.sum(F.length(one)).alias("one"), F.sum(F.length(other)).alias("other")).withColumn("saved", F.round(1 - F.col("other") / F.greatest(F.lit(1), F.col("one")), 4))
+
+
+def repair_histogram(df: DataFrame, repairs: str, status: str) -> DataFrame:
+    """How often each repair was made, and the share of rows that parse."""
+    ops = df.select(F.explode(repairs).alias("name")).groupBy("name").agg(F.count("*").cast("double").alias("value"))
+    return ops.unionByName(df.agg(rate(F.col(status) != "failed").alias("value")).select(F.lit("product_parse_valid_rate").alias("name"), "value"))
+
+
+def curriculum_audit(df: DataFrame, source: str, facts: str, temporal: str, most: int = 6) -> DataFrame:
+    """Rows, rows with facts and with times, and the largest sources, as
+    (measure, key, n)."""
+    totals = df.agg(F.count("*").alias("rows"), F.count_if(F.col(facts) > 0).alias("with_facts"), F.count_if(F.col(temporal)).alias("with_temporal"))
+    flat = totals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.lit("").alias("key"), F.col(c).alias("n")) for c in totals.columns])).alias("x")).select("x.*")
+    top = count_by(df, source).orderBy(F.col("n").desc(), "key").limit(most)
+    return flat.unionByName(top.select(F.lit("source").alias("measure"), "key", "n"))
+
+
+def mix_counts(df: DataFrame, key: str, task: str) -> DataFrame:
+    """Rows by task and by the part of the id before the first colon."""
+    prefix = F.substring_index(F.col(key).cast("string"), ":", 1)
+    return df.groupBy(F.col(task).alias("task"), prefix.alias("prefix")).agg(F.count("*").alias("n"))
+
+
+def teacher_comparison(df: DataFrame, model: str, rows: int, price: dict[str, float]) -> DataFrame:
+    """By model the rates of valid and of stored outputs, mean tokens, and the
+    cost of ``rows`` such outputs. ``price``: of a million tokens, by model."""
+    cost = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in price.items() for x in (F.lit(k), F.lit(float(v)))]), F.col(model)), F.lit(0.0))
+    out = df.groupBy(model).agg(F.count("*").alias("n"), rate(F.col("valid")).alias("valid_rate"), rate(F.col("stored")).alias("store_rate"), F.avg("tokens").alias("mean_tokens"))
+    return out.withColumn("cost", F.round(F.col("mean_tokens") * rows * cost / 1e6, 4))
+
+
+def dual_gate(storage: DataFrame, recall: DataFrame) -> DataFrame:
+    """Whether all metrics of both gates (see ``gate``) pass, and what fails."""
+    both = storage.withColumn("gate", F.lit("storage")).unionByName(recall.withColumn("gate", F.lit("recall")))
+    failed = F.array_sort(F.array_compact(F.collect_list(F.when(~F.col("passed"), F.concat_ws(":", "gate", "metric")))))
+    return both.agg(F.bool_and("passed").alias("passed"), failed.alias("failed"))
