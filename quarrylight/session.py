@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +28,25 @@ def get_session(app: str = "quarrylight", cores: int | str = "*", shuffle_partit
     return share_package(spark)
 
 
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, the folder that driver and executors share. Where
+    it is unset, a local session gets a private folder, removed at exit; any other
+    raises, as its executors could not read one."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
+    if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="quarrylight-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        found = f"file://{_own[0]}"
+    return found.rstrip("/")
+
+
 def share_package(spark: SparkSession) -> SparkSession:
     """Let Python workers of this session import the package from where the
     driver has it, whatever the working folder; for local and shared paths. Ship

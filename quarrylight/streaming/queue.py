@@ -29,6 +29,17 @@ def processed(rows: DataFrame, most: int = 1200, least: int = 200) -> DataFrame:
     return done.select("id", "index", F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"), "text", source.alias("source_id")).unionByName(failed)
 
 
+OUT = "id string, index int, status string, error string, text string, source_id string"
+
+
+def drained(spark: SparkSession, out: str) -> DataFrame:
+    """What ``drain`` wrote; no rows where no batch was."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], OUT)
+    return spark.read.schema(OUT).parquet(out)
+
+
 def drain(spark: SparkSession, path: str, out: str, checkpoint: str, files: int = 10, wait: bool = True, every: str = "5 seconds", most: int = 1200, least: int = 200):
     """Process what is pending; ``wait`` drains once and returns, else
     the query polls. Each batch writes a folder of its own, so a batch run again
