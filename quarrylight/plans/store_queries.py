@@ -11,6 +11,8 @@ from quarrylight.functions import text as t
 from quarrylight.operators import decisions as dc
 from quarrylight.operators import segment as sg
 from quarrylight.operators import store as st
+from quarrylight.operators.audit import likely_noise, recall_metrics
+from quarrylight.operators.evaluation import failure_bucket
 from quarrylight.plans import sqltext as s
 from quarrylight.plans.ranking_queries import read
 
@@ -214,4 +216,125 @@ def segmented_documents(spark, d):
     return sg.chunked_sources(out, "base").select("doc_id", "index", "n_segments", "tokens", "reason", "source_id", F.array_join("tags", ",").alias("tags"))
 
 
+@query(r"""WITH e AS (SELECT event_id, user_id, event_type, ts, value FROM events), ar AS (SELECT event_id, 'archival' AS scan, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM e WHERE event_type = 'view'),
+si AS (SELECT event_id, 'salience' AS scan, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts DESC, event_id DESC) AS r FROM e), em AS (SELECT event_id, 'embedding' AS scan, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM e),
+st AS (SELECT event_id, 'status' AS scan, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM e), pe AS (SELECT event_id, 'pending' AS scan, row_number() OVER (ORDER BY ts, event_id) AS r FROM e WHERE event_type = 'click'),
+wh AS (SELECT event_id, 'whole' AS scan, row_number() OVER (ORDER BY event_id DESC) AS r FROM e), ke AS (SELECT event_id, 'key' AS scan, 1 AS r FROM e WHERE event_type = 'view' AND user_id = (SELECT min(user_id) FROM e)), lo AS (SELECT event_id, 'lookup' AS scan, 1 AS r FROM e WHERE event_id % 1000 = 3)
+SELECT event_id, scan FROM (SELECT * FROM ar UNION ALL SELECT * FROM si UNION ALL SELECT * FROM em UNION ALL SELECT * FROM st UNION ALL SELECT * FROM pe UNION ALL SELECT * FROM wh UNION ALL SELECT * FROM ke UNION ALL SELECT * FROM lo) WHERE r <= CASE scan WHEN 'pending' THEN 20 WHEN 'whole' THEN 100 ELSE 2 END OR scan IN ('key', 'lookup')""")
+def store_scans(spark, d):
+    """Scans by user, model, status and key, with each scan's own limit."""
+    e = read(spark, d, "events").select("event_id", F.col("user_id"), "event_type", F.col("ts").alias("created_at"), F.col("event_id").alias("seq"), F.col("value").alias("salience"))
+    archive = e.filter("event_type = 'view'").select("event_id", "user_id", "seq", F.col("created_at").alias("archived_at"))
+    first = e.agg(F.min("user_id")).first()[0]
+    wanted = e.filter("event_id % 1000 = 3").select(F.col("event_type").alias("table"), F.col("event_id").alias("id"))
+    found = {
+        "archival": st.select_memories({"archival": archive}, 2), "salience": st.select_indexables(e, 2), "embedding": st.newest(e, ["user_id", "event_type"], 2), "status": st.newest(e, ["event_type"], 2),
+        "pending": st.pending(e.withColumn("status", F.when(F.col("event_type") == "click", "pending").otherwise("done"))), "whole": st.ingested(e), "key": st.by_key(e.withColumn("key", F.initcap("event_type")), first, " vIEW "),
+        "lookup": st.lookup(wanted, e.select(F.col("event_type").alias("table"), F.col("event_id").alias("id"), "event_id")),
+    }
+    out = None
+    for name, rows in found.items():
+        rows = rows.select("event_id", F.lit(name).alias("scan"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+SHORT = "CASE WHEN length({0}) <= {1} THEN {0} ELSE " + s.strip("left({0}, {1} - 3)") + " || '...' END"
+MARKED = "'[note] ' || lang || ' : ' || text"
+
+
+@query(rf"""WITH b AS (SELECT doc_id, source, lang, text, {MARKED} AS m, '  ' || source || '--' || lang || ' ' AS k FROM documents), f AS (SELECT *, CASE WHEN regexp_matches(text, '^(.+?[.!?])(?:\s|$)') THEN regexp_extract(text, '^(.+?[.!?])(?:\s|$)', 1) ELSE text END AS first_ FROM b)
+SELECT doc_id, {slug(s.strip('k'), '-', 'a-z0-9-')} AS clean_key, {SHORT.format('first_', 160)} AS hint, {s.strip(r"regexp_replace(m, '^\[[^\]]+\]\s*', '')")} AS bare, ' (source=' || source || CASE WHEN doc_id % 2 = 0 THEN '; date=May' ELSE '; source_time=2024' END || ')' AS suffix,
+{SHORT.format('text', 420)} AS memory, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^\sA-Za-z0-9_]')) AS n_pieces, CASE WHEN doc_id % 2 = 0 THEN 'a:b' END AS tag, (contains(lower(text), 'the')::INT + contains(lower(text), 'zz')::INT) AS n_terms,
+array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)the') THEN 'article' END, CASE WHEN regexp_matches(text, '(?i)de\b') THEN 'of' END], lambda x: x IS NOT NULL), ',') AS topics, 'x_y,' || source AS tags, source || ':chunk-' || doc_id AS chunk, source AS base FROM f""")
+def text_shapes(spark, d):
+    """F12, F16-F18, F20, F22, F23, F27, F29, F30, F44 over whole texts."""
+    k = F.col("doc_id")
+    docs = read(spark, d, "documents").select("doc_id", "source", "lang", "text", F.concat(F.lit("[note] "), "lang", F.lit(" : "), "text").alias("m"), F.concat(F.lit("  "), "source", F.lit("--"), "lang", F.lit(" ")).alias("k"), F.array(F.lit(" x y"), F.col("source"), F.lit(""), F.lit("x y "), F.col("source")).alias("tags"))
+    chunk = t.chunk_source(F.col("source"), k)
+    return docs.select(
+        "doc_id", t.clean_key("k").alias("clean_key"), t.hint("text").alias("hint"), t.without_metadata("m").alias("bare"), t.source_suffix(F.col("source"), F.when(k % 2 == 0, F.lit("May")), F.lit("2024")).alias("suffix"), t.shortened("text", 420).alias("memory"),
+        F.size(t.pieces("text")).cast("long").alias("n_pieces"), t.tag_value(F.when(k % 2 == 0, F.array(F.lit("z:1"), F.lit("k:a:b"), F.lit("k:c"))).otherwise(F.array(F.lit("z:1"))), "k").alias("tag"), t.count_terms("text", ["the", "zz"]).alias("n_terms"),
+        F.array_join(t.topic_tags("text", [("the", "article"), (r"de(?![A-Za-z0-9_])", "of")]), ",").alias("topics"), F.array_join(t.unique_tags("tags"), ",").alias("tags"), chunk.alias("chunk"), t.base_source(chunk).alias("base"),
+    )
+
+
+@query("""WITH e AS (SELECT event_id, ts::DATE AS a, event_id % 6 AS k FROM events) SELECT event_id, CASE k WHEN 0 THEN 'yesterday' WHEN 1 THEN 'last year' WHEN 2 THEN NULL WHEN 3 THEN '2021' WHEN 4 THEN NULL ELSE 'yesterday' END AS temporal_expression,
+CASE k WHEN 0 THEN strftime(a - INTERVAL 1 DAY, '%-d %B %Y') WHEN 1 THEN (year(a) - 1)::VARCHAR WHEN 2 THEN NULL WHEN 3 THEN 'old' WHEN 4 THEN 'old' ELSE 'old' END AS resolved_time, CASE k WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.95 WHEN 2 THEN NULL ELSE 0.95 END AS resolved_time_confidence FROM e""")
+def temporal_fields(spark, d):
+    """Words in a text or given, unsupported, absent, without a date."""
+    k = F.col("event_id") % 6
+    e = read(spark, d, "events").withColumn("stamp", F.when(k != 5, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    given = F.when(k == 1, F.lit("last year")).when(k == 2, F.lit("someday")).when(k == 3, F.lit("2021")).when(k == 5, F.lit("yesterday"))
+    text = F.when(k == 0, F.lit("We met Yesterday and today")).otherwise(F.lit("nothing here"))
+    out = tm.normalized(given, text, F.when(k > 1, F.lit("old")), F.when(k > 0, F.lit(0.95)), F.col("stamp"))
+    return e.select("event_id", out.alias("o")).select("event_id", "o.*")
+
+
+@query(f"""SELECT conv_id, turn, role AS subject, 'said_this' AS predicate, CASE WHEN turn % 4 = 1 THEN 'spare' ELSE {s.strip('text')} END AS value_text, CASE WHEN turn % 3 = 0 THEN 0.75::DOUBLE ELSE 0.2::DOUBLE + turn / 10.0::DOUBLE END AS confidence FROM conversations WHERE turn % 5 <> 0 AND (turn % 3 = 0 OR 0.2::DOUBLE + turn / 10.0::DOUBLE >= 0.35)""")
+def fact_writes(spark, d):
+    """Facts that may be written; empty subjects and low confidence may not."""
+    k = F.col("turn")
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.when(k % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "role", F.lit("\n"))).alias("subject"), F.lit(" Said this! ").alias("predicate"), F.when(k % 4 == 1, F.lit(" ")).otherwise(F.col("text")).alias("value_text"), F.lit("spare").alias("value"), F.when(k % 3 != 0, 0.2 + k / 10).alias("confidence"))
+    return st.valid_facts(rows).select("conv_id", "turn", "subject", "predicate", "value_text", "confidence")
+
+
+@query("""SELECT count(*) AS cases, avg((doc_id % 2 = 0)::INT::DOUBLE) AS target_tables_exact_rate, avg((doc_id % 2 = 0)::INT::DOUBLE) AS target_tables_primary_rate, avg(CASE WHEN doc_id % 3 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS ranking_hints_score, avg((doc_id % 5 = 3)::INT::DOUBLE) AS top_k_exact_rate FROM documents WHERE doc_id % 7 <> 0""")
+def recall_plan_metrics(spark, d):
+    """Made plans against expected ones, skipped cases left out."""
+    k, a = F.col("doc_id"), lambda *x: F.array(*map(F.lit, x))
+    rows = read(spark, d, "documents").select(
+        (k % 7 == 0).alias("skipped"), a("semantic", "episodic").alias("expected_tables"), F.when(k % 2 == 0, a("semantic", "episodic")).otherwise(a("archival")).alias("predicted_tables"),
+        F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(a("x", "y")).alias("expected_hints"), a("y", "z").alias("predicted_hints"), F.lit(3).alias("expected_k"), (k % 5).alias("predicted_k"),
+    )
+    return recall_metrics(rows)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 10 = 1 THEN 'image_context_missing' WHEN doc_id % 10 = 2 THEN 'ambiguous_relative_date' WHEN doc_id % 10 = 3 THEN 'speaker_confusion' WHEN doc_id % 10 = 4 THEN 'judge_error' WHEN doc_id % 10 = 5 THEN 'missing_memory'
+WHEN doc_id % 10 = 6 THEN 'retrieval_miss' WHEN doc_id % 10 = 7 THEN 'bad_context_selection' WHEN doc_id % 10 = 8 THEN 'bad_context_selection' ELSE 'answer_model_error' END AS bucket, doc_id % 10 = 4 AS noise FROM documents""")
+def failure_buckets(spark, d):
+    """Each cause in turn."""
+    k = F.col("doc_id") % 10
+    asked = F.when(k == 1, F.lit("which Photo")).when(k == 2, F.lit("what came next")).when(k == 3, F.lit("where did She go")).otherwise(F.lit("which colour"))
+    some = F.when(k == 7, F.array().cast("array<string>")).otherwise(F.array(F.lit("memo")))
+    judge, answer = F.when(k == 4, F.lit("Gold differs")).otherwise(F.lit("")), F.when(k == 8, F.lit("I do not know")).otherwise(F.lit("blue"))
+    bucket = failure_bucket(k == 0, asked, F.lit("red"), answer, some, k != 5, k != 6, judge)
+    return read(spark, d, "documents").select("doc_id", bucket.alias("bucket"), likely_noise(F.when(k == 4, F.lit(" Okay, sure. ")).otherwise(F.lit("A plan for May."))).alias("noise"))
+
+
+@query(f"""WITH b AS (SELECT doc_id, doc_id % 4 AS k, {sig('text')} AS a, {sig("left(text, 100)")} AS h FROM documents), q AS (SELECT *, list_distinct(a) AS u FROM b)
+SELECT doc_id, CASE WHEN k = 0 THEN 'store_episodic' WHEN k = 1 THEN 'store_episodic' WHEN k = 2 THEN 'ignore' WHEN len(list_filter(u, lambda x: list_contains(h, x))) >= ceil(len(u) * 0.5::DOUBLE) THEN 'update_existing' ELSE 'store_episodic' END AS final_action FROM q""")
+def consolidation(spark, d):
+    """Too far, by cosine too; a verdict that counts; a merge that must keep
+    half of the old tokens."""
+    k = F.col("doc_id") % 4
+    rows = read(spark, d, "documents").select("doc_id", F.lit("store_episodic").alias("action"), F.when(k == 2, "ignore_noise").otherwise("update_existing").alias("verdict"), F.when(k == 0, 0.2).otherwise(0.4).alias("near"), F.when(k == 1, 0.4).when(k == 2, 0.6).alias("cosine"), F.col("text").alias("old"), F.substring("text", 1, 100).alias("merged"))
+    return dc.consolidated(rows, "action", "verdict", "near", "cosine", "old", "merged").select("doc_id", "final_action")
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN turn % 2 = 1 THEN '$.action' END, CASE WHEN turn % 3 = 0 AND turn % 2 = 0 THEN '$.memory.content' END, CASE WHEN turn % 5 = 0 THEN '$.memory.type' END, CASE WHEN turn % 4 = 3 THEN '$.memory.confidence' END,
+CASE WHEN turn % 7 = 0 THEN '$.facts.predicate' END, CASE WHEN turn % 6 = 5 THEN '$.reasoning' END], lambda x: x IS NOT NULL), ',') AS paths FROM conversations""")
+def strict_decisions(spark, d):
+    """what a strict decision breaks."""
+    k, null = F.col("turn"), F.lit(None)
+    memory = F.struct(F.when(k % 3 == 0, F.lit(" ")).otherwise(F.lit("kept")).alias("content"), F.when(k % 5 == 0, F.lit("working")).otherwise(F.lit("semantic")).alias("type"), F.lit(0.5).alias("strength"), null.cast("double").alias("decay_rate"), F.lit(0.0).alias("emotional_weight"), F.when(k % 4 == 3, 1.5).otherwise(1.0).alias("confidence"))
+    facts = F.from_json(F.to_json(F.array(F.struct(F.when(k % 7 == 0, F.lit("Says So")).otherwise(F.lit("says_so")).alias("predicate")))), f"array<{dc.FACT}>")
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.when(k % 2 == 1, F.lit("promote")).otherwise(F.lit("update_existing")).alias("action"), memory.alias("memory"), facts.alias("facts"), F.when(k % 6 == 5, F.lit("")).otherwise(F.lit("r")).alias("reasoning"))
+    return rows.select("conv_id", "turn", F.array_join(F.transform(dc.strict_issues(rows), lambda i: i.path), ",").alias("paths"))
+
+
+@query(f"""WITH k AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'ignore_op' WHEN 1 THEN 'merge_Conflict' WHEN 2 THEN 'auto_promote' WHEN 3 THEN 'Update_row' WHEN 4 THEN 'rerank' WHEN 5 THEN 'slow_decay' WHEN 6 THEN 'other' ELSE 'recall_promote' END AS op FROM documents)
+SELECT doc_id, CASE WHEN contains(lower(op), 'ignore') THEN 'ignore' WHEN contains(lower(op), 'conflict') THEN 'detect_interference' WHEN contains(lower(op), 'promote') THEN 'promote' WHEN contains(lower(op), 'update') THEN 'update_existing' WHEN contains(lower(op), 'rank') OR contains(lower(op), 'recall') THEN 'rank' WHEN contains(lower(op), 'decay') THEN 'decay' ELSE 'store_episodic' END AS action,
+doc_id % 2 = 0 AND doc_id % 3 <> 0 AND (doc_id % 5 = 0 OR doc_id % 5 < 3) AS logged, doc_id % 9 <> 0 AS todo FROM k""")
+def operations(spark, d):
+    """Actions of operation names, ignores worth a log, what is left to do."""
+    k = F.col("doc_id")
+    names = ["ignore_op", "merge_Conflict", "auto_promote", "Update_row", "rerank", "slow_decay", "other", "recall_promote"]
+    docs = read(spark, d, "documents").select("doc_id", F.get(F.array(*map(F.lit, names)), (k % 8).cast("int")).alias("op"), F.when(k % 2 == 0, "ignore").otherwise("store").alias("final_action"), (k % 3 == 0).alias("wrote"), F.when(k % 5 != 0, (k % 5) / 6).alias("confidence"))
+    logged = st.low_confidence_ignores(docs).select("doc_id", F.lit(True).alias("logged"))
+    todo = st.resume(docs, docs.filter("doc_id % 9 = 0"), ["doc_id"]).select("doc_id", F.lit(True).alias("todo"))
+    out = docs.select("doc_id", dc.action_of_operation("op").alias("action")).join(logged, "doc_id", "left").join(todo, "doc_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("logged", "todo")})
+
+
 QUERIES, ORACLE_SQL = Q, SQL
