@@ -18,16 +18,30 @@ def test_signed_batches_are_idempotent(spark, tmp_path):
     assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "t", 1, 12)]
     assert not r.apply("1", first)
     # a writer that lost the race for a version rereads and commits after the winner
-    version, state = r.log.latest()
-    assert r.log.commit(version + 1, {"batches": [*state["batches"], "other"], "deltas": state["deltas"]})
-    assert not r.log.commit(version + 1, {"batches": [], "deltas": []})
-    assert r.apply("3", first)
-    assert {"other", "3"} <= set(r.log.latest()[1]["batches"])
+    other = Rollup(spark, f"file://{tmp_path}/r")
+    assert other.apply("other", second)
+    assert not r.log.commit(other.version, {"batch": "late", "path": "x"})
+    assert r.apply("3", first) and not other.apply("3", first)
+    assert {"other", "3"} <= r.batches
+
+
+def test_moves_and_vacuum(spark, tmp_path):
+    r = Rollup(spark, f"file://{tmp_path}/r")
+    r.apply("1", spark.createDataFrame([("insert", "a", "en", "t", 10, None, 1), ("insert", None, "en", "t", 5, None, 2)], SCHEMA))
+    move = spark.createDataFrame([("revise", "b", "de", "t", 11, 10, 1, True, "a", "en"), ("revise", "b", None, "t", 5, 5, 2, True, None, "en")], SCHEMA + ", moved boolean, old_source string, old_lang string")
+    r.apply("2", move)
+    assert sorted(((x.source, x.lang, x.n_docs, x.n_tokens) for x in r.totals().collect()), key=str) == sorted([("a", "en", 0, 0), (None, "en", 0, 0), ("b", "de", 1, 11), ("b", None, 1, 5)], key=str)
+    r.compact()
+    r.vacuum()
+    assert len(list(tmp_path.glob("r/delta-*"))) == 0
+    fresh = Rollup(spark, f"file://{tmp_path}/r")
+    assert not fresh.apply("2", move)
+    assert sorted(((x.source, x.lang, x.n_docs, x.n_tokens) for x in fresh.totals().collect()), key=str) == sorted([("b", "de", 1, 11), ("b", None, 1, 5)], key=str)
 
 
 def test_query_equals_direct_counts(spark):
     rows = [(i, f"some words {'é' * (i % 5)} here {i}", ["a", "b", None][i % 3], ["en", None][i % 2]) for i in range(60)]
-    rows += [(100, None, "a", "en"), (101, "", "a", "en"), (5, rows[5][1], "c", "en"), (None, "x y", "a", "en")]
+    rows += [(102, "word " * 60_000 + " " * 1_200_000, "a", "en"), (100, None, "a", "en"), (101, "", "a", "en"), (5, rows[5][1], "c", "en"), (None, "x y", "a", "en")]
     want = collections.Counter()
     for _, t, s, g in rows:
         want[s, g, "byte_bpe_50k", "d"] += 1
