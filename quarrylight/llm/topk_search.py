@@ -10,19 +10,24 @@ Index: ``PIVOTS`` pivots, chosen farthest-first from a bounded sample of
 range-partitioned and sorted by that key, vec_id last, and cut into annuli: runs
 of one pivot between two radii. A pivot that holds most rows is just many
 annuli. At most about ``ANNULI`` annuli exist at any size (they get larger, as
-several chunks), so their directory of radii is bounded and may be shared.
+several chunks), so their directory, the least and the greatest distance of each
+to every pivot, is bounded and may be shared. Components are kept in the smallest
+integer type that holds them.
 
-Search: a query's annuli are sorted by the lower bound |d(q, pivot) - radius|.
-Rounds expand the nearest, then the next few, then all whose bound does not
-exceed the distance of the k-th best so far; the others can't hold a better or
-equal score. Queries travel in blocks to the annuli they need, and a task does
-one matrix product for a block and a chunk.
+Search: a query's annuli are sorted by their lower bound, the most that any pivot
+p allows: |d(q, p) - [least, greatest]|. ``ROUNDS`` expand the nearest, then the
+next few, then more, each time only those whose bound does not exceed the
+distance of the k-th best so far; the search stops where none is left, as the
+others can't hold a better or equal score. Queries travel in blocks to the annuli
+they need, and a task does one matrix product for a block and a chunk.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part, neither do rows with null vec_id; shorter vectors are padded with
 zeros; a query's own vec_id is no candidate; rows that repeat a vec_id are
-candidates each, and as queries count once (the least vector); an empty table
-gives an empty result. Scores are exact while they stay below 2^53.
+candidates each, and as queries count once (the least vector); extra columns are
+ignored; an empty table gives an empty result. Scores are exact: where they may
+pass 2^53 products are taken in whole numbers, and vectors so long that a score
+may pass 2^63 raise an error.
 """
 
 from __future__ import annotations
@@ -38,10 +43,10 @@ from pyspark.sql import functions as F
 from quarrylight.llm.common import hash_sample, staged
 
 K, SCALE, EVERY = 5, 256, 50
-PIVOTS, SAMPLE, ANNULI, CHUNK, BLOCK = 32, 1024, 4096, 1024, 256
-ROUNDS = ((0, 1), (1, 8), (8, None))
+PIVOTS, SAMPLE, ANNULI, CHUNK, BLOCK = 32, 1024, 4096, 256, 256
+ROUNDS = ((0, 1), (1, 4), (4, 32), (32, None))
 VALID = "vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))"
-INDEX = "annulus long, pivot int, low double, high double, n int, ids binary, vectors binary"
+INDEX = "annulus long, low array<double>, high array<double>, n int, ids binary, vectors binary"
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -74,21 +79,26 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, ((x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T)))
 
 
-def _keyed(dim: int, most: float, pivots: np.ndarray):
+def packed(v: np.ndarray, kind: str) -> np.ndarray:
+    """Components, whole numbers below 2^53 or beyond, as ``kind``."""
+    return v if kind == "float64" else v.astype(kind)
+
+
+def _keyed(dim: int, most: float, pivots: np.ndarray, kind: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = matrix(batch.column("embedding"), dim)
             d = distances(lift(v, most), pivots)
             near = d.argmin(1)
             yield pa.record_batch(
-                [pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(v)), near]), batch.column("vec_id"), pa.array([r.tobytes() for r in v], pa.binary())],
+                [pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(v)), near]), batch.column("vec_id"), pa.array([r.tobytes() for r in packed(v, kind)], pa.binary())],
                 ["pivot", "distance", "vec_id", "vector"],
             )
 
     return scan
 
 
-def _annuli(limit: int, chunk: int):
+def _annuli(limit: int, chunk: int, dim: int, most: float, pivots: np.ndarray, kind: str):
     """Chunks of consecutive vectors of one pivot; ``limit`` vectors an annulus."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,21 +106,23 @@ def _annuli(limit: int, chunk: int):
         number, filled, pivot, held = -1, 0, None, []
 
         def close() -> pa.RecordBatch:
-            ids, dist, vectors = (np.array([h[0] for h in held], np.int64), [h[1] for h in held], b"".join(h[2] for h in held))
-            row = [first + number, pivot, dist[0], dist[-1], len(held), ids.tobytes(), vectors]
+            ids, vectors = np.array([h[0] for h in held], np.int64), b"".join(h[1] for h in held)
+            d = distances(lift(np.frombuffer(vectors, kind).reshape(len(held), dim).astype(np.float64), most), pivots)
+            row = [first + number, d.min(0).tolist(), d.max(0).tolist(), len(held), ids.tobytes(), vectors]
             held.clear()
-            kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
+            many = pa.list_(pa.float64())
+            kinds = [pa.int64(), many, many, pa.int32(), pa.binary(), pa.binary()]
             return pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds)], [c.split()[0] for c in INDEX.split(", ")])
 
         for batch in batches:
-            for p, d, i, v in zip(*(batch.column(c).to_pylist() for c in ("pivot", "distance", "vec_id", "vector"))):
+            for p, i, v in zip(*(batch.column(c).to_pylist() for c in ("pivot", "vec_id", "vector"))):
                 if p != pivot or filled == limit or len(held) == chunk:
                     if held:
                         yield close()
                     if p != pivot or filled == limit:
                         number, filled = number + 1, 0
                     pivot = p
-                held.append((i, d, v))
+                held.append((i, v))
                 filled += 1
         if held:
             yield close()
@@ -118,17 +130,19 @@ def _annuli(limit: int, chunk: int):
     return scan
 
 
-def _blocks(dim: int, most: float, pivots: np.ndarray, directory: tuple, lo: int, hi: int | None, block: int):
+def _blocks(dim: int, most: float, pivots: np.ndarray, directory: tuple, lo: int, hi: int | None, block: int, kind: str):
     """For blocks of queries, the annuli of rank lo to hi that may hold a better one."""
-    name, of, low, high = directory
+    name, low, high = directory
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, block):
                 batch = whole.slice(a, block)
                 v = matrix(batch.column("embedding"), dim)
-                d = distances(np.hstack([v, np.zeros((len(v), 1))]), pivots)[:, of]
-                bound = np.maximum(0.0, np.maximum(low - d, d - high))
+                d = distances(np.hstack([v, np.zeros((len(v), 1))]), pivots)
+                bound = np.zeros((len(v), len(name)))
+                for p in range(len(pivots)):
+                    np.maximum(bound, np.maximum(low[:, p] - d[:, p : p + 1], d[:, p : p + 1] - high[:, p]), out=bound)
                 rank = np.argsort(np.argsort(bound, axis=1, kind="stable"), axis=1, kind="stable")
                 least = batch.column("least").to_numpy(zero_copy_only=False)  # NaN: fewer than k known
                 reach = np.sqrt(np.maximum(0.0, (v * v).sum(1) + most - 2 * least))
@@ -138,33 +152,32 @@ def _blocks(dim: int, most: float, pivots: np.ndarray, directory: tuple, lo: int
                 for j in np.flatnonzero(wanted.any(0)):
                     rows = np.flatnonzero(wanted[:, j])
                     yield pa.record_batch(
-                        [pa.array([name[j]]), pa.array([ids[rows].astype(np.int64).tobytes()]), pa.array([v[rows].tobytes()])], ["annulus", "query_ids", "queries"]
+                        [pa.array([name[j]]), pa.array([ids[rows].astype(np.int64).tobytes()]), pa.array([packed(v[rows], kind).tobytes()])], ["annulus", "query_ids", "queries"]
                     )
 
     return scan
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids."""
-    at = np.flatnonzero(scores > -np.inf)
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int, own: int) -> np.ndarray:
+    """Places of the k highest scores but of id ``own``, ties to smaller ids."""
+    at = np.flatnonzero(ids != own)
     if len(at) > k:
         at = at[scores[at] >= np.partition(scores[at], -k)[-k]]
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def _products(dim: int, k: int):
+def _products(dim: int, k: int, kind: str, whole: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
             for i in range(batch.num_rows):
                 qid = np.frombuffer(batch.column("query_ids")[i].as_py(), np.int64)
                 ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
-                q = np.frombuffer(batch.column("queries")[i].as_py(), np.float64).reshape(len(qid), dim)
-                v = np.frombuffer(batch.column("vectors")[i].as_py(), np.float64).reshape(len(ids), dim)
-                scores = q @ v.T
-                scores[qid[:, None] == ids[None, :]] = -np.inf
+                q = np.frombuffer(batch.column("queries")[i].as_py(), kind).reshape(len(qid), dim).astype(np.int64 if whole else np.float64)
+                v = np.frombuffer(batch.column("vectors")[i].as_py(), kind).reshape(len(ids), dim).astype(q.dtype)
+                scores = q @ v.T  # exact: in whole numbers below 2^63, in floats below 2^53
                 for r in range(len(qid)):
-                    at = best_of(scores[r], ids, k)
+                    at = best_of(scores[r], ids, k, qid[r])
                     out.append((np.full(len(at), qid[r]), ids[at], scores[r, at].astype(np.int64)))
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
@@ -172,29 +185,36 @@ def _products(dim: int, k: int):
     return scan
 
 
-def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIVOTS) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose vec_id ``every`` divides."""
+def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIVOTS, report: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows whose vec_id ``every`` divides.
+    ``report`` is given the pairs of queries and vectors that were scored, and all."""
     spark = vectors.sparkSession
     valid = vectors.filter(VALID).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     norm = f"aggregate(embedding, 0D, (a, x) -> a + pow(cast(floor({SCALE} * x) AS double), 2))"
-    n, dim, most = valid.agg(F.count("*"), F.max(F.size("embedding")), F.max(F.expr(norm))).first()
+    largest = f"aggregate(embedding, 0D, (a, x) -> greatest(a, abs(floor({SCALE} * x))))"
+    n, dim, most, top = valid.agg(F.count("*"), F.max(F.size("embedding")), F.max(F.expr(norm)), F.max(F.expr(largest))).first()
     schema = "query_id long, rank int, vec_id long, score long"
     if not n:
         return spark.createDataFrame([], schema)
     sample = hash_sample(valid, "vec_id", n, SAMPLE).select("embedding").collect()
     dim = max(dim, 1)
+    if most >= 2.0**63:
+        raise ValueError("vectors are too long for scores of 64 bits")
+    kind = next(t for t, bits in (("int16", 15), ("int32", 31), ("int64", 63)) if top < 2.0**bits)
+    whole = most >= 2.0**53  # no score passes the largest squared length
     sample = sample or valid.select("embedding").limit(pivots).collect()
     points = np.zeros((len(sample), dim))
     for i, r in enumerate(sample):
         points[i, : len(r[0])] = np.floor(SCALE * np.array(r[0], np.float64))
     centres = choose_pivots(points, most, pivots)
     limit = max(CHUNK, -(-n // ANNULI))
-    keyed = valid.mapInArrow(_keyed(dim, most, centres), "pivot int, distance double, vec_id long, vector binary")
+    keyed = valid.mapInArrow(_keyed(dim, most, centres, kind), "pivot int, distance double, vec_id long, vector binary")
     keys = ["pivot", "distance", "vec_id"]
-    index = keyed.repartitionByRange(max(1, min(ANNULI, n // (4 * CHUNK))), *keys).sortWithinPartitions(*keys).mapInArrow(_annuli(limit, CHUNK), INDEX)
+    index = keyed.repartitionByRange(max(1, min(ANNULI, n // (4 * CHUNK))), *keys).sortWithinPartitions(*keys).mapInArrow(_annuli(limit, CHUNK, dim, most, centres, kind), INDEX)
     index = staged(index, "op1-index")
-    rows = index.groupBy("annulus").agg(F.first("pivot").alias("pivot"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("annulus").collect()
-    directory = tuple(np.array([r[c] for r in rows]) for c in ("annulus", "pivot", "low", "high"))
+    ends = [F.array(*[f(F.col(c)[p]) for p in range(len(centres))]).alias(c) for c, f in (("low", F.min), ("high", F.max))]
+    rows = index.groupBy("annulus").agg(*ends, F.sum("n").alias("n")).orderBy("annulus").collect()  # a row for each of ANNULI
+    directory = tuple(np.array([r[c] for r in rows]) for c in ("annulus", "low", "high"))
     queries = staged(valid.filter(f"vec_id % {every} = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "op1-queries")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = None
@@ -205,8 +225,13 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIVO
         if best is not None:
             least = best.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("least"))
             known = queries.join(least, "vec_id", "left")
-        pairs = known.select("vec_id", "embedding", "least").mapInArrow(_blocks(dim, most, centres, directory, lo, hi, BLOCK), "annulus long, query_ids binary, queries binary")
-        found = pairs.join(index.select("annulus", "ids", "vectors"), "annulus").select("query_ids", "queries", "ids", "vectors").mapInArrow(_products(dim, k), "query_id long, vec_id long, score long")
+        pairs = known.select("vec_id", "embedding", "least").mapInArrow(_blocks(dim, most, centres, directory, lo, hi, BLOCK, kind), "annulus long, query_ids binary, queries binary")
+        if report is not None:
+            size = spark.createDataFrame([(r.annulus, r.n) for r in rows], "annulus long, n long")
+            scored = pairs.join(size, "annulus").agg(F.sum(F.octet_length("query_ids") / 8 * F.col("n"))).first()[0] or 0
+            report["scored"] = report.get("scored", 0) + int(scored)
+            report["pairs"] = queries.count() * n
+        found = pairs.join(index.select("annulus", "ids", "vectors"), "annulus").select("query_ids", "queries", "ids", "vectors").mapInArrow(_products(dim, k, kind, whole), "query_id long, vec_id long, score long")
         found = found if best is None else found.unionByName(best.drop("rank"))
         best = staged(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), f"op1-round{r}")
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quarrylight.llm import topk_search
 from quarrylight.llm.topk_search import best_of, top_k
@@ -26,7 +27,29 @@ def test_equals_brute_force(spark, monkeypatch):
     rows += [(9000, None), (9001, [None] + [0.1] * 11), (9050, [float("nan")] * 12), (9100, [float("inf")] * 12), (9150, []), (9200, [1.0, 2.0]), (None, [0.1] * 12)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS annulus", "2 AS pivot", "'l' AS label").repartition(5)
     as_float = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
-    assert sorted(map(tuple, top_k(df, pivots=6).collect())) == brute(as_float, 50, 5)
+    report = {}
+    assert sorted(map(tuple, top_k(df, pivots=6, report=report).collect())) == brute(as_float, 50, 5)
+    assert report["pairs"] == 38 * 1802
+
+
+def test_most_pairs_are_never_scored(spark):
+    """On clustered vectors of like length the bounds leave less than a third."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(24, 16))
+    v = centres[rng.integers(0, 24, 6000)] + 0.05 * rng.normal(size=(6000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows, report = [(i, x.tolist()) for i, x in enumerate(v)], {}
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), report=report).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 50, 5)
+    assert 0 < report["scored"] < 0.33 * report["pairs"]
+
+
+def test_large_components(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(i, [float(1 << 20) + i, float(i % 7) * 1e6]) for i in range(200)]
+    assert sorted(map(tuple, top_k(spark.createDataFrame(rows, schema)).collect())) == brute(rows, 50, 5)
+    with pytest.raises(ValueError, match="too long"):
+        top_k(spark.createDataFrame([(0, [1e18]), (1, [1.0])], schema))
 
 
 def test_small_tables(spark):
@@ -38,4 +61,4 @@ def test_small_tables(spark):
 
 
 def test_best_of_ties():
-    assert best_of(np.array([1.0, 3, 3, 3, -np.inf]), np.array([9, 8, 7, 6, 5]), 2).tolist() == [3, 2]
+    assert best_of(np.array([1.0, 3, 3, 3, 9]), np.array([9, 8, 7, 6, 5]), 2, 5).tolist() == [3, 2]
