@@ -150,8 +150,9 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
     share = max(1, sample // len(languages))
     place = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30))
     bound = F.element_at(F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(min(1.0, 1.2 * share / sizes[k]) * (1 << 30))))]), F.col("lang"))
-    picked = known.withColumn("place", place).filter(F.col("place") < bound).select("lang", "place", "doc_id", "fold").orderBy("place", "doc_id").limit(2 * sample)
-    rows_ = picked.mapInArrow(_sampled, "lang string, place long, doc_id long, at binary, found binary").collect()
+    picked = known.withColumn("place", place).filter(F.col("place") < bound).select("lang", "place", "doc_id", "fold")
+    # features first: what meets in one place is counts, not texts
+    rows_ = picked.mapInArrow(_sampled, "lang string, place long, doc_id long, at binary, found binary").orderBy("place", "doc_id").limit(2 * sample).collect()
     df = known.select("fold").mapInArrow(_frequencies, "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).collect()
     seen = {r.place: r.df for r in df}
     n = seen.pop(-1)
