@@ -152,7 +152,8 @@ def _blocks(dim: int, most: float, pivots: np.ndarray, directory: tuple, lo: int
                 for j in np.flatnonzero(wanted.any(0)):
                     rows = np.flatnonzero(wanted[:, j])
                     yield pa.record_batch(
-                        [pa.array([name[j]]), pa.array([ids[rows].astype(np.int64).tobytes()]), pa.array([packed(v[rows], kind).tobytes()])], ["annulus", "query_ids", "queries"]
+                        [pa.array([name[j]]), pa.array([ids[rows].astype(np.int64).tobytes()]), pa.array([np.nextafter(np.nan_to_num(least[rows], nan=-np.inf, neginf=-np.inf), -np.inf).tobytes()]), pa.array([packed(v[rows], kind).tobytes()])],
+                        ["annulus", "query_ids", "leasts", "queries"],
                     )
 
     return scan
@@ -172,12 +173,14 @@ def _products(dim: int, k: int, kind: str, whole: bool):
             out: list[tuple[np.ndarray, ...]] = []
             for i in range(batch.num_rows):
                 qid = np.frombuffer(batch.column("query_ids")[i].as_py(), np.int64)
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
+                ids, least = np.frombuffer(batch.column("ids")[i].as_py(), np.int64), np.frombuffer(batch.column("leasts")[i].as_py(), np.float64)
                 q = np.frombuffer(batch.column("queries")[i].as_py(), kind).reshape(len(qid), dim).astype(np.int64 if whole else np.float64)
                 v = np.frombuffer(batch.column("vectors")[i].as_py(), kind).reshape(len(ids), dim).astype(q.dtype)
                 scores = q @ v.T  # exact: in whole numbers below 2^63, in floats below 2^53
                 for r in range(len(qid)):
+                    # what is below the k-th best so far can't be among the best
                     at = best_of(scores[r], ids, k, qid[r])
+                    at = at[scores[r, at] >= least[r]]
                     out.append((np.full(len(at), qid[r]), ids[at], scores[r, at].astype(np.int64)))
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
@@ -225,13 +228,13 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIVO
         if best is not None:
             least = best.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("least"))
             known = queries.join(least, "vec_id", "left")
-        pairs = known.select("vec_id", "embedding", "least").mapInArrow(_blocks(dim, most, centres, directory, lo, hi, BLOCK, kind), "annulus long, query_ids binary, queries binary")
+        pairs = known.select("vec_id", "embedding", "least").mapInArrow(_blocks(dim, most, centres, directory, lo, hi, BLOCK, kind), "annulus long, query_ids binary, leasts binary, queries binary")
         if report is not None:
             size = spark.createDataFrame([(r.annulus, r.n) for r in rows], "annulus long, n long")
             scored = pairs.join(size, "annulus").agg(F.sum(F.octet_length("query_ids") / 8 * F.col("n"))).first()[0] or 0
             report["scored"] = report.get("scored", 0) + int(scored)
             report["pairs"] = queries.count() * n
-        found = pairs.join(index.select("annulus", "ids", "vectors"), "annulus").select("query_ids", "queries", "ids", "vectors").mapInArrow(_products(dim, k, kind, whole), "query_id long, vec_id long, score long")
+        found = pairs.join(index.select("annulus", "ids", "vectors"), "annulus").select("query_ids", "leasts", "queries", "ids", "vectors").mapInArrow(_products(dim, k, kind, whole), "query_id long, vec_id long, score long")
         found = found if best is None else found.unionByName(best.drop("rank"))
         best = staged(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), f"op1-round{r}")
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
