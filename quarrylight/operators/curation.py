@@ -138,29 +138,36 @@ ODD = 10_000
 def phrase_holdout(rows: DataFrame, phrases: DataFrame, least: int = 30) -> DataFrame:
     """Rows without any holdout phrase: equal to one, or holding one of
     ``least`` characters or more. ``rows``: norm; ``phrases``: phrase, both
-    normalised to single blanks.
+    normalised to single blanks. Texts are known by a digest."""
+    rows = rows.withColumn("_k", F.sha2("norm", 256))
+    hits = phrase_matches(rows, phrases.filter(F.length("phrase") >= least)).select("_k")
+    equal = phrases.select(F.sha2("phrase", 256).alias("_k"))
+    return rows.join(hits.unionByName(equal).distinct(), "_k", "left_anti").drop("_k")
+
 
-    A phrase's inner words stand whole wherever it occurs, so those of four words
-    or more are looked up by their second and third word, those of three by the
-    second; texts are known by a digest, and only a text with a candidate meets
-    it. Phrases of one or two long words need a scan, ``ODD`` at a time."""
+def phrase_matches(rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(_k, phrase) for each phrase that a text holds. ``rows``: _k, norm;
+    ``phrases``: phrase.
+
+    Between blanks a phrase's inner words stand whole wherever it occurs, so those
+    of four words or more are looked up by their second and third word, those of
+    three by the second; only a text with a candidate meets it. Phrases of one or
+    two words need a scan, ``ODD`` at a time."""
     words = phrases.select("phrase").distinct().withColumn("_w", F.split("phrase", " "))
     key = F.when(F.size("_w") >= 4, F.concat_ws(" ", F.get("_w", F.lit(1)), F.get("_w", F.lit(2)))).when(F.size("_w") == 3, F.get("_w", F.lit(1)))
-    known = words.filter(F.length("phrase") >= least).select("phrase", key.alias("_g"))
-    rows = rows.withColumn("_k", F.sha2("norm", 256))
+    known = words.select("phrase", key.alias("_g"))
     parts = rows.select("_k", F.split("norm", " ").alias("_p"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: F.concat_ws(" ", F.get(F.col("_p"), i), F.get(F.col("_p"), i + 1)))
     held = parts.select("_k", F.explode(F.array_distinct(F.concat(pairs, F.col("_p")))).alias("_g"))
     tried = held.join(known.filter("_g IS NOT NULL"), "_g").select("_k", "phrase").distinct()
-    hits = rows.select("_k", "norm").join(tried, "_k").filter(F.col("norm").contains(F.col("phrase"))).select("_k")
+    hits = rows.select("_k", "norm").join(tried, "_k").filter(F.col("norm").contains(F.col("phrase"))).select("_k", "phrase")
     odd = known.filter("_g IS NULL").select("phrase")
     n = odd.count()
     blocks = -(-n // ODD)
     for b in range(blocks):
         some = odd.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b)
-        hits = hits.unionByName(rows.join(F.broadcast(some), F.col("norm").contains(F.col("phrase"))).select("_k"))  # about ODD phrases
-    equal = phrases.select(F.sha2("phrase", 256).alias("_k"))
-    return rows.join(hits.unionByName(equal).distinct(), "_k", "left_anti").drop("_k")
+        hits = hits.unionByName(rows.join(F.broadcast(some), F.col("norm").contains(F.col("phrase"))).select("_k", "phrase"))  # about ODD phrases
+    return hits
 
 
 def shingle_overlap(rows: DataFrame, known: DataFrame, n: int = 8, least: int = 2) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrylight.operators import audit as a
 from quarrylight.operators import evaluation as e
 from quarrylight.operators import ranking as r
+from quarrylight.operators.curation import phrase_matches
 from quarrylight.plans import sqltext as s
 from quarrylight.plans.ranking_queries import HYBRID_SQL, document_memories, questions, read
 
@@ -25,12 +26,13 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"""WITH ev AS (SELECT item_id AS qid, list(doc_id::VARCHAR) AS ids FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40)) GROUP BY item_id), sel AS (SELECT qid, list(id ORDER BY rank) AS ids FROM ({HYBRID_SQL}) GROUP BY qid)
+@query(f"""WITH ev AS (SELECT item_id AS qid, list(doc_id::VARCHAR) AS ids FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id), sel AS (SELECT qid, list(id ORDER BY rank) AS ids FROM ({HYBRID_SQL}) GROUP BY qid)
 SELECT count(*) AS questions, avg(list_has_any(ev.ids, sel.ids[1:1])::INT::DOUBLE) AS hit_at_1, avg(list_has_any(ev.ids, sel.ids[1:5])::INT::DOUBLE) AS hit_at_5 FROM ev JOIN sel USING (qid)""")
 def retrieval_evaluation(spark, d):
-    """Whether ranking finds documents that hold a question's first words."""
+    """Whether ranking finds documents that hold a question's text."""
     b, docs = read(spark, d, "benchmark"), read(spark, d, "documents")
-    evidence = docs.join(b.select("item_id", F.substring("text", 1, 40).alias("head")), F.col("text").contains(F.col("head"))).groupBy(F.col("item_id").alias("qid")).agg(F.collect_list(F.col("doc_id").cast("string")).alias("evidence"))
+    held = phrase_matches(docs.select(F.col("doc_id").alias("_k"), F.col("text").alias("norm")), b.select(F.col("text").alias("phrase")))
+    evidence = held.join(b.select("item_id", F.col("text").alias("phrase")), "phrase").groupBy(F.col("item_id").alias("qid")).agg(F.collect_list(F.col("_k").cast("string")).alias("evidence"))
     found = r.hybrid_rank(questions(spark, d), document_memories(spark, d), 5, 0.35).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x.id).alias("ids"))
     both = evidence.join(found, "qid")
     return both.agg(F.count("*").alias("questions"), *[e.rate(e.hit_at(F.col("evidence"), F.col("ids"), k)).alias(f"hit_at_{k}") for k in (1, 5)])

@@ -90,11 +90,11 @@ SELECT qid, id, round(c, 6) AS vector, rank FROM ranked WHERE rank <= 10
 
 
 def conversation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fact for each turn: its role says its first statement."""
+    """One fact for each turn: its role says its text."""
     c = read(spark, sf_dir, "conversations")
     return c.select(
         F.lit("u").alias("user_id"), F.concat_ws(":", "conv_id", "turn").alias("id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"),
-        F.col("role").alias("subject"), F.lit("said").alias("predicate"), F.substring("text", 1, 120).alias("value_text"),
+        F.col("role").alias("subject"), F.lit("said").alias("predicate"), F.col("text").alias("value_text"),
         F.when(F.col("turn") % 5 == 0, "temporal_fact").otherwise("statement").alias("fact_type"), (0.5 + F.col("turn") / 20).alias("confidence"),
     )
 
@@ -107,7 +107,7 @@ FACTS_SQL = f"""
 WITH f AS (
   SELECT conv_id || ':' || turn AS id, conv_id * 1000 + turn AS pos, role, CASE WHEN turn % 5 = 0 THEN 'temporal_fact' ELSE 'statement' END AS fact_type, 0.5::DOUBLE + turn::DOUBLE / 20 AS confidence, text FROM conversations
 ), m AS (
-  SELECT *, {s.tokens("role || ' said  ' || left(text, 120) || ' ' || fact_type || '    '")} AS mt, {s.tokens("'said'")} AS mp, {s.tokens('role')} AS ms FROM f
+  SELECT *, {s.tokens("role || ' said  ' || text || ' ' || fact_type || '    '")} AS mt, {s.tokens("'said'")} AS mp, {s.tokens('role')} AS ms FROM f
 ), q AS (SELECT item_id AS qid, {s.tokens('text')} AS qt FROM benchmark), scored AS (
   SELECT qid, id, pos, round({s.hits('qt', 'mt')}::DOUBLE / len(qt) + CASE WHEN {s.hits('qt', 'mp')} > 0 THEN 0.3::DOUBLE ELSE 0::DOUBLE END + CASE WHEN {s.hits('qt', 'ms')} > 0 THEN 0.25::DOUBLE ELSE 0::DOUBLE END
     + 0.1::DOUBLE * confidence + CASE WHEN fact_type = 'temporal_fact' AND len(list_filter(qt, lambda t: t IN ('when', 'date', 'year', 'month', 'time'))) > 0 THEN 0.4::DOUBLE ELSE 0::DOUBLE END, 6) AS score
@@ -121,7 +121,7 @@ def rank_indexables(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     x = d.select(
         F.lit("u").alias("user_id"), F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 3 == 0, "workflow").otherwise("mnemonic").alias("kind"),
-        t.recall_key(F.substring("text", 1, 24)).alias("key"), (0.3 + (F.col("doc_id") % 7) / 20).alias("salience"), F.substring("text", 1, 160).alias("reconstructive_hint"), F.array("lang").alias("tags"), F.lit(None).cast("array<string>").alias("steps"),
+        t.recall_key(t.hint("text")).alias("key"), (0.3 + (F.col("doc_id") % 7) / 20).alias("salience"), t.hint("text").alias("reconstructive_hint"), F.array("lang").alias("tags"), F.lit(None).cast("array<string>").alias("steps"),
     )
     return r.rank_indexables(questions(spark, sf_dir), x, 5).drop("user_id")
 
@@ -130,9 +130,13 @@ def _sql_key(x: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '^-+', ''), '-+$', '')"
 
 
-INDEXABLES_SQL = f"""
-WITH x AS (
-  SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'workflow' ELSE 'mnemonic' END AS kind, {_sql_key('left(text, 24)')} AS key, 0.3::DOUBLE + (doc_id % 7)::DOUBLE / 20 AS salience, left(text, 160) AS hint, lang FROM documents
+INDEXABLES_SQL = rf"""
+WITH f AS (
+  SELECT *, CASE WHEN regexp_matches(text, '^(.+?[.!?])(?:\s|$)') THEN regexp_extract(text, '^(.+?[.!?])(?:\s|$)', 1) ELSE text END AS statement FROM documents
+), h AS (
+  SELECT *, CASE WHEN length(statement) <= 160 THEN statement ELSE {s.strip("left(statement, 157)")} || '...' END AS hint FROM f
+), x AS (
+  SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'workflow' ELSE 'mnemonic' END AS kind, {_sql_key('hint')} AS key, 0.3::DOUBLE + (doc_id % 7)::DOUBLE / 20 AS salience, hint, lang FROM h
 ), m AS (SELECT *, {s.tokens("key || ' ' || hint || ' ' || lang || ' '")} AS mt FROM x
 ), q AS (SELECT item_id AS qid, {_sql_key('text')} AS norm, {s.tokens('text')} AS qt FROM benchmark), scored AS (
   SELECT qid, id, key, round(salience + CASE WHEN key <> '' AND (contains(norm, key) OR contains(key, norm)) THEN 0.55::DOUBLE ELSE 0::DOUBLE END

@@ -84,17 +84,17 @@ def raw_decisions(spark, d) -> DataFrame:
     c = read(spark, d, "conversations")
     names = F.array(*map(F.lit, ["store_episodic", "promote_semantic", "ignore_noise", "UPDATE_existing ", "flag_conflict", "flag_and_store", "recall_weighting", "decay", "mystery"]))
     n = F.col("turn") + F.col("conv_id")
-    memory = F.struct(F.substring("text", 1, 120).alias("content"), F.lit("episodic").alias("type"), (F.col("turn") / 10).alias("confidence"))
-    fact = F.struct(F.when(n % 4 == 0, F.lit("person")).otherwise(F.col("role")).alias("subject"), F.lit("Said In Turn").alias("predicate"), F.substring("text", 1, 20).alias("value_text"), F.when(n % 5 == 0, F.lit("Source ID: x")).otherwise(F.lit("turn text")).alias("evidence_text"))
+    memory = F.struct(F.col("text").alias("content"), F.lit("episodic").alias("type"), (F.col("turn") / 10).alias("confidence"))
+    fact = F.struct(F.when(n % 4 == 0, F.lit("person")).otherwise(F.col("role")).alias("subject"), F.lit("Said In Turn").alias("predicate"), F.col("text").alias("value_text"), F.when(n % 5 == 0, F.lit("Source ID: x")).otherwise(F.lit("turn text")).alias("evidence_text"))
     body = F.to_json(F.struct(F.get(names, (n % 9).cast("int")).alias("action"), memory.alias("memory"), F.array(fact).alias("facts"), F.lit("r").alias("reasoning"), (F.col("turn") / 10).alias("confidence")))
     raw = F.when(n % 7 == 0, F.lit("not json")).when(n % 7 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
     return c.select("conv_id", "turn", "role", F.col("text").alias("source_text"), raw.alias("raw"))
 
 
 MADE = """made AS (SELECT conv_id, turn, role, text, turn + conv_id AS n, ['store_episodic', 'promote_semantic', 'ignore', 'update_existing', 'flag_conflict', 'flag_and_store', 'rank', 'decay', 'store_episodic'][((turn + conv_id) % 9) + 1] AS act FROM conversations),
-parsed AS (SELECT conv_id, turn, n, text, CASE WHEN n % 7 = 0 THEN 'store_episodic' ELSE act END AS action, CASE WHEN n % 7 = 0 THEN text ELSE left(text, 120) END AS content, n % 7 = 0 AS parse_error,
+parsed AS (SELECT conv_id, turn, n, text, CASE WHEN n % 7 = 0 THEN 'store_episodic' ELSE act END AS action, text AS content, n % 7 = 0 AS parse_error,
 CASE WHEN n % 7 = 0 OR n % 4 = 0 OR n % 5 = 0 THEN 0 ELSE 1 END AS n_facts, CASE WHEN n % 7 = 0 THEN 0.5::DOUBLE ELSE turn / 10.0::DOUBLE END AS confidence,
-CASE WHEN n % 7 = 0 OR n % 4 = 0 OR n % 5 = 0 THEN '' ELSE role || ' said_in_turn ' || left(text, 20) || ' turn text' END AS fact_text FROM made)"""
+CASE WHEN n % 7 = 0 OR n % 4 = 0 OR n % 5 = 0 THEN '' ELSE role || ' said_in_turn ' || text || ' turn text' END AS fact_text FROM made)"""
 
 
 def parsed(spark, d) -> DataFrame:

@@ -40,7 +40,7 @@ def queue_drain(spark, d):
     c = read(spark, d, "conversations")
     key = F.concat_ws(":", "conv_id", "turn")
     queue.enqueue(c.select(key.alias("id"), F.lit("u").alias("user_id"), F.col("text").alias("llm_response"), F.lit(None).cast("string").alias("user_message"), key.alias("source_id"), F.current_timestamp().alias("created_at")), f"{root}/in")
-    queue.drain(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", most=1 << 20)
+    queue.drain(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint")
     return queue.drained(spark, f"{root}/out").select("id", "index", "status", "text", "source_id")
 
 

@@ -71,3 +71,16 @@ def test_opening_audit(spark, tables):
 def test_mnemonic_keys(spark, tables):
     got = {r.doc_id: float(r.salience) for r in same(spark, tables, "mnemonic_keys", ("left(text, 300)", "text")).collect()}
     assert (got[0], got[1], got[2], got[5]) == (0.8, 0.84, 0.8, 0.72)
+
+
+def test_phrase_matches_against_brute_force(spark):
+    """Phrases of one to many words, blanks in a row, nulls, an empty one, repeated ones."""
+    from quarrylight.operators.curation import phrase_matches
+
+    texts = ["a b c d", "xa b c dx", "a  b c", "b", "", None, "one two three four five", "a\nb c d e", "long " * 5000 + "a b c d"]
+    phrases = ["a b c d", "b c", "b", "a b c", "  ", "", "two three four", "c d e", None, "b", "four five six", "a  b c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_k int, norm string")
+    got = phrase_matches(rows, spark.createDataFrame([(p,) for p in phrases], "phrase string")).collect()
+    want = sorted((k, p) for k, x in enumerate(texts) if x is not None for p in {p for p in phrases if p is not None} if p in x)
+    assert sorted(map(tuple, got)) == want
+    assert not phrase_matches(rows.limit(0), rows.select("norm").toDF("phrase").limit(0)).collect()
