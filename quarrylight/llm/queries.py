@@ -75,6 +75,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.lm_scoring import lm_scores
+
+    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_packing,
         op10_warc,
+        op11_bloom_lm,
     )
 }
 
