@@ -39,7 +39,7 @@ their names, are ignored; an empty table gives an empty result."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +52,7 @@ from quarrylight.llm.wordhash import Words, mix, text_buffer
 
 BASE, BITS, K, PRIOR = 1.5, 14, 7, 60.0
 MOST_BYTES, WORD_BYTES, HEAD = 192 << 20, 32 << 20, 1 << 18
-SEGMENT_BYTES, FLUSH, SLICE = 8 << 20, 1 << 22, 8 << 20
+SEGMENT_BYTES, FLUSH, SLICE = 8 << 20, 3 << 20, 2 << 20
 U = np.uint64
 #: Hashes of the end and the start of a text; words are mixed, so these are as any other's.
 END, END2, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F), U(0xD1342543DE82EF95)
@@ -96,15 +96,19 @@ def slab(grams: np.ndarray, counts: np.ndarray, most_bits: int) -> np.ndarray:
 
 
 class Filter:
-    """Packed bits of some of ``segments`` ranges of hashes, one after another."""
+    """Packed bits of some of ``segments`` ranges of hashes, one after another.
+    ``sizes`` are their bytes; ``parts``, in any order, are put into place one by one."""
 
-    def __init__(self, segments: int, parts: dict[int, bytes]):
+    def __init__(self, segments: int, sizes: dict[int, int], parts: Iterable[tuple[int, bytes]]):
         self.shift = U(64 - segments.bit_length() + 1)
         self.size = np.zeros(segments, U)
-        for s, data in parts.items():
-            self.size[s] = 8 * len(data)
+        for s, n in sizes.items():
+            self.size[s] = 8 * n
         self.at = (np.cumsum(self.size) - self.size).astype(U)
-        self.bits = np.frombuffer(b"".join(parts[s] for s in sorted(parts)), np.uint8)
+        self.bits = np.zeros(sum(sizes.values()), np.uint8)
+        for s, data in parts:
+            a = int(self.at[s]) // 8
+            self.bits[a : a + len(data)] = np.frombuffer(data, np.uint8)
 
     def segment(self, grams: np.ndarray) -> np.ndarray:
         return segment_of(grams, self.shift)
@@ -180,29 +184,31 @@ def _counted(segments: int):
     """Counts of words and pairs, a row for each kind and segment met."""
     shift = U(64 - segments.bit_length() + 1)
 
-    def flush(held: list[Tokens]) -> pa.RecordBatch:
+    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], texts: int) -> pa.RecordBatch:
         rows = []
-        words, first, n = np.unique(np.concatenate([t.hash for t in held]), return_index=True, return_counts=True)
-        second = np.concatenate([t.hash2 for t in held])[first]
-        pairs, m = summed(np.concatenate([t.pairs() for t in held]))
+        one, two, both = (np.concatenate([x[k] for x in held]) for k in range(3))
+        pairs, m = summed(both)
+        words, first, n = np.unique(one, return_index=True, return_counts=True)
+        second = two[first]
         for kind, grams, other, counts in ((WORD, words, second, n), (PAIR, pairs, None, m)):
             cut = np.searchsorted(segment_of(grams, shift), np.arange(segments + 1))
             for s in np.flatnonzero(np.diff(cut)):
                 a, b = cut[s], cut[s + 1]
                 rows.append((kind, int(s), _bytes(grams[a:b]), b"" if other is None else _bytes(other[a:b]), _bytes(counts[a:b].astype(np.int64)), 0))
-        rows.append((0, 0, b"", b"", b"", sum(len(t.count) for t in held)))
+        rows.append((0, 0, b"", b"", b"", texts))
         return pa.record_batch([pa.array(x) for x in zip(*rows)], schema=pa.schema([("kind", pa.int32()), ("segment", pa.int32()), ("grams", pa.binary()), ("grams2", pa.binary()), ("counts", pa.binary()), ("texts", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, texts = [], 0, 0
         for batch in text_slices(batches, "text", SLICE):
-            held.append(Tokens(batch.column("text")))
-            size += len(held[-1].hash)
+            t = Tokens(batch.column("text"))
+            held.append((t.hash, t.hash2, t.pairs()))
+            size, texts = size + len(t.hash), texts + batch.num_rows
             if size >= FLUSH:
-                yield flush(held)
-                held, size = [], 0
+                yield flush(held, texts)
+                held, size, texts = [], 0, 0
         if held:
-            yield flush(held)
+            yield flush(held, texts)
 
     return scan
 
@@ -322,8 +328,8 @@ def _scored(model, pairs, first: bool):
 class PairFilter(Filter):
     """A slice: ``here`` tells which segments it answers for."""
 
-    def __init__(self, segments: int, parts: dict[int, bytes], of: list[int]):
-        super().__init__(segments, parts)
+    def __init__(self, segments: int, sizes: dict[int, int], parts: Iterable[tuple[int, bytes]], of: list[int]):
+        super().__init__(segments, sizes, parts)
         self.here = np.zeros(segments, bool)
         self.here[of] = True
 
@@ -365,21 +371,22 @@ def lm_scores(docs: DataFrame, most_bytes: int = MOST_BYTES, word_bytes: int = W
     top = flat.mapInArrow(_exact(least, True), FLAT).toArrow()
     one, two, c = (top.column(k).to_numpy() for k in ("h1", "h2", "c"))
     order = np.argsort(one.view(U), kind="stable")
-    parts = words.select("segment", "slab").toArrow()
+    sizes = {(r.kind, r.segment): r.bytes for r in merged.select("kind", "segment", "bytes").collect()}
+    # part by part, so that the driver holds a filter once
+    slabs = lambda df: ((r.segment, r.slab) for r in df.select("segment", "slab").toLocalIterator())
     model = Model(
-        Filter(segments, dict(zip(parts.column("segment").to_pylist(), parts.column("slab").to_pylist()))),
+        Filter(segments, {s: n for (k, s), n in sizes.items() if k == WORD}, slabs(words)),
         (one.view(U)[order], two.view(U)[order], c[order]),
         sum(heads.column("tokens").to_pylist()),
         sum(heads.column("types").to_pylist()),
         texts,
     )
     shared = spark.sparkContext.broadcast(model)
-    sizes = {r.segment: r.bytes for r in pairs.select("segment", "bytes").collect()}
+    sizes = {s: n for (k, s), n in sizes.items() if k == PAIR}
     found = scored = None
     for k, of in enumerate(slices_of(sizes, segments, most_bytes)):
-        got = pairs.filter(F.col("segment").between(of[0], of[-1])).select("segment", "slab").toArrow()
-        part = spark.sparkContext.broadcast(PairFilter(segments, dict(zip(got.column("segment").to_pylist(), got.column("slab").to_pylist())), of))
-        del got
+        held = {s: n for s, n in sizes.items() if of[0] <= s <= of[-1]}
+        part = spark.sparkContext.broadcast(PairFilter(segments, held, slabs(pairs.filter(F.col("segment").between(of[0], of[-1]))), of))
         if k == 0:
             source = rows.withColumn("row", F.monotonically_increasing_id())
             scored = scratch.stage(source.mapInArrow(_scored(shared, part, True), SCORED), "scored")

@@ -65,7 +65,8 @@ def test_filter_never_reads_too_low_and_seldom_too_high():
     rng = np.random.default_rng(1)
     grams = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64) << np.uint64(1))
     counts = np.minimum(rng.zipf(1.5, len(grams)), 1 << 40)
-    held = lm.Filter(1, {0: lm.slab(grams, counts, 1 << 31).tobytes()})
+    part = lm.slab(grams, counts, 1 << 31).tobytes()
+    held = lm.Filter(1, {0: len(part)}, [(0, part)])
     most = np.full(len(grams), len(lm.MEAN) - 1)
     read, true = held.levels(grams, most), lm.level_of(counts)
     assert (read >= true).all() and (read > true).mean() < 0.005
