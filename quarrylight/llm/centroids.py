@@ -111,14 +111,17 @@ def distances(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.stack([((points - c) ** 2).sum(axis=1) for c in centroids], axis=1)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(a, BLOCK)
-            points = np.floor(SCALE * part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64).reshape(-1, DIMS)
-            tree = Tree(points)
-            ids = part.column("vec_id").take(pa.array(tree.order))
-            yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x], pa.binary()) for x in tree.packed())], ["vec_ids", "points", "boxes", "shape"])
+def _blocks(most: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, most):
+                part = batch.slice(a, most)
+                points = np.floor(SCALE * part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64).reshape(-1, DIMS)
+                tree = Tree(points)
+                ids = part.column("vec_id").take(pa.array(tree.order))
+                yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x], pa.binary()) for x in tree.packed())], ["vec_ids", "points", "boxes", "shape"])
+
+    return scan
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Tree]]:
@@ -168,7 +171,7 @@ def digest_of(centroid: list[int]) -> str:
     return hashlib.sha256(",".join(map(str, centroid)).encode()).hexdigest()
 
 
-def clustered(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, report: dict | None = None) -> DataFrame:
+def clustered(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, block: int = BLOCK, report: dict | None = None) -> DataFrame:
     """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 of each
     vector that takes part. ``report`` gets ``vectors`` and ``measured``, the
     distances to single vectors that each round had to take."""
@@ -182,7 +185,7 @@ def clustered(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS
     if not firsts:
         return spark.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
     centroids = np.floor(SCALE * np.array([r.embedding for r in firsts])).astype(np.int64)
-    blocks = scratch.stage(kept.mapInArrow(_blocks, "vec_ids array<long>, points binary, boxes binary, shape binary"), "blocks")
+    blocks = scratch.stage(kept.mapInArrow(_blocks(block), "vec_ids array<long>, points binary, boxes binary, shape binary"), "blocks")
     for _ in range(rounds):
         moved = blocks.mapInArrow(_moments(centroids), "cluster long, place long, n long")
         found = {(r.cluster, r.place): int(r.n) for r in moved.groupBy("cluster", "place").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()}

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.llm.centroids import SQL as CENTROIDS_SQL
+from quarrylight.llm.manifest import SQL as MANIFEST_SQL
 from quarrylight.llm.mixing import SQL as MIXING_SQL
 from quarrylight.llm.quality_lines import SQL as QUALITY_SQL
 from quarrylight.llm.substring_dedup import SQL as SUBSTRING_SQL
@@ -82,6 +83,12 @@ def op11_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.manifest import manifest
+
+    return manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.centroids import clustered
 
@@ -102,8 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_packing,
         op10_warc,
         op11_bloom_lm,
+        op12_manifest,
         op13_centroids,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_lines": QUALITY_SQL, "op6_mixing": MIXING_SQL, "op1_topk_search": TOPK_SQL, "op7_substring_dedup": SUBSTRING_SQL, "op10_warc": WARC_SQL, "op13_centroids": CENTROIDS_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_quality_lines": QUALITY_SQL, "op6_mixing": MIXING_SQL, "op1_topk_search": TOPK_SQL, "op7_substring_dedup": SUBSTRING_SQL, "op10_warc": WARC_SQL, "op12_manifest": MANIFEST_SQL, "op13_centroids": CENTROIDS_SQL}

@@ -34,13 +34,12 @@ def made(n, seed=0):
 SCHEMA = "vec_id long, embedding array<double>"
 
 
-def test_equals_a_plain_version_and_the_sql(spark, monkeypatch):
+def test_equals_a_plain_version_and_the_sql(spark):
     rows = made(900)
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS cluster", "2 AS points").repartition(3)
     want = plain(rows)
     assert sorted((tuple(r) for r in cn.clustered(df).collect()), key=str) == want
-    monkeypatch.setattr(cn, "BLOCK", 100)
-    assert sorted((tuple(r) for r in cn.clustered(df).collect()), key=str) == want
+    assert sorted((tuple(r) for r in cn.clustered(df, block=100).collect()), key=str) == want
     db = duckdb.connect()
     db.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
     db.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
