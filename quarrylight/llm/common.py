@@ -4,6 +4,8 @@ folder, an atomic commit log, and a bounded membership filter."""
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import json
 import shutil
 import tempfile
@@ -190,6 +192,14 @@ def hash_sample(df: DataFrame, key: str, n_rows: int, size: int) -> DataFrame:
     return df.withColumn("_place", place).filter(F.col("_place") < bound).orderBy("_place", key).limit(size).drop("_place")
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the machine: workers live on from stage to
+    stage, and the C library keeps freed blocks of up to 32 MB."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of text (one row at least)."""
     for batch in batches:

@@ -4,7 +4,7 @@ A count c is held as its level 1 + floor(log c / log ``BASE``): the filter gets
 pairs (n-gram, 1) .. (n-gram, level), so a level is read back by probing 1, 2, ..
 until a probe fails, and stands for the mean of the whole numbers it covers. An
 n-gram that was inserted is never read too low; one that was not is found by a
-false positive with probability about ``(1 - exp(-K / BITS)) ** K``, 0.15 %, and
+false positive with probability about ``(1 - exp(-K / BITS)) ** K``, 0.35 %, and
 one level too high as often. As a pair is no more frequent than its words, its
 level is probed only up to the lesser of theirs.
 
@@ -47,10 +47,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import Scratch, text_slices
+from quarrylight.llm.common import Scratch, give_back, text_slices
 from quarrylight.llm.wordhash import Words, mix, text_buffer
 
-BASE, BITS, K, PRIOR = 1.5, 14, 7, 60.0
+BASE, BITS, K, PRIOR = 1.5, 12, 7, 60.0
 MOST_BYTES, WORD_BYTES, HEAD = 192 << 20, 32 << 20, 1 << 18
 SEGMENT_BYTES, FLUSH, SLICE = 8 << 20, 3 << 20, 2 << 20
 U = np.uint64
@@ -194,7 +194,7 @@ def _counted(segments: int):
             cut = np.searchsorted(segment_of(grams, shift), np.arange(segments + 1))
             for s in np.flatnonzero(np.diff(cut)):
                 a, b = cut[s], cut[s + 1]
-                rows.append((kind, int(s), _bytes(grams[a:b]), b"" if other is None else _bytes(other[a:b]), _bytes(counts[a:b].astype(np.int64)), 0))
+                rows.append((kind, int(s), _bytes(grams[a:b]), b"" if other is None else _bytes(other[a:b]), _bytes(counts[a:b].astype(np.int32)), 0))
         rows.append((0, 0, b"", b"", b"", texts))
         return pa.record_batch([pa.array(x) for x in zip(*rows)], schema=pa.schema([("kind", pa.int32()), ("segment", pa.int32()), ("grams", pa.binary()), ("grams2", pa.binary()), ("counts", pa.binary()), ("texts", pa.int64())]))
 
@@ -209,6 +209,8 @@ def _counted(segments: int):
                 held, size, texts = [], 0, 0
         if held:
             yield flush(held, texts)
+        held = None
+        give_back()
 
     return scan
 
@@ -222,7 +224,7 @@ def _merged(most_word_bits: int, most_pair_bits: int):
     def merge(table: pa.Table) -> pa.Table:
         kind, segment = table.column("kind")[0].as_py(), table.column("segment")[0].as_py()
         join = lambda c, t: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), t)
-        grams, counts = join("grams", U), join("counts", np.int64)
+        grams, counts = join("grams", U), join("counts", np.int32).astype(np.int64)
         second = np.empty(0, U)
         if kind == WORD:
             order = np.lexsort((join("grams2", U), grams))
@@ -234,6 +236,8 @@ def _merged(most_word_bits: int, most_pair_bits: int):
         bits = slab(grams, counts, most_word_bits if kind == WORD else most_pair_bits).tobytes()
         own = kind == WORD
         row = (kind, segment, sum(table.column("texts").to_pylist()), len(grams), int(counts.sum()) if own else 0, _bytes(np.bincount(level_of(counts), minlength=len(MEAN)).astype(np.int64)) if own else b"", bits, len(bits), _bytes(grams) if own else b"", _bytes(second) if own else b"", _bytes(counts) if own else b"")
+        del grams, second, counts
+        give_back()
         return pa.table([[x] for x in row], schema=_MERGED)
 
     return merge

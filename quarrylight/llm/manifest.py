@@ -163,10 +163,11 @@ def _climbed(nodes: DataFrame, steps: int, scratch: Scratch, name: str) -> tuple
     return runs, roots
 
 
-def _descended(runs: list[DataFrame], roots: list[DataFrame], above: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _descended(runs: list[DataFrame], roots: list[DataFrame], above: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
     """tree, idx, path of each node that the climb began with: the siblings before
-    and after, level by level, then ``above``, the path of the tree's root."""
-    at_root = lambda k: roots[k].drop("h").join(above, "tree").select("tree", "idx", "path")
+    and after, level by level, then ``above``, the path of the tree's root if any."""
+    nothing = F.array().cast("array<struct<b:string,a:string>>").alias("path")
+    at_root = lambda k: roots[k].select("tree", "idx", nothing) if above is None else roots[k].drop("h").join(above, "tree").select("tree", "idx", "path")
     paths = at_root(len(runs))
     for k in range(len(runs) - 1, -1, -1):
         met = runs[k].join(paths.withColumnRenamed("idx", "up"), ["tree", "up"]).select("tree", "members", "path", F.posexplode("members").alias("at", "own"))
@@ -200,9 +201,7 @@ def manifest(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     count = sources.agg(F.max("n")).first()[0]
     up, ends = _climbed(sources.drop("source"), depth_of(count), scratch, "sources")
     root = ends[-1].first()["h"]
-    nothing = F.lit(None).cast("array<struct<b:string,a:string>>")
-    top = spark.range(1).select(F.lit("").alias("tree"), F.coalesce(nothing, F.array().cast("array<struct<b:string,a:string>>")).alias("path"))
-    of_source = _descended(up, ends, top, scratch, "sources").join(sources, "idx").select(F.col("source").alias("tree"), "path")
+    of_source = _descended(up, ends, None, scratch, "sources").join(sources, "idx").select(F.col("source").alias("tree"), "path")
     of_source = scratch.stage(of_source, "of-source")
     outer = _descended(runs, roots, of_source, scratch, "buckets").join(subroots, "tree").select("tree", F.col("idx").alias("bucket"), "path", "subroot")
     outer = scratch.stage(outer, "outer")

@@ -13,8 +13,8 @@ Commits are idempotent: a numbered log entry, visible by a rename that fails if
 the number is taken, names one batch and its delta; a batch already named is
 skipped, a delta of an interrupted or losing writer is never named and so never
 counted. Entries are immutable and of constant size; a writer reads each once.
-``compact`` commits a sum in place of all deltas up to a version, and ``vacuum``
-drops those.
+``compact`` commits a sum in place of the deltas that it has read, if all of them
+still stand when it commits, and ``vacuum`` drops those.
 
 Defined results: a null text has 0 tokens; null source and lang are groups of
 their own; repeated rows count each; keys whose totals return to nothing stay
@@ -25,7 +25,7 @@ are ignored, whatever their names; an empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,10 +96,12 @@ class Rollup:
             self.deltas[version] = entry["path"]
             self.version = version
 
-    def _commit(self, entry: dict, tries: int = 100) -> bool:
+    def _commit(self, entry: dict, holds: Callable[[], bool], tries: int = 100) -> bool:
+        """Commit ``entry`` as the next version; False if, of what is known just
+        before, ``holds`` no longer does."""
         for _ in range(tries):
             self._refresh()
-            if entry.get("batch") in self.batches:
+            if not holds():
                 return False
             if self.log.commit(self.version + 1, entry):
                 self._refresh()
@@ -113,15 +115,23 @@ class Rollup:
             return False
         path = f"{self.root}/delta-{_safe(batch)}-{fresh_name()}"
         reduced(signed(changes)).write.parquet(path)
-        return self._commit({"batch": batch, "path": path})
+        return self._commit({"batch": batch, "path": path}, lambda: batch not in self.batches)
 
-    def compact(self) -> None:
-        """A sum for all deltas known now; those that come meanwhile stay."""
+    def compact(self) -> bool:
+        """A sum for the deltas known now, and those alone; what comes meanwhile
+        stays. False, with nothing changed, if there is at most one, or if another
+        compaction has taken any of them first."""
         self._refresh()
-        if len(self.deltas) > 1:
-            path, covers = f"{self.root}/sum-{fresh_name()}", self.version
-            self.totals().filter("n_docs != 0 OR n_tokens != 0").write.parquet(path)
-            self._commit({"covers": covers, "path": path})
+        parts, covers = dict(self.deltas), self.version
+        if len(parts) < 2:
+            return False
+        path = f"{self.root}/sum-{fresh_name()}"
+        self._sum(list(parts.values())).filter("n_docs != 0 OR n_tokens != 0").write.parquet(path)
+        # later batches have greater versions, so ``covers`` names ``parts`` while all of them live
+        if self._commit({"covers": covers, "path": path}, lambda: parts.items() <= self.deltas.items()):
+            return True
+        drop_path(self.spark, path)
+        return False
 
     def vacuum(self) -> None:
         """Drop the deltas that a sum stands for, when no reader needs them."""
@@ -134,7 +144,10 @@ class Rollup:
         self._refresh()
         if not self.deltas:
             return self.spark.createDataFrame([], TOTALS)
-        return reduced(self.spark.read.schema(TOTALS).parquet(*self.deltas.values()))
+        return self._sum(list(self.deltas.values()))
+
+    def _sum(self, paths: list[str]) -> DataFrame:
+        return reduced(self.spark.read.schema(TOTALS).parquet(*paths))
 
 
 def fresh_name() -> str:

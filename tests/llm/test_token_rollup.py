@@ -39,6 +39,34 @@ def test_moves_and_vacuum(spark, tmp_path):
     assert sorted(((x.source, x.lang, x.n_docs, x.n_tokens) for x in fresh.totals().collect()), key=str) == sorted([("b", "de", 1, 11), ("b", None, 1, 5)], key=str)
 
 
+def test_compactions_at_once_and_batches_meanwhile(spark, tmp_path):
+    """Whatever comes between the sum of a compaction and its commit, totals are
+    those of the batches."""
+    batch = lambda k, n: spark.createDataFrame([("insert", "a", "en", "t", n, None, k)], SCHEMA)
+    totals = lambda r: [tuple(x) for x in r.totals().collect()]
+    r, other = (Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    assert r.apply("1", batch(1, 10)) and r.apply("2", batch(2, 20)) and not Rollup(spark, f"file://{tmp_path}/none").compact()
+
+    def between(x, act):
+        plain = x._sum
+        x._sum = lambda paths: (out := plain(paths).persist(), out.count(), act(), setattr(x, "_sum", plain))[0]
+
+    between(r, lambda: other.compact())  # the other one wins; this one gives up
+    assert not r.compact() and totals(r) == totals(other) == [("a", "en", "t", 2, 30)]
+    assert len(list(tmp_path.glob("r/sum-*"))) == 1
+    r.apply("3", batch(3, 100))
+    between(r, lambda: other.apply("4", batch(4, 1000)))  # a batch stays beside the sum
+    assert r.compact() and totals(r) == totals(other) == totals(Rollup(spark, f"file://{tmp_path}/r")) == [("a", "en", "t", 4, 1130)]
+    assert len(r.deltas) == 2
+    between(r, lambda: (other.apply("5", batch(5, 1)), other.compact()))
+    assert not r.compact() and totals(r) == [("a", "en", "t", 5, 1131)]
+    between(r, lambda: (other.apply("6", batch(6, 2)), other.apply("7", batch(7, 3))))
+    r.apply("8", batch(8, 4))
+    assert r.compact() and other.compact() and totals(r) == totals(other) == [("a", "en", "t", 8, 1140)]
+    other.vacuum()
+    assert totals(r) == [("a", "en", "t", 8, 1140)] and not r.apply("6", batch(6, 2))
+
+
 def test_query_equals_direct_counts(spark):
     rows = [(i, f"some words {'é' * (i % 5)} here {i}", ["a", "b", None][i % 3], ["en", None][i % 2]) for i in range(60)]
     rows += [(102, "word " * 60_000 + " " * 1_200_000, "a", "en"), (100, None, "a", "en"), (101, "", "a", "en"), (5, rows[5][1], "c", "en"), (None, "x y", "a", "en")]
