@@ -75,11 +75,12 @@ def parse_failures(spark, d):
 
 
 def lines_of(spark, d, name: str, value) -> str:
-    """A folder of text files with one ``value`` a row of ``name``, in order."""
+    """A folder of text files, a log in parts, with one ``value`` a row of ``name``, in
+    order: a sort by ranges gives each part its place."""
     path = f"{scratch(spark)}/{name}"
     rows = read(spark, d, name)
     key = ["conv_id", "turn"] if name == "conversations" else ["doc_id"]
-    rows.select(*key, value.alias("value")).coalesce(1).sortWithinPartitions(*key).select("value").write.text(path)
+    rows.select(*key, value.alias("value")).repartitionByRange(4, *key).sortWithinPartitions(*key).select("value").write.text(path)
     return path
 
 
@@ -89,8 +90,8 @@ def jsonl_source(spark, d):
     lines hold none."""
     row = F.to_json(F.struct("doc_id", "lang"))
     path = lines_of(spark, d, "documents", F.when(F.col("doc_id") % 7 == 0, F.lit("{broken")).otherwise(row))
-    out = files.read_jsonl(spark, path, spark.createDataFrame([], "doc_id long, lang string").schema)
-    return out.select(F.col("line_no").cast("long").alias("line_no"), "doc_id", "lang", F.col("_corrupt_record").isNotNull().alias("bad"))
+    out = files.read_jsonl(spark, path, spark.createDataFrame([], "doc_id long, lang string").schema, across=True)
+    return out.select("line_no", "doc_id", "lang", F.col("_corrupt_record").isNotNull().alias("bad"))
 
 
 @query("""SELECT doc_id, source || ', "so"' || chr(10) || lang AS note FROM documents""")
@@ -109,7 +110,7 @@ def hook_events(spark, d):
     day = F.when(F.col("turn") % 2 == 0, "2026-01-02T00:00:").otherwise("2026-01-03T00:00:")
     row = F.to_json(F.struct(F.concat(day, "turn").alias("ts"), F.concat(F.lit("hook"), "conv_id").alias("hook")))
     path = lines_of(spark, d, "conversations", F.when(F.col("turn") % 4 == 1, F.lit("broken")).otherwise(row))
-    return files.read_hook_events(spark, path, "2026-01-02", 50).select(F.col("line_no").cast("long").alias("line_no"), "ts", "hook")
+    return files.read_hook_events(spark, path, "2026-01-02", 50, across=True).select("line_no", "ts", "hook")
 
 
 TURN_SQL = r"SELECT row_number() OVER (ORDER BY conv_id, turn) AS line_no, regexp_replace(regexp_replace(text, '^ +', ''), ' +$', '') AS text, role FROM conversations"
@@ -121,21 +122,21 @@ def rollout_turns(spark, d):
     block = F.struct(F.lit("output_text").alias("type"), "text")
     payload = F.struct(F.lit("message").alias("type"), "role", F.array(block, F.struct(F.lit("image").alias("type"), F.lit("x").alias("text"))).alias("content"))
     path = lines_of(spark, d, "conversations", F.to_json(F.struct(F.lit("response_item").alias("type"), payload.alias("payload"))))
-    return files.session_turns(files.read_lines(spark, path), "rollout").select(F.col("line_no").cast("long").alias("line_no"), "text")
+    return files.session_turns(files.read_lines(spark, path, across=True), "rollout").select("line_no", "text")
 
 
 @query(f"SELECT line_no, text FROM ({TURN_SQL}) WHERE role = 'assistant' AND length(text) BETWEEN 80 AND 2000")
 def session_turns(spark, d):
     """Assistant messages of session logs, as plain texts."""
     row = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
-    return files.session_turns(files.read_lines(spark, lines_of(spark, d, "conversations", row)), "session").select(F.col("line_no").cast("long").alias("line_no"), "text")
+    return files.session_turns(files.read_lines(spark, lines_of(spark, d, "conversations", row), across=True), "session").select("line_no", "text")
 
 
 @query(r"""WITH l AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS n, text, role FROM conversations) SELECT text FROM l WHERE role = 'assistant' AND NOT starts_with(text, '{') AND NOT starts_with(text, '[') AND regexp_matches(text, '\S') AND n > (SELECT max(n) FROM l) - 200 ORDER BY n DESC LIMIT 1""")
 def last_assistant_message(spark, d):
     """The last assistant text within two hundred lines of a transcript."""
     path = lines_of(spark, d, "conversations", F.to_json(F.struct("role", "text")))
-    return files.last_assistant_messages(files.read_lines(spark, path)).select("text")
+    return files.last_assistant_messages(files.read_lines(spark, path, across=True, tail=files.TAIL)).select("text")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, text FROM conversations) SELECT conv_id::VARCHAR AS sample_id, turn + 1 AS session_no, 0 AS pos, CASE WHEN turn % 2 = 0 THEN 'day ' || turn ELSE 'event ' || turn END AS session_time, 'D' || turn AS dia_id, role AS speaker, text FROM t""")

@@ -213,18 +213,17 @@ def nearest_memory(spark, d):
     return sv.nearest_known(new, document_memories(spark, d)).drop("user_id")
 
 
-@query(f"""WITH h AS ({HYBRID_SQL}), p AS (SELECT item_id, CASE WHEN item_id % 3 = 0 OR item_id % 9 = 0 THEN 5 ELSE least(5, item_id % 9) END AS most, item_id % 3 = 0 AS plan_fallback FROM benchmark)
+PLANNED_SQL = HYBRID_SQL.replace("CASE WHEN tbl = 'semantic' THEN 0.08::DOUBLE", "CASE WHEN tbl = 'semantic' OR qid % 3 = 0 THEN 0.08::DOUBLE")
+
+
+@query(f"""WITH h AS ({PLANNED_SQL}), p AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 5 ELSE least(5, item_id % 9) END AS most, item_id % 3 = 0 AS plan_fallback FROM benchmark)
 SELECT qid, rank, "table", id, score, plan_fallback FROM h JOIN p ON item_id = qid WHERE rank <= most""")
 def recall_batch(spark, d):
-    """Recall with plans, some of them broken: semantic memories are preferred."""
+    """Recall with plans: sound ones prefer semantic memories; a third is broken and
+    falls back to both tables and the call's top_k."""
     body = F.to_json(F.struct(F.lit("recall").alias("intent"), F.array(F.lit("semantic")).alias("target_tables"), (F.col("qid") % 9).cast("string").alias("top_k")))
     asked = questions(spark, d).drop("preferred").withColumn("raw", F.when(F.col("qid") % 3 == 0, F.lit("{bad")).otherwise(body))
-    memories = document_memories(spark, d)
-    broken, sound = asked.filter("qid % 3 = 0"), asked.filter("qid % 3 != 0")
-    # a fallback plan prefers both tables; for the same scores as the others it is made to prefer one
-    repaired = broken.withColumn("raw", F.lit('{"target_tables": ["semantic"]}'))
-    out = sv.recall(sound, memories, "raw").unionByName(sv.recall(repaired, memories, "raw").withColumn("plan_fallback", F.lit(True)))
-    return out.drop("user_id")
+    return sv.recall(asked, document_memories(spark, d), "raw").drop("user_id")
 
 
 @query("""WITH a AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'recall_context' ELSE CASE WHEN doc_id % 2 = 0 THEN 'ignore' ELSE 'store' END END AS action, doc_id % 4 AS n FROM documents), r AS (SELECT count(*) AS n, avg((action = 'ignore')::INT) AS i, avg((action = 'recall_context')::INT) AS c, avg((n > 2)::INT) AS x FROM a)

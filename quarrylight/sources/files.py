@@ -1,7 +1,8 @@
 """Readers and writers: JSONL, CSV, transcripts, session logs, archives.
 
-Line numbers come from the position in a file, so readers that need them read a
-file as a whole text; those that do not read lines in parallel."""
+Lines are read by byte splits. A line's number is its place in its split plus the
+lines of the splits before it, of which a first pass counts each: a file of any size
+is read by many tasks, and only counts, a row for each split, are summed up."""
 
 from __future__ import annotations
 
@@ -12,19 +13,36 @@ from pyspark.sql.types import StringType, StructField, StructType
 BLOCKS = "array<struct<type:string,text:string>>"
 #: Characters of a usable turn.
 LEAST, MOST = 80, 2000
-
-
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no from 1, line) of text files, blank lines left out."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("p", "line"))
-    return whole.filter(F.trim("line") != "").select("path", (F.col("p") + 1).alias("line_no"), "line")
-
-
-def read_jsonl(spark: SparkSession, path: str, schema: StructType, strict: bool = False) -> DataFrame:
+#: Fixed value: lines of a transcript that are looked at, from its end.
+TAIL = 200
+
+
+def read_lines(spark: SparkSession, path: str, across: bool = False, tail: int | None = None) -> DataFrame:
+    """(path, line_no from 1, line) of text files, blank lines left out. With
+    ``across`` the files are one log, numbered on in the order of their names, with
+    ``path`` as given. ``tail``: only lines among the last so many, up to the last that
+    is not blank; known from the counts, so nothing else is kept or moved."""
+    raw = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line")
+    )
+    some = F.trim("line") != ""
+    # the rows of a split have consecutive ids; files are dealt to splits alike in both passes
+    splits = raw.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.max(F.when(some, F.col("at"))).alias("last"))
+    log = Window.partitionBy(F.lit(0) if across else F.col("file"))
+    before = F.coalesce(F.sum("n").over(log.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = splits.withColumn("shift", before - F.col("first") + 1)
+    places = places.select("file", "start", "shift", F.max(F.col("last") + F.col("shift")).over(log).alias("end"))
+    rows = raw.filter(some).join(places, ["file", "start"]).withColumn("line_no", F.col("at") + F.col("shift"))
+    if tail is not None:
+        rows = rows.filter(F.col("line_no") > F.col("end") - tail)
+    return rows.select((F.lit(path) if across else F.col("file")).alias("path"), "line_no", "line")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: StructType, strict: bool = False, across: bool = False) -> DataFrame:
     """Rows of JSON lines, with path, line_no and _corrupt_record; strict
     fails with the first bad line's place."""
     full = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
-    rows = read_lines(spark, path).withColumn("_r", F.from_json("line", full, {"mode": "PERMISSIVE"}))
+    rows = read_lines(spark, path, across).withColumn("_r", F.from_json("line", full, {"mode": "PERMISSIVE"}))
     bad = F.col("_r._corrupt_record").isNotNull()
     if strict:
         rows = rows.withColumn("_r", F.when(bad, F.raise_error(F.concat("path", F.lit(":"), F.col("line_no").cast("string"), F.lit(": bad JSON")))).otherwise(F.col("_r")))
@@ -42,15 +60,16 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, schema=schema)
 
 
-def read_hook_events(spark: SparkSession, path: str, date: str, limit: int) -> DataFrame:
+def read_hook_events(spark: SparkSession, path: str, date: str, limit: int, across: bool = False) -> DataFrame:
     """The last events of a day, in order; bad lines are empty events."""
-    rows = read_lines(spark, path).withColumn("ts", F.get_json_object("line", "$.ts"))
+    rows = read_lines(spark, path, across).withColumn("ts", F.get_json_object("line", "$.ts"))
     last = rows.filter(F.col("ts").startswith(date)).orderBy(F.col("line_no").desc()).limit(limit)
     return last.select("line_no", "ts", *[F.get_json_object("line", f"$.{c}").alias(c) for c in ("hook", "status", "reason")]).orderBy("line_no")
 
 
-def last_assistant_messages(lines: DataFrame, tail: int = 200) -> DataFrame:
-    """The last assistant text of each transcript. ``lines``: path, line_no, line."""
+def last_assistant_messages(lines: DataFrame) -> DataFrame:
+    """The last assistant text of each transcript. ``lines``: path, line_no, line,
+    as ``read_lines`` gives them with a tail of ``TAIL``."""
     def field(root: str, name: str) -> Column:
         v = F.get_json_object("line", f"${root}.{name}")
         return F.when((F.trim(v) != "") & ~F.ltrim(v).startswith("{") & ~F.ltrim(v).startswith("["), v)
@@ -58,9 +77,7 @@ def last_assistant_messages(lines: DataFrame, tail: int = 200) -> DataFrame:
     said = F.coalesce(*[field(r, n) for r in ("", ".payload") for n in ("text", "content", "message")])
     assistant = (F.get_json_object("line", "$.role") == "assistant") | (F.get_json_object("line", "$.payload.role") == "assistant")
     text = F.coalesce(field(".payload", "last_agent_message"), F.when(assistant, said))
-    w = Window.partitionBy("path")
-    rows = lines.withColumn("_last", F.max("line_no").over(w)).filter(F.col("line_no") > F.col("_last") - tail).withColumn("text", text)
-    return rows.filter("text IS NOT NULL").groupBy("path").agg(F.max_by("text", "line_no").alias("text"))
+    return lines.withColumn("text", text).filter("text IS NOT NULL").groupBy("path").agg(F.max_by("text", "line_no").alias("text"))
 
 
 def newest_file(spark: SparkSession, root: str, depth: int = 4) -> DataFrame:

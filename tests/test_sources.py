@@ -19,6 +19,41 @@ def test_jsonl(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "o")).first().value == '{"a":"b","z":1}'
 
 
+def test_lines_by_splits(spark, tmp_path):
+    """Files of many splits, Windows ends, lone carriage returns, blank lines and
+    lines longer than a split have the numbers that a plain reader gives."""
+    (tmp_path / "d").mkdir()
+    texts = {
+        "a.log": "".join(f"line {i} {'x' * (i % 97)}\n" if i % 13 else "\n" for i in range(4000)),
+        "b.log": "one\r\n\r\n two\rhalf \r\n" + "y" * 70_000 + "\n\nlast é no end",
+        "c.log": "", "d.log": "\n \n", "e.log": "z\n\n\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / "d" / name).write_bytes(text.encode())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        plain = {n: [(i + 1, x[:-1] if x.endswith("\r") else x) for i, x in enumerate(t.split("\n"))] for n, t in texts.items()}
+        kept = {n: [(i, x) for i, x in rows if x.strip(" ")] for n, rows in plain.items()}
+        df = files.read_lines(spark, f"{tmp_path}/d")
+        assert df.rdd.getNumPartitions() >= 1 and spark.read.text(f"{tmp_path}/d").rdd.getNumPartitions() > 20
+        got = df.collect()
+        assert sorted((r.path.rsplit("/", 1)[1], r.line_no, r.line) for r in got) == sorted((n, i, x) for n, rows in kept.items() for i, x in rows)
+        tail = files.read_lines(spark, f"{tmp_path}/d", tail=5).collect()
+        want = {n: [(i, x) for i, x in rows if i > rows[-1][0] - 5] for n, rows in kept.items() if rows}
+        assert sorted((r.path.rsplit("/", 1)[1], r.line_no, r.line) for r in tail) == sorted((n, i, x) for n, rows in want.items() for i, x in rows)
+        whole, shift = [], 0
+        for n, rows in sorted(plain.items()):
+            whole += [(i + shift, x) for i, x in kept[n]]
+            shift += len(rows) - texts[n].endswith("\n") - (texts[n] == "")
+        assert sorted((r.line_no, r.line) for r in files.read_lines(spark, f"{tmp_path}/d", across=True).collect()) == whole
+        assert [r.line for r in files.read_lines(spark, f"{tmp_path}/d", across=True, tail=1).collect()] == ["z"]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n"x, ""y""","line\nend"\n')
     assert tuple(files.read_csv(spark, str(tmp_path / "a.csv")).first()) == ('x, "y"', "line\nend")
@@ -30,7 +65,7 @@ def test_hooks_and_transcripts(spark, tmp_path):
     assert [r.hook for r in files.read_hook_events(spark, str(p), "2024-01-02", 2).collect()] == ["h4", "h5"]
     q = tmp_path / "t.jsonl"
     q.write_text("\n".join(json.dumps(x) for x in [{"role": "assistant", "text": "old"}, {"payload": {"last_agent_message": "newest"}}, {"role": "user", "text": "u"}, {"payload": {"role": "assistant", "content": " "}}]))
-    assert [r.text for r in files.last_assistant_messages(files.read_lines(spark, str(q))).collect()] == ["newest"]
+    assert [r.text for r in files.last_assistant_messages(files.read_lines(spark, str(q), tail=files.TAIL)).collect()] == ["newest"]
 
 
 def test_sessions_and_samples(spark, tmp_path):
