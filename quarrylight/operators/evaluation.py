@@ -157,6 +157,25 @@ def threshold_sweep(df: DataFrame, score: str, label: str, folds: str | None = N
     return swept.groupBy(*by, "mark").agg((F.sum(F.when((F.col("cent") >= F.col("mark")) == F.col("y"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
 
 
+def calibrated(df: DataFrame, score: str, label: str, fold: str) -> DataFrame:
+    """Thresholds chosen by cross-validation, one row: n, the accuracy at 0.5, the
+    best threshold over all rows with its accuracy, the thresholds that the folds
+    chose on the others (in fold order) and the accuracy held out. Rows are read once,
+    into counts by fold, hundredth and label; a fold's training counts are the total
+    less its own. The least of equally good thresholds is chosen."""
+    cells = df.groupBy(F.col(fold).alias("fold"), F.floor(F.col(score) * 100 + F.lit(1e-9)).cast("int").alias("cent"), F.col(label).cast("boolean").alias("y")).agg(F.count("*").alias("n"))
+    marks = df.sparkSession.range(5, 96).select(F.col("id").cast("int").alias("mark"))
+    right = cells.join(F.broadcast(marks)).groupBy("fold", "mark").agg(F.sum(F.when((F.col("cent") >= F.col("mark")) == F.col("y"), F.col("n")).otherwise(0)).alias("right"), F.sum("n").alias("n"))
+    every = Window.partitionBy("mark")
+    right = right.withColumns({"all": F.sum("right").over(every), "total": F.sum("n").over(every)})
+    first_best = lambda by: F.max_by("mark", F.struct(by, -F.col("mark")))
+    by_fold = right.groupBy("fold").agg(F.max_by(F.struct("mark", "right"), F.struct(F.col("all") - F.col("right"), -F.col("mark"))).alias("chosen"))
+    held = by_fold.agg(F.transform(F.sort_array(F.collect_list(F.struct("fold", "chosen.mark"))), lambda x: x.mark / 100).alias("fold_thresholds"), F.sum("chosen.right").alias("held_right"))
+    whole = right.groupBy("mark").agg(F.any_value("all").alias("all"), F.any_value("total").alias("n"))
+    fit = whole.agg(F.max("n").alias("n"), F.max(F.when(F.col("mark") == 50, F.col("all"))).alias("half"), first_best(F.col("all")).alias("mark"), F.max("all").alias("best"))
+    return fit.join(held, F.lit(True)).select("n", (F.col("half") / F.col("n")).alias("accuracy_half"), (F.col("mark") / 100).alias("threshold"), (F.col("best") / F.col("n")).alias("accuracy_fit"), "fold_thresholds", (F.col("held_right") / F.col("n")).alias("accuracy_held_out"))
+
+
 def gate_confusion(df: DataFrame, expected: Column, predicted: Column) -> DataFrame:
     """Tp, fn, fp, tn and rates over max(1, n)."""
     n = F.greatest(F.lit(1), F.count("*"))

@@ -1,4 +1,4 @@
-"""Queries over the stateful service, and their judges."""
+"""Queries over the stateful service and its judges, row validators and calibration."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import json
 from pyspark.sql import functions as F
 
 from quarrylight.functions import plain
+from quarrylight.operators import evaluation as e
+from quarrylight.operators import schema as sc
 from quarrylight.plans.ranking_queries import read
 from quarrylight.plans.store_queries import raw_decisions
 from quarrylight.plans.stream_queries import scratch
@@ -65,4 +67,60 @@ def remember_as_stream(spark, d):
     return spark.read.schema(rm.OUT).parquet(f"{root}/out").drop("seq")
 
 
+SCORED_SQL = "SELECT doc_id, len(regexp_replace(text, '[^a-z]', '', 'g')) / len(text)::DOUBLE AS p, quality = 1 AS y, doc_id % 5 AS fold FROM documents JOIN labels USING (doc_id) WHERE text <> ''"
+
+
+@query(f"""WITH r AS ({SCORED_SQL}), k AS (SELECT fold, floor(p * 100 + 1e-9)::INT AS cent, y FROM r), m AS (SELECT i::INT AS mark FROM range(5, 96) t(i)),
+s AS (SELECT mark, fold, sum(((cent >= mark) = y)::INT)::BIGINT AS own FROM k, m GROUP BY mark, fold), t AS (SELECT *, sum(own) OVER (PARTITION BY mark) AS every FROM s),
+c AS (SELECT fold, arg_max(mark, (every - own) * 1000 - mark) AS mark, arg_max(own, (every - own) * 1000 - mark) AS own FROM t GROUP BY fold), w AS (SELECT mark, any_value(every) AS every FROM t GROUP BY mark), n AS (SELECT count(*) AS n FROM r)
+SELECT n::BIGINT AS n, (SELECT every FROM w WHERE mark = 50) / n AS accuracy_half, (SELECT arg_max(mark, every * 1000 - mark) FROM w) / 100 AS threshold, (SELECT max(every) FROM w) / n AS accuracy_fit, (SELECT string_agg((mark / 100)::VARCHAR, ',' ORDER BY fold) FROM c) AS fold_thresholds, (SELECT sum(own) FROM c) / n AS accuracy_held_out FROM n""")
+def calibrated_threshold(spark, d):
+    """A threshold on the share of small letters that tells good texts, by five folds."""
+    docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
+    share = F.length(F.regexp_replace("text", "[^a-z]", "")) / F.length("text")
+    rows = docs.filter("text != ''").join(labels, "doc_id").select(share.alias("p"), (F.col("quality") == 1).alias("y"), (F.col("doc_id") % 5).alias("fold"))
+    out = e.calibrated(rows, "p", "y", "fold")
+    return out.withColumn("fold_thresholds", F.array_join("fold_thresholds", ","))
+
+
+def training_rows(spark, d):
+    """Turns as training rows in JSON, most of them with one thing broken."""
+    k = (F.col("turn") + F.col("conv_id")) % 10
+    none = F.lit(None).cast("string")
+    memory = F.struct(F.col("text").alias("content"), F.when(F.col("role") == "user", "episodic").otherwise(F.when(F.col("role") == "assistant", "semantic").otherwise(F.col("role"))).alias("type"), F.when(k == 6, F.lit("high")).alias("strength"), F.array(F.lit("turn"), F.when(k == 7, F.lit(" ")).otherwise(F.lit("x"))).alias("tags"))
+    fact = F.struct(F.col("role").alias("subject"), F.when(k == 2, F.lit("Said In")).otherwise(F.lit("said_in")).alias("predicate"), F.col("text").alias("value"), F.lit("explicit").alias("inference_kind"), F.when(k != 3, F.lit("turn text")).alias("evidence_text"))
+    decision = F.struct(F.when(k == 0, F.lit("store")).otherwise(F.lit("store_episodic")).alias("action"), F.when(k != 1, memory).alias("memory"), F.array(fact).alias("facts"), F.lit("r").alias("reasoning"))
+    payload = F.struct(F.when(k != 4, F.concat(F.lit("User: "), "text")).otherwise(none).alias("conversation"))
+    row = F.struct(F.col("conv_id").cast("string").alias("id"), payload.alias("input"), decision.alias("expected"), F.when(k == 5, F.lit("dev")).otherwise(F.lit("train")).alias("split"))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.when(k == 8, F.lit("{broken")).otherwise(F.to_json(row)).alias("raw"))
+
+
+ROWS_SQL = r"""r AS (SELECT conv_id, turn, text, role, (turn + conv_id) % 10 AS k FROM conversations),
+i AS (SELECT conv_id, turn, k, unnest([
+  CASE WHEN k = 8 THEN ['$', 'invalid JSON'] END, CASE WHEN k = 4 THEN ['$.input', 'input must include conversation, question, user_prompt, source, context, or prompt'] END,
+  CASE WHEN k = 0 THEN ['$.expected.action', 'unsupported action: store'] END,
+  CASE WHEN k NOT IN (1, 8) AND NOT regexp_matches(text, '\S') THEN ['$.expected.memory.content', 'required non-empty string'] END,
+  CASE WHEN k NOT IN (1, 8) AND role NOT IN ('user', 'assistant') THEN ['$.expected.memory.type', 'unsupported memory type: ' || role] END,
+  CASE WHEN k = 7 THEN ['$.expected.memory.tags', 'tags must be a list of non-empty strings'] END, CASE WHEN k = 6 THEN ['$.expected.memory.strength', 'must be a finite number when present'] END,
+  CASE WHEN k = 1 THEN ['$.expected.memory', 'store_episodic decisions require memory'] END, CASE WHEN k = 2 THEN ['$.expected.facts[0].predicate', 'predicate must be snake_case'] END,
+  CASE WHEN k = 3 THEN ['$.expected.facts[0].evidence_text', 'required non-empty string'] END, CASE WHEN k = 5 THEN ['$.split', 'split must be train, validation, test, or probe'] END]) AS x FROM r)"""
+
+
+@query(f"WITH {ROWS_SQL} SELECT conv_id, turn, x[1] AS path, x[2] AS message FROM i WHERE x IS NOT NULL")
+def training_row_issues(spark, d):
+    """the issues of training rows, with their paths."""
+    rows = sc.judged(training_rows(spark, d), "raw", sc.training_issues)
+    return rows.select("conv_id", "turn", F.explode("issues").alias("x")).select("conv_id", "turn", "x.path", "x.message")
+
+
+@query(f"""WITH {ROWS_SQL}, v AS (SELECT conv_id, role FROM r WHERE NOT EXISTS (SELECT 1 FROM i WHERE x IS NOT NULL AND i.conv_id = r.conv_id AND i.turn = r.turn)),
+t AS (SELECT count(*) AS n, (SELECT count(*) FROM r) AS total FROM v), y AS (SELECT string_agg(type || ':' || n, ',' ORDER BY type) AS types FROM (SELECT CASE role WHEN 'user' THEN 'episodic' ELSE 'semantic' END AS type, count(*) AS n FROM v GROUP BY 1)),
+u AS (SELECT string_agg(id, ',' ORDER BY id) AS duplicates FROM (SELECT conv_id::VARCHAR AS id FROM v GROUP BY conv_id HAVING count(*) > 1))
+SELECT total, n AS valid, 'store_episodic:' || n AS actions, types, 'storage:' || n AS tasks, coalesce(duplicates, '') AS duplicates, total = n AND duplicates IS NULL AS ok FROM t, y, u""")
+def training_row_gate(spark, d):
+    """A4: totals and counts by action, memory type and task, and duplicate ids."""
+    flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat_ws(":", x.key, x.value)), ",").alias(c)
+    return sc.dataset_gate(training_rows(spark, d), "raw").select("total", "valid", flat("actions"), flat("types"), flat("tasks"), F.array_join("duplicates", ",").alias("duplicates"), "ok")
+
+
 QUERIES, ORACLE_SQL = Q, SQL
