@@ -6,9 +6,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from quarrylight.functions import plain
+from quarrylight.functions import lean, plain
+from quarrylight.functions import text as t
 from quarrylight.operators import evaluation as e
 from quarrylight.operators import schema as sc
+from quarrylight.plans import sqltext as s
 from quarrylight.plans.ranking_queries import read
 from quarrylight.plans.store_queries import raw_decisions
 from quarrylight.plans.stream_queries import scratch
@@ -123,4 +125,29 @@ def training_row_gate(spark, d):
     return sc.dataset_gate(training_rows(spark, d), "raw").select("total", "valid", flat("actions"), flat("types"), flat("tasks"), F.array_join("duplicates", ",").alias("duplicates"), "ok")
 
 
+def lean_decisions(spark, d):
+    """Turns as decisions: conv_id, turn, and the structs of a decision."""
+    k, said = F.col("turn") + F.col("conv_id"), t.squeeze("text")
+    none = F.lit(None).cast("string")
+    memory = F.struct(
+        F.lit("episodic").alias("type"), said.alias("content"), (F.col("turn") / 7).alias("strength"), F.when(k % 3 == 0, F.lit(0.00002)).alias("decay_rate"), F.lit(None).cast("double").alias("emotional_weight"), F.lit(1.0).alias("confidence"),
+        F.array(F.lit("turn"), F.col("role")).alias("tags"), F.when(k % 2 == 0, F.lit("last week")).alias("temporal_expression"), none.alias("resolved_time"),
+    )
+    fact = F.struct(F.col("role").alias("subject"), F.lit("said_in").alias("predicate"), said.alias("value_text"), (F.col("conv_id") * 1000.5).alias("confidence"), none.alias("inference_kind"), F.lit("turn = text").alias("evidence_text"), none.alias("temporal_expression"), F.lit("2024").alias("resolved_time"))
+    rows = read(spark, d, "conversations").filter(said != "")
+    return rows.select("conv_id", "turn", F.when(k % 4 == 0, "ignore").otherwise("store_episodic").alias("action"), F.when(k % 4 != 0, memory).alias("memory"), F.when(k % 4 == 1, F.array(fact)).otherwise(F.filter(F.array(fact), lambda x: F.lit(False))).alias("facts"), F.lit("why").alias("reasoning"))
+
+
+@query(rf"""WITH r AS (SELECT conv_id, turn, role, turn + conv_id AS k, {s.squeeze('text')} AS said FROM conversations), x AS (SELECT *, chr(10) AS n FROM r WHERE said <> '')
+SELECT conv_id, turn, CASE WHEN k % 4 = 0 THEN '@a ignore' || n || '@m none' ELSE '@a store_episodic' || n || '@t episodic' || n || '@c ' || said || n || '@s ' || printf('%g', turn / 7.0::DOUBLE) || CASE WHEN k % 3 = 0 THEN n || '@d 2e-05' ELSE '' END || n || '@p 1' || n || '@g turn ' || role || CASE WHEN k % 2 = 0 THEN n || '@te last week' ELSE '' END
+  || CASE WHEN k % 4 = 1 THEN n || '@f' || n || 'sub=' || role || n || 'pred=said_in' || n || 'val=' || said || n || 'conf=' || printf('%g', conv_id * 1000.5::DOUBLE) || n || 'kind=explicit' || n || 'ev=turn = text' || n || 'frt=2024' || n || '@ef' ELSE '' END END || n || '@r why' || n || '@end' AS at_tag,
+CASE WHEN k % 4 = 0 THEN 'ignore' ELSE 'store: ' || said END AS minimal, CASE WHEN k % 4 = 0 THEN 'ignore' ELSE 'store' END AS binary, 0 AS n_issues, CASE WHEN k % 4 <> 0 THEN said END AS content, CASE WHEN k % 4 <> 0 THEN said END AS minimal_content, CASE WHEN k % 4 = 0 THEN 'ignore' ELSE 'store_episodic' END AS binary_action FROM x""")
+def lean_formats(spark, d):
+    """decisions as @tag blocks, minimal and binary lines, and read back."""
+    rows = lean_decisions(spark, d)
+    made = rows.select("conv_id", "turn", lean.at_tag(F.col("action"), F.col("memory"), F.col("facts"), F.col("reasoning")).alias("at_tag"), lean.minimal(F.col("action"), F.col("memory.content")).alias("minimal"), lean.binary(F.col("action")).alias("binary"))
+    back = lean.parse_at_tags(made, "at_tag")
+    return back.select("conv_id", "turn", "at_tag", "minimal", "binary", F.size("issues").alias("n_issues"), F.get_json_object("decision", "$.memory.content").alias("content"), lean.parse_minimal(F.col("minimal")).content.alias("minimal_content"), lean.parse_binary(F.col("binary")).action.alias("binary_action"))
+
+
 QUERIES, ORACLE_SQL = Q, SQL
