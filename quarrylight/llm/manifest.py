@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import Scratch
+from quarrylight.llm.common import Scratch, give_back
 
 FAN, DEPTH = 3, 6
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -84,7 +84,7 @@ def depth_of(n: int) -> int:
 def _engine():
     import duckdb
 
-    return duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+    return duckdb.connect(config={"threads": 1, "memory_limit": "64MB"})
 
 
 def _levels(depth: int) -> str:
@@ -120,6 +120,7 @@ def _run(leaves: pa.Table, sql: str) -> list[tuple]:
         return engine.execute(sql).fetchall()
     finally:
         engine.unregister("leaves")
+        give_back()
 
 
 def _roots(most: int):
