@@ -14,6 +14,7 @@ from quarrylight.plans import sqltext as s
 from quarrylight.plans.ranking_queries import read
 from quarrylight.plans.store_queries import raw_decisions
 from quarrylight.plans.stream_queries import scratch
+from quarrylight.sources import sqlite
 from quarrylight.streaming import remember as rm
 
 Q: dict = {}
@@ -150,4 +151,13 @@ def lean_formats(spark, d):
     return back.select("conv_id", "turn", "at_tag", "minimal", "binary", F.size("issues").alias("n_issues"), F.get_json_object("decision", "$.memory.content").alias("content"), lean.parse_minimal(F.col("minimal")).content.alias("minimal_content"), lean.parse_binary(F.col("binary")).action.alias("binary_action"))
 
 
+@query("SELECT doc_id, lang, text FROM documents WHERE n_chars >= 200 AND lang <> 'en'")
+def sqlite_source(spark, d):
+    """Documents written to SQLite files and read back by ranges, with a filter."""
+    root = f"{scratch(spark)}/db"
+    sqlite.write_sqlite(read(spark, d, "documents").select("doc_id", "lang", "n_chars", "text"), root, "documents")
+    rows = sqlite.read_sqlite(spark, root, "documents", "doc_id long, lang string, n_chars long, text string", rows=500)
+    return rows.filter("n_chars >= 200 AND lang != 'en'").select("doc_id", "lang", "text")
+
+
 QUERIES, ORACLE_SQL = Q, SQL
