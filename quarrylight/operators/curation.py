@@ -194,3 +194,61 @@ def neighbours(df: DataFrame, group: list[str], pos: str, column: str, back: int
         return df.withColumn("around", F.collect_list(column).over(w))
     near = F.collect_list(F.struct(F.col(source).alias("s"), F.col(column).alias("v"))).over(w)
     return df.withColumn("_near", near).withColumn("around", F.transform(F.filter("_near", lambda x: ~x.s.eqNullSafe(F.col(source))), lambda x: x.v)).drop("_near")
+
+
+#: What makes a message worth labelling, and its points; a caller adds the
+#: words of its own subject.
+TOPICS = "retention|decay|checkpoint|validation|dataset|colab|huggingface|duckdb|memory"
+POINTS = [
+    (r"should|must|need|make sure|quality|best|prefer|full dataset|training", 2),
+    (r"failed|wrong|empty|404|not found|disconnect|regression|forgot|miss", 3),
+    (r"accuracy|mae|score|cross-eval|results", 2),
+    (r"^i('|’)m |^i found |^next i('|’)m ", -3),
+]
+#: Buckets in the order in which they claim a message, and their shares.
+BUCKETS = [
+    ("correction", r"failed|wrong|empty|404|not found|disconnect|regression|forgot|miss|failure|error|should not|don't like|do not like|we went wrong"),
+    ("rule", r"should|must|need to|make sure|best practice|prefer|always|never|do not|don't|quality|full dataset|today|works well"),
+]
+MILESTONES = "accuracy|mae|cross-eval|results|training"
+NARRATION = r"^i('|â€™)m |^i found |^next i('|â€™)m |run this|use this|checking|inspecting|\[code_block\]"
+REPLIES = r"^(okay|ok|yes|no|proceed|thanks|thank you|what'?s going on|whats going on)[.! ]*$"
+SHARES = {"correction": 0.22, "rule": 0.28, "milestone": 0.34, "transient": 0.16}
+
+
+def candidate_points(text: Column, topics: str = TOPICS) -> Column:
+    """Points of a message."""
+    low = F.lower(text)
+    points = F.when(low.rlike(topics), 3).otherwise(0) + F.when(F.length(text) < 30, -2).otherwise(0)
+    for pattern, n in POINTS:
+        points = points + F.when(low.rlike(pattern), n).otherwise(0)
+    return points
+
+
+def candidate_bucket(text: Column, assistant: Column, topics: str = TOPICS) -> Column:
+    """Correction, rule, milestone or transient; null for what is skipped."""
+    low = F.lower(text)
+    out = F.when(low.rlike(BUCKETS[0][1]), BUCKETS[0][0]).when(low.rlike(BUCKETS[1][1]), BUCKETS[1][0]).when(low.rlike(f"{topics}|{MILESTONES}"), "milestone")
+    return out.when(assistant & low.rlike(NARRATION), "transient").when(low.rlike(REPLIES), "transient")
+
+
+def mined_candidates(messages: DataFrame, count: int, pos: str = "pos", text: str = "text") -> DataFrame:
+    """At most ``count`` messages, in order of ``pos`` (unique). ``messages`` has
+    ``bucket`` and ``points``. Each bucket gives its share (one at least) of best
+    messages; what they leave free goes to the best of the rest, of any bucket; of those
+    that begin with the same 160 characters the first stays. Quotas cut before rows
+    move, so a bucket may hold any part of the input."""
+    best = [F.col("points").desc(), F.col(pos)]
+    quota = {k: max(1, int(count * share)) for k, share in SHARES.items()}
+    scored = messages.filter(F.col("bucket").isin(*quota))
+    sizes = {r.bucket: r.n for r in scored.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    free = max(0, count - sum(min(n, quota[k]) for k, n in sizes.items()))
+    most = F.element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), F.col("bucket"))
+    # the best quota + free of a bucket hold all that can be picked of it
+    near = scored.withColumn("_rank", F.row_number().over(Window.partitionBy("bucket").orderBy(*best))).filter(F.col("_rank") <= max(quota.values()) + free)
+    picked = near.filter(F.col("_rank") <= most)
+    if free:
+        picked = picked.unionByName(near.filter(F.col("_rank") > most).orderBy(*best).limit(free))
+    first = Window.partitionBy(F.substring(F.lower(F.col(text)), 1, 160)).orderBy(pos)
+    kept = picked.withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_rank", "_first")
+    return kept.orderBy(pos).limit(count)
