@@ -3,10 +3,12 @@
 ``append`` writes arrivals as small shards and commits a manifest that lists
 them beside those already there. ``compact`` takes, tier by tier, the shards of
 similar size (tier t: ``LEAST * FANOUT**t`` bytes and up) where a tier holds
-``FANOUT`` runs or more, and merges them into files of about ``TARGET`` bytes;
-shards of the target size are final and never rewritten, so a byte is rewritten
-about once for each tier. Merging reads files and writes fewer of them with no
-shuffle. A manifest is a numbered log entry that becomes visible whole, by a
+``FANOUT`` runs or more, and deals them, oldest first, into bins of about ``TARGET``
+bytes, of which each becomes one file; shards from a half to one and a half of the
+target are final and never rewritten, so a byte is rewritten about once for each
+tier. A larger shard, as a large arrival may leave, is split by rows into files of
+the target size. Both read files and write them with no shuffle, a task for each
+bin, which holds at most ``FULL`` targets; up to ``AT_ONCE`` bins are one job. A manifest is a numbered log entry that becomes visible whole, by a
 rename that fails if the number is taken; a writer that loses rereads and tries
 again, and files no manifest lists are never read. Merged shards stay, so that a
 reader of an earlier manifest finds them, until ``vacuum`` drops all manifests
@@ -25,7 +27,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ from pyspark.sql.types import StructField, StructType
 from quarrylight.llm.common import CommitLog, drop_path, fresh_dir
 
 TARGET, LEAST, FANOUT = 32 << 20, 1 << 20, 4
+FULL, OVER, AT_ONCE = 1.25, 1.5, 64
 
 
 def merged_schema(known: str | None, new: StructType) -> str:
@@ -59,7 +61,7 @@ class Shards:
         return self.log.latest()[1] or {"shards": [], "schema": None}
 
     def tier(self, n_bytes: int) -> int:
-        """-1: final. Else the number of times ``fanout`` fits above ``least``."""
+        """-1: final or larger. Else the number of times ``fanout`` fits above ``least``."""
         if n_bytes >= self.target // 2:
             return -1
         t, bound = 0, self.least
@@ -100,30 +102,55 @@ class Shards:
         return len(new)
 
     def plan(self) -> list[list[dict]]:
-        """Groups of similarly sized shards to merge, oldest first."""
+        """What to rewrite: bins of similarly sized shards, oldest first, that become
+        one file each, and single shards beyond ``OVER`` targets, which are split."""
         tiers: dict[int, list[dict]] = {}
-        for s in self.manifest()["shards"]:
+        shards = self.manifest()["shards"]
+        for s in shards:
             tiers.setdefault(self.tier(s["bytes"]), []).append(s)
-        return [runs for t, runs in sorted(tiers.items()) if t >= 0 and len(runs) >= self.fanout]
+        bins = [[s] for s in shards if s["bytes"] > OVER * self.target and s["rows"] > 1]
+        for t, runs in sorted(tiers.items()):
+            if t >= 0 and len(runs) >= self.fanout:
+                bins += [b for b in self._bins(runs) if len(b) > 1]
+        return bins
+
+    def _bins(self, runs: list[dict]) -> list[list[dict]]:
+        out, total = [[]], 0
+        for s in runs:
+            if total and total + s["bytes"] > FULL * self.target:
+                out.append([])
+                total = 0
+            out[-1].append(s)
+            total += s["bytes"]
+        return out
 
     def compact(self) -> int:
-        """Merge until no tier is full; returns the number of merges."""
-        merges = 0
-        while groups := self.plan():
-            with ThreadPoolExecutor(4) as pool:
-                done = list(pool.map(self._merge, groups))
-            merges += sum(map(bool, done))
-            if not any(done):
+        """Rewrite until no tier is full; returns the number of bins rewritten."""
+        done = 0
+        while bins := self.plan():
+            found = sum(self._rewrite(bins[k : k + AT_ONCE]) for k in range(0, len(bins), AT_ONCE))
+            done += found
+            if not found:
                 break
-        return merges
-
-    def _merge(self, group: list[dict]) -> bool:
-        path = f"{self.root}/merged-{uuid.uuid4().hex}"
-        total = sum(s["bytes"] for s in group)
-        files = max(1, min(len(group) - 1, round(total / self.target)))
-        rows = self._read([s["path"] for s in group], self.manifest()["schema"])
-        rows.coalesce(files).write.parquet(path)
-        return self._commit({s["path"] for s in group}, self._written(path))
+        return done
+
+    def _rewrite(self, bins: list[list[dict]]) -> int:
+        """Write each bin by a task of its own and commit it; returns how many were not
+        replaced meanwhile. A file's name tells its task, and so its bin."""
+        path, schema, rows, most = f"{self.root}/merged-{uuid.uuid4().hex}", self.manifest()["schema"], None, 0
+        splits = [b for b in bins if len(b) == 1]
+        if splits and len(splits) < len(bins):
+            return self._rewrite(splits) + self._rewrite([b for b in bins if len(b) > 1])
+        for group in bins:
+            own = self._read([s["path"] for s in group], schema).coalesce(1)
+            rows = own if rows is None else rows.union(own)
+        if splits:  # rows a file such that the largest bytes a row come to a target
+            most = max(1, min(int(s["rows"] / max(2, round(s["bytes"] / self.target))) + 1 for b in splits for s in b))
+        rows.write.option("maxRecordsPerFile", most).parquet(path)
+        files: dict[int, list[dict]] = {}
+        for s in self._written(path):
+            files.setdefault(int(s["path"].rsplit("/part-", 1)[1][:5]), []).append(s)
+        return sum(self._commit({s["path"] for s in group}, files.get(k, [])) for k, group in enumerate(bins))
 
     def vacuum(self, version: int | None = None) -> int:
         """Drop manifests before ``version`` (the latest, if not given) and the

@@ -1,4 +1,5 @@
 import collections
+import random
 
 import pytest
 
@@ -27,6 +28,46 @@ def test_append_compact_and_manifest(spark, tmp_path):
     assert table.log.latest()[0] == version + 1
 
 
+def _noise(n: int, size: int, seed: int):
+    rng = random.Random(seed)
+    return [(seed * 100_000 + i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=size))) for i in range(n)]
+
+
+def test_files_come_to_the_target_size_from_both_sides(spark, tmp_path):
+    """Many small shards, and one arrival of many times the target: afterwards every
+    file is of half to one and a half targets, but for one rest in each tier."""
+    target = 256 << 10
+    table = Shards(spark, f"file://{tmp_path}/t", target=target, least=16 << 10, fanout=4)
+    small, large = _noise(2000, 1500, 1), _noise(2000, 1500, 2)
+    table.append(spark.createDataFrame(small, "doc_id long, text string").repartition(60))
+    assert len(table.manifest()["shards"]) == 60 and max(s["bytes"] for s in table.manifest()["shards"]) < target / 2
+    assert table.compact() > 4
+    sizes = [s["bytes"] for s in table.manifest()["shards"]]
+    assert sum(not target / 2 <= x <= 1.5 * target for x in sizes) <= 1 and len(sizes) > 4
+    table.append(spark.createDataFrame(large, "doc_id long, text string").coalesce(1))
+    assert max(s["bytes"] for s in table.manifest()["shards"]) > 6 * target
+    table.compact()
+    sizes = [s["bytes"] for s in table.manifest()["shards"]]
+    assert sum(not target / 2 <= x <= 1.5 * target for x in sizes) <= 2 and len(sizes) > 12
+    assert not table.plan() and sum(s["rows"] for s in table.manifest()["shards"]) == 4000
+    assert sorted(map(tuple, table.read().collect())) == sorted(small + large)
+    # long texts: a shard of few rows is split down to single ones
+    table.append(spark.createDataFrame(_noise(3, 2 * target, 3), "doc_id long, text string").coalesce(1))
+    assert table.compact() == 1 and table.compact() == 0 and table.read().count() == 4003
+
+
+def test_two_compactors(spark, tmp_path):
+    """Of two that merge the same shards one commits, and no row is lost or doubled."""
+    make = lambda: Shards(spark, f"file://{tmp_path}/t", target=1 << 20, least=1000, fanout=3)
+    one, two = make(), make()
+    rows = _noise(300, 100, 4)
+    one.append(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    plain = one._written
+    one._written = lambda path: (two.compact(), plain(path))[1]
+    assert one.compact() == 0 and len(one.manifest()["shards"]) == 1
+    assert sorted(map(tuple, one.read().collect())) == sorted(rows)
+
+
 def test_columns_come_and_go_and_old_manifests_stay_readable(spark, tmp_path):
     table = Shards(spark, f"file://{tmp_path}/t", target=200_000, least=1000, fanout=2)
     a = spark.createDataFrame([(i, f"t{i}", i * 2) for i in range(10)], "doc_id long, text string, extra long")
