@@ -127,27 +127,6 @@ def top_distinct(scored: DataFrame, group: list[str], key: str, k: int) -> DataF
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Over the common prefix; 0 where it is empty or a norm is 0."""
-    n = F.least(F.size(a), F.size(b))
-
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
-
-    x, y = F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)
-    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    return F.when((n > 0) & (norm > 0), dot(x, y) / norm).otherwise(0.0)
-
-
-def vector_top(queries: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
-    """(user_id, qid, table, id, vector) of the ``limit`` best cosines of each
-    query (R12). ``queries``: user_id, qid, q_embedding; ``vectors``: user_id,
-    table, id, embedding."""
-    pairs = vectors.join(queries, "user_id").withColumn("vector", cosine(F.col("q_embedding"), F.col("embedding")))
-    order = Window.partitionBy("user_id", "qid").orderBy(F.col("vector").desc(), "table", "id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("user_id", "qid", "table", "id", "vector", "rank")
-
-
 def _hits(q: str, m: Column) -> Column:
     return F.size(F.filter(F.col(q), lambda x: F.array_contains(m, x)))
 

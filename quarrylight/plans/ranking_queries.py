@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as t
 from quarrylight.operators import ranking as r
+from quarrylight.operators import vectors as vc
 from quarrylight.plans import sqltext as s
 
 
@@ -75,7 +76,7 @@ def vector_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = read(spark, sf_dir, "embeddings")
     vectors = v.select(F.lit("u").alias("user_id"), F.lit("semantic").alias("table"), F.col("vec_id").alias("id"), "embedding")
     asked = v.filter("vec_id % 100 = 0").select(F.lit("u").alias("user_id"), F.col("vec_id").alias("qid"), F.col("embedding").alias("q_embedding"))
-    return r.vector_top(asked, vectors, 10).select("qid", "id", t.round6(F.col("vector")).alias("vector"), "rank")
+    return vc.vector_top(asked, vectors, 10).select("qid", "id", t.round6(F.col("vector")).alias("vector"), "rank")
 
 
 VECTOR_SQL = """
@@ -164,5 +165,25 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY prio, rank) AS
 SELECT qid, place, "table", id, score FROM placed WHERE place <= 8
 """
 
-QUERIES = {"rank_hybrid": hybrid_rank, "rank_vectors": vector_top, "rank_facts": rank_facts, "rank_indexables": rank_indexables, "rank_context": context}
-ORACLE_SQL = {"rank_hybrid": HYBRID_SQL, "rank_vectors": VECTOR_SQL, "rank_facts": FACTS_SQL, "rank_indexables": INDEXABLES_SQL, "rank_context": CONTEXT_SQL}
+def hybrid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hybrid ranking with the cosines of the hundred nearest vectors of
+    each question; documents and questions have the vectors of their numbers."""
+    v = read(spark, sf_dir, "embeddings")
+    memories, asked = document_memories(spark, sf_dir), questions(spark, sf_dir)
+    held = memories.join(v.select(F.col("vec_id").cast("string").alias("id"), "embedding"), "id").select("user_id", "table", "id", "embedding")
+    near = vc.vector_top(asked.join(v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_embedding")), "qid").select("user_id", "qid", "q_embedding"), held, 100)
+    return r.hybrid_rank(asked, memories, top_k=5, min_score=0.35, vectors=near).drop("user_id", "preferred_table")
+
+
+HYBRID_VECTORS_SQL = HYBRID_SQL.replace(
+    "), c AS (",
+    """), vp AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, CASE WHEN l.quality = 1 THEN 'semantic' ELSE 'episodic' END AS tbl,
+    round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 12) AS vec
+  FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings v JOIN documents d ON d.doc_id = v.vec_id LEFT JOIN labels l ON l.doc_id = v.vec_id
+), vt AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY vec DESC, tbl, doc_id::VARCHAR) AS vr FROM vp
+), c AS (""",
+    1,
+).replace("0.8::DOUBLE * 0\n", "0.8::DOUBLE * coalesce((SELECT vec FROM vt WHERE vt.qid = c.qid AND vt.doc_id = c.doc_id AND vr <= 100), 0)\n").replace("0.0::DOUBLE AS vector", "round(coalesce((SELECT vec FROM vt WHERE vt.qid = ranked.qid AND vt.doc_id = ranked.doc_id AND vr <= 100), 0), 6) AS vector")
+
+QUERIES = {"rank_hybrid": hybrid_rank, "rank_hybrid_vectors": hybrid_vectors, "rank_vectors": vector_top, "rank_facts": rank_facts, "rank_indexables": rank_indexables, "rank_context": context}
+ORACLE_SQL = {"rank_hybrid": HYBRID_SQL, "rank_hybrid_vectors": HYBRID_VECTORS_SQL, "rank_vectors": VECTOR_SQL, "rank_facts": FACTS_SQL, "rank_indexables": INDEXABLES_SQL, "rank_context": CONTEXT_SQL}

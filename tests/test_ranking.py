@@ -30,3 +30,37 @@ def test_indexables_prefer_the_exact_key(spark):
     q = spark.createDataFrame([("u", 1, "review-pr")], "user_id string, qid int, query string")
     x = spark.createDataFrame([("u", 1, 1, "workflow", "sqlite-local", 0.95, None, None, None), ("u", 2, 2, "workflow", "review-pr", 0.9, None, None, None)], "user_id string, id int, pos int, kind string, key string, salience double, reconstructive_hint string, tags array<string>, steps array<string>")
     assert [r_.id for r_ in r.rank_indexables(q, x).orderBy("rank").collect()] == [2, 1]
+
+
+def test_nearest_vectors_of_odd_lengths(spark, monkeypatch):
+    import math
+    import random
+
+    from quarrylight.operators import vectors as vc
+
+    rng = random.Random(5)
+    vector = lambda n: [rng.choice([None, 0.0, 1.0, rng.uniform(-1, 1)]) for _ in range(n)]
+    held = [(u, t_, i, vector(rng.choice([0, 3, 5, 8]))) for u in ("a", "b", None) for t_ in ("episodic", "semantic") for i in range(40)] + [("a", "semantic", 99, None), ("a", "semantic", 98, [1.0, 0.0, 0.0]), ("a", "episodic", 97, [2.0, 0.0, 0.0])]
+    asked = [(u, q, vector(rng.choice([3, 8]))) for u in ("a", "b", "c") for q in range(9)] + [("a", 50, []), ("a", 51, [1.0, 0.0, 0.0])]
+
+    def cosine(x, y):
+        pairs = [(p or 0.0, q or 0.0) for p, q in zip(x or [], y or [])]
+        norm = math.sqrt(sum(p * p for p, _ in pairs)) * math.sqrt(sum(q * q for _, q in pairs))
+        return round(sum(p * q for p, q in pairs) / norm, 9) if norm else 0.0
+
+    want = {}
+    for u, q, x in asked:
+        best = sorted((-cosine(x, y), t_, i) for v, t_, i, y in held if v == u)[:6]
+        want |= {(u, q, k + 1): (t_, i, -c) for k, (c, t_, i) in enumerate(best)}
+    queries = spark.createDataFrame(asked, "user_id string, qid int, q_embedding array<double>").repartition(3)
+    vectors = spark.createDataFrame(held, "user_id string, table string, id int, embedding array<float>").select("user_id", "table", "id", "embedding").repartition(4)
+    # floats of the vectors are taken as they are stored
+    exact = {(r_.user_id, r_.table, r_.id): r_.embedding for r_ in vectors.collect()}
+    held[:] = [(u, t_, i, exact[u, t_, i]) for u, t_, i, _ in held]
+    want = {}
+    for u, q, x in asked:
+        best = sorted((-cosine(x, y), t_, i) for v, t_, i, y in held if v == u)[:6]
+        want |= {(u, q, k + 1): (t_, i, -c) for k, (c, t_, i) in enumerate(best)}
+    got = {(r_.user_id, r_.qid, r_.rank): (r_.table, r_.id, round(r_.vector, 9)) for r_ in vc.vector_top(queries, vectors, 6).collect()}
+    assert got == {k: (t_, i, round(c, 9) + 0.0) for k, (t_, i, c) in want.items()}
+    assert vc.vector_top(queries, vectors.limit(0), 6).collect() == []
