@@ -165,7 +165,10 @@ def _matches(pattern: str) -> str:
     return "regexp_matches(low, '" + pattern.replace("'", "''") + "')"
 
 
-@query(f"""WITH m AS (SELECT conv_id * 1000 + turn AS pos, text, lower(text) AS low, role = 'assistant' AS a FROM conversations),
+OPENINGS = ["It failed: ", "You must see: ", "Validation of ", "I''m on ", "", "Results: the score of "]
+
+
+@query(f"""WITH t AS (SELECT conv_id * 1000 + turn AS pos, [{', '.join(f"'{x}'" for x in OPENINGS)}][(conv_id + turn) % 6 + 1] || text AS text, role = 'assistant' AS a FROM conversations), m AS (SELECT *, lower(text) AS low FROM t),
 b AS (SELECT *, CASE WHEN {_matches(cu.BUCKETS[0][1])} THEN 'correction' WHEN {_matches(cu.BUCKETS[1][1])} THEN 'rule' WHEN {_matches(cu.TOPICS + '|' + cu.MILESTONES)} THEN 'milestone' WHEN a AND {_matches(cu.NARRATION)} THEN 'transient' WHEN {_matches(cu.REPLIES)} THEN 'transient' END AS bucket,
   CASE WHEN {_matches(cu.TOPICS)} THEN 3 ELSE 0 END + CASE WHEN length(text) < 30 THEN -2 ELSE 0 END + {' + '.join(f'CASE WHEN {_matches(p)} THEN {n} ELSE 0 END' for p, n in cu.POINTS)} AS points FROM m),
 r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY points DESC, pos) AS k FROM b WHERE bucket IS NOT NULL),
@@ -173,9 +176,9 @@ q AS (SELECT *, k <= CASE bucket WHEN 'correction' THEN 13 WHEN 'rule' THEN 16 W
 p AS (SELECT *, CASE WHEN own THEN 0 ELSE row_number() OVER (PARTITION BY own ORDER BY points DESC, pos) END AS spare FROM q), f AS (SELECT * FROM p WHERE own OR spare <= 60 - (SELECT count(*) FROM q WHERE own)),
 d AS (SELECT *, row_number() OVER (PARTITION BY left(lower(text), 160) ORDER BY pos) AS first FROM f) SELECT pos, bucket, points FROM d WHERE first = 1 ORDER BY pos LIMIT 60""")
 def mined_candidates(spark, d):
-    """Sixty turns worth labelling, by quotas of buckets."""
-    text = F.col("text")
-    rows = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), "text", cu.candidate_bucket(text, F.col("role") == "assistant").alias("bucket"), cu.candidate_points(text).alias("points"))
+    """Sixty turns worth labelling, by quotas of buckets; turns open in several ways."""
+    text, opening = F.col("text"), F.get(F.array(*[F.lit(x.replace("''", "'")) for x in OPENINGS]), ((F.col("conv_id") + F.col("turn")) % 6).cast("int"))
+    rows = read(spark, d, "conversations").withColumn("text", F.concat(opening, "text")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), "text", cu.candidate_bucket(text, F.col("role") == "assistant").alias("bucket"), cu.candidate_points(text).alias("points"))
     return cu.mined_candidates(rows, 60).select("pos", "bucket", "points")
 
 
