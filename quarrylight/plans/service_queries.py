@@ -12,7 +12,8 @@ from quarrylight.operators import curation as cu
 from quarrylight.operators import evaluation as e
 from quarrylight.operators import schema as sc
 from quarrylight.plans import sqltext as s
-from quarrylight.plans.ranking_queries import read
+from quarrylight.operators import service as sv
+from quarrylight.plans.ranking_queries import FACTS_SQL, HYBRID_SQL, conversation_facts, document_memories, questions, read
 from quarrylight.plans.store_queries import raw_decisions
 from quarrylight.plans.stream_queries import scratch
 from quarrylight.sources import sqlite
@@ -71,6 +72,34 @@ def remember_as_stream(spark, d):
     return spark.read.schema(rm.OUT).parquet(f"{root}/out").drop("seq")
 
 
+SEARCHED = "FROM (SELECT item_id, CASE WHEN item_id % 2 = 1 THEN 'river ' ELSE '' END || text AS text FROM benchmark)"
+
+
+@query(f"""WITH facts AS (SELECT qid, rank, id, score FROM ({FACTS_SQL.replace('FROM benchmark', SEARCHED).replace('rank <= 5', 'rank <= 20').replace('AS confidence, text FROM conversations', 'AS confidence, text FROM conversations ORDER BY pos LIMIT 200')})),
+mems AS (SELECT qid, rank, "table", id, score FROM ({HYBRID_SQL.replace('FROM benchmark', SEARCHED).replace('rank <= 5', 'rank <= 20').replace('score >= 0.35', 'score >= 0.15')})),
+both_ AS (SELECT qid, rank, 'memory_fact' AS "table", id, score, 0 AS prio FROM facts UNION ALL SELECT qid, rank, "table", id, score, 1 FROM mems),
+placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY prio, rank) AS place FROM both_) SELECT qid, place, "table", id, false AS rendered FROM placed WHERE place <= 3""")
+def context_batch(spark, d):
+    """2.13a, R13, R14: a context for each question, from plans with hints; renderings
+    that name nothing known fall back to the exact rows."""
+    plan = F.to_json(F.struct(F.array(F.lit("semantic")).alias("target_tables"), F.when(F.col("qid") % 2 == 1, F.array(F.lit("river"))).alias("ranking_hints"), F.lit("3").alias("top_k")))
+    render = F.when(F.col("qid") % 3 == 0, F.lit("no render")).otherwise(F.lit('{"context_items": [{"id": "nowhere", "content": "river"}]}'))
+    asked = questions(spark, d).drop("preferred").withColumns({"plan": plan, "render": render})
+    facts = conversation_facts(spark, d).withColumn("content", F.col("value_text"))
+    return sv.context(asked, document_memories(spark, d), facts, "plan", "render").select("qid", "place", "table", "id", "rendered")
+
+
+@query()
+def remember_chunked(spark, d):
+    """C13, 2.13a: long texts remembered by segments, each with its own source, in order."""
+    docs = read(spark, d, "documents")
+    asked = docs.select((F.col("doc_id") % 50).cast("string").alias("user_id"), F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("request_id"), "text", F.col("source").alias("source_id"))
+    chunks = rm.chunk_requests(asked, "text", 300, 50)
+    raw = F.to_json(F.struct(F.when(F.col("chunk") % 4 == 3, "ignore").otherwise("store_episodic").alias("action"), F.struct(F.col("text").alias("content")).alias("memory"), F.lit("r").alias("reasoning")))
+    chunks = chunks.withColumns({"raw": raw, "repaired": F.lit("")})
+    return rm.chunked(chunks, rm.remembered(rm.prepared(chunks, "raw", "repaired", "text"), overlap_judge), "text")
+
+
 SCORED_SQL = "SELECT doc_id, len(regexp_replace(text, '[^a-z]', '', 'g')) / len(text)::DOUBLE AS p, quality = 1 AS y, doc_id % 5 AS fold FROM documents JOIN labels USING (doc_id) WHERE text <> ''"
 
 

@@ -213,7 +213,9 @@ def nearest_memory(spark, d):
     return sv.nearest_known(new, document_memories(spark, d)).drop("user_id")
 
 
-PLANNED_SQL = HYBRID_SQL.replace("CASE WHEN tbl = 'semantic' THEN 0.08::DOUBLE", "CASE WHEN tbl = 'semantic' OR qid % 3 = 0 THEN 0.08::DOUBLE")
+PLANNED_SQL = HYBRID_SQL.replace("CASE WHEN tbl = 'semantic' THEN 0.08::DOUBLE", "CASE WHEN tbl = 'semantic' OR qid % 3 = 0 THEN 0.08::DOUBLE").replace(
+    "FROM benchmark", "FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z0-9]{3,}'), 1, 12), ' ') || ' ' ELSE '' END || text AS text FROM benchmark)"
+)
 
 
 @query(f"""WITH h AS ({PLANNED_SQL}), p AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 5 ELSE least(5, item_id % 9) END AS most, item_id % 3 = 0 AS plan_fallback FROM benchmark)

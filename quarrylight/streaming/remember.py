@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import plain
 from quarrylight.functions import temporal
+from quarrylight.functions import text as t
 from quarrylight.operators import decisions as dc
 from quarrylight.operators import service as sv
+from quarrylight.operators.segment import segmented
 
 NEWEST, KEYS = 50, 1000
 LEAST_SCORE, LEAST_COSINE, RETAINED = 0.3, 0.5, 0.5
@@ -69,6 +71,45 @@ def prepared(requests: DataFrame, raw: str, repaired: str, text: str) -> DataFra
     )
 
 
+def chunk_requests(requests: DataFrame, text: str, most: int = 1200, least: int = 200) -> DataFrame:
+    """Each request as its segments, each a request of its own: ``text`` is the
+    segment, source_id ``base:chunk-i``, the source's kind and label name the chunk, tags
+    tell index, total and split, and ``seq`` is a struct of the request's and the index,
+    as a number (requests of up to 100,000 segments). ``requests``: user_id, seq,
+    request_id (unique), text and optionally the fields of a source and extra_tags."""
+    names = set(requests.columns)
+    cut = segmented(requests, "request_id", text, most, least)
+    given = lambda c: F.col(c) if c in names else F.lit(None).cast("string")
+    own = requests.drop(text).withColumnsRenamed({c: f"_{c}" for c in ("source_id", "source_kind", "source_label", "extra_tags") if c in names})
+    old = lambda c: F.col(f"_{c}") if c in names else given(c)
+    of = F.concat_ws("/", (F.col("index") + 1).cast("string"), F.col("n_segments").cast("string"))
+    tags = F.array(*[F.concat(F.lit(f"{k}:"), F.col(c).cast("string")) for k, c in (("chunk_index", "index"), ("chunk_total", "n_segments"), ("chunk_split", "reason"))])
+    kept = F.coalesce(F.col("_extra_tags"), F.array().cast("array<string>")) if "extra_tags" in names else F.array().cast("array<string>")
+    rows = own.join(cut.withColumnRenamed("text", "_text"), "request_id")
+    rows = rows.withColumns(
+        {
+            "parent_id": F.col("request_id"), "chunk": F.col("index"), "chunks": F.col("n_segments"), text: F.col("_text"), "seq": F.col("seq") * 100_000 + F.col("index"),
+            "source_id": t.chunk_source(F.coalesce(old("source_id"), F.lit(NO_SOURCE)), F.col("index")), "source_kind": F.coalesce(old("source_kind"), F.lit("llm_response_chunk")),
+            "source_label": F.coalesce(F.concat(old("source_label"), F.lit(" [chunk "), of, F.lit("]")), F.concat(F.lit("llm-response chunk "), of)), "extra_tags": F.concat(kept, tags),
+        }
+    )
+    return rows.withColumn("request_id", F.concat_ws(":", "parent_id", "chunk")).drop("index", "n_segments", "tokens", "reason", "_text", *[f"_{c}" for c in ("source_id", "source_kind", "source_label", "extra_tags")])
+
+
+def chunked(chunks: DataFrame, results: DataFrame, text: str) -> DataFrame:
+    """What became of each request: parent_id, chunk_count, chunks_stored,
+    chunks_grounded, deduped, action, route, written. ``results``: OUT of ``chunks``."""
+    both = chunks.select("parent_id", "request_id", "chunk", F.col(text).alias("_text")).join(results.select("request_id", "route", "written", "content"), "request_id")
+    stored = F.col("written") != ""
+    grounded = stored & dc.grounding(t.significant_tokens("_text"), F.array_distinct(t.significant_tokens("content"))).grounded
+    rows = both.withColumns({"_stored": stored, "_grounded": grounded}).groupBy("parent_id").agg(
+        F.count("*").alias("chunk_count"), F.count_if("_stored").alias("chunks_stored"), F.count_if("_grounded").alias("chunks_grounded"), F.count_if(F.col("route") == "dedupe_skip").alias("deduped"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_stored"), F.struct("chunk", "written")))), lambda x: x.written), ",").alias("written"),
+    )
+    some = F.col("chunks_stored") > 0
+    return rows.select("parent_id", "chunk_count", "chunks_stored", "chunks_grounded", "deduped", F.when(some, "store_episodic").otherwise("ignore").alias("action"), F.when(some, "chunked_remember").otherwise("ignore").alias("route"), "written")
+
+
 def cosine(a: list[float], b: list[float]) -> float:
     """Over the common prefix, 0 where it is empty or a norm is 0."""
     pairs = list(zip(a, b))
