@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.functions.text import word
+
 #: Thresholds of the gate modes.
 GATES = {
     "direct": {"parse_valid_rate": 1.0, "schema_valid_rate": 1.0, "action_accuracy": 1.0, "memory_type_accuracy": 1.0, "memory_content_exact_rate": 1.0, "fact_count_accuracy": 1.0, "facts_exact_rate": 1.0},
@@ -115,17 +117,25 @@ def gate(metrics: DataFrame, mode: str) -> DataFrame:
     return metrics.select(F.explode(rows).alias("x")).select("x.metric", "x.actual", "x.required", (F.col("x.actual") >= F.col("x.required")).alias("passed"))
 
 
+#: Words that tell why an answer is wrong, in the order in which they are
+#: looked for, with where; the first three come before what is known of the retrieval.
+WHY_WRONG = [
+    ("image_context_missing", "all", "image|photo|picture|caption|shown|seen"),
+    ("ambiguous_relative_date", "all", word("yesterday|today|tomorrow|last|next")),
+    ("speaker_confusion", "question", word("speaker|he|she|they|her|his|their")),
+    ("judge_error", "judge", "judge|evaluation|gold"),
+]
+NO_ANSWER = "i do not know|unknown|not enough|cannot determine"
+
+
 def failure_bucket(correct: Column, question: Column, gold: Column, answer: Column, items: Column, in_memory: Column, hit: Column, judge: Column) -> Column:
     """Why an answer is wrong; empty where it is right."""
-    from quarrylight.functions.text import word
-
-    whole = F.lower(F.concat_ws(" ", question, gold, answer, F.array_join(items, " ")))
-    return (
-        F.when(correct, "").when(whole.rlike("image|photo|picture|caption|shown|seen"), "image_context_missing")
-        .when(whole.rlike(word("yesterday|today|tomorrow|last|next")), "ambiguous_relative_date").when(F.lower(question).rlike(word("speaker|he|she|they|her|his|their")), "speaker_confusion")
-        .when(F.lower(judge).rlike("judge|evaluation|gold"), "judge_error").when(~in_memory, "missing_memory").when(~hit, "retrieval_miss").when(F.size(items) == 0, "bad_context_selection")
-        .when(F.lower(answer).rlike("i do not know|unknown|not enough|cannot determine"), "bad_context_selection").otherwise("answer_model_error")
-    )
+    texts = {"all": F.concat_ws(" ", question, gold, answer, F.array_join(items, " ")), "question": question, "judge": judge}
+    why = F.when(correct, "")
+    for name, where, pattern in WHY_WRONG:
+        why = why.when(F.lower(texts[where]).rlike(pattern), name)
+    unanswered = (F.size(items) == 0) | F.lower(answer).rlike(NO_ANSWER)
+    return why.when(~in_memory, "missing_memory").when(~hit, "retrieval_miss").when(unanswered, "bad_context_selection").otherwise("answer_model_error")
 
 
 def storage_reward() -> Column:
