@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import tagged
 from quarrylight.operators import evaluation as e
+from quarrylight.plans import sqltext as s
 from quarrylight.plans.ranking_queries import read
 from quarrylight.plans.store_queries import parsed
 from quarrylight.session import shared_folder
@@ -132,6 +133,15 @@ def session_turns(spark, d):
     return files.session_turns(files.read_lines(spark, lines_of(spark, d, "conversations", row), across=True), "session").select("line_no", "text")
 
 
+@query(f"""WITH t AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS place, turn, {s.strip('text')} AS x FROM conversations)
+SELECT place, CASE WHEN turn % 3 = 0 THEN x ELSE x || chr(10) || chr(10) || 'part ' || turn END AS text FROM t WHERE turn % 5 <> 4 AND x <> ''""")
+def message_logs(spark, d):
+    """Messages whose content is a text or parts, among them attached files."""
+    parts = F.to_json(F.struct(F.array(F.struct("text"), F.struct(F.lit(files.ATTACHED + " x").alias("text")), F.struct(F.concat(F.lit(" part "), "turn").alias("text"))).alias("content")))
+    row = F.when(F.col("turn") % 5 == 4, F.lit('{"content": 7}')).when(F.col("turn") % 3 == 0, F.to_json(F.struct(F.col("text").alias("content")))).otherwise(parts)
+    return files.message_lines(files.read_lines(spark, lines_of(spark, d, "conversations", row), across=True)).select("place", "text")
+
+
 @query(r"""WITH l AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS n, text, role FROM conversations) SELECT text FROM l WHERE role = 'assistant' AND NOT starts_with(text, '{') AND NOT starts_with(text, '[') AND regexp_matches(text, '\S') AND n > (SELECT max(n) FROM l) - 200 ORDER BY n DESC LIMIT 1""")
 def last_assistant_message(spark, d):
     """The last assistant text within two hundred lines of a transcript."""

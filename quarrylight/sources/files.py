@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from quarrylight.operators import schema as sc
+
 BLOCKS = "array<struct<type:string,text:string>>"
 #: Characters of a usable turn.
 LEAST, MOST = 80, 2000
@@ -106,6 +108,40 @@ def session_turns(lines: DataFrame, kind: str) -> DataFrame:
     return lines.filter(mine).select("path", "line_no", text.alias("text")).filter(F.length("text").between(LEAST, MOST))
 
 
+#: Message types of a model's turns, and how attached files begin.
+MODEL_TYPES = ("gemini", "model")
+ATTACHED = "--- Content from referenced files ---"
+
+
+def parts_text(content: Column) -> Column:
+    """The text of a message's content, a VARIANT: a text itself, or the texts of a
+    list's parts (texts, or objects with one) but attached files, by blank lines; null
+    where nothing is left."""
+    some = lambda x: F.when(~sc.blank(x), F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    own = lambda x: F.coalesce(some(sc.as_text(x)), F.when(~some(sc.as_text(sc.get(x, "text"))).startswith(ATTACHED), some(sc.as_text(sc.get(x, "text")))))
+    joined = F.array_join(F.array_compact(F.transform(sc.as_list(content), own)), "\n\n")
+    return F.coalesce(some(sc.as_text(content)), F.nullif(joined, F.lit("")))
+
+
+def message_lines(lines: DataFrame) -> DataFrame:
+    """(path, place, text) of logs with a message a line; bad lines are none."""
+    v = F.try_parse_json("line")
+    return lines.withColumn("_v", v).select("path", F.col("line_no").alias("place"), parts_text(sc.get(F.col("_v"), "content")).alias("text")).filter("text IS NOT NULL")
+
+
+def message_documents(texts: DataFrame) -> DataFrame:
+    """(path, place, text) of the model's messages of logs that are one JSON
+    document each; place is that of the message, from 1. ``texts``: path, text."""
+    rows = texts.select("path", F.posexplode(sc.as_list(F.try_variant_get(F.try_parse_json("text"), "$.messages", "variant"))).alias("p", "m"))
+    kind = F.lower(F.coalesce(sc.as_text(sc.get(F.col("m"), "type")), F.lit("")))
+    return rows.filter(kind.isin(*MODEL_TYPES)).select("path", (F.col("p") + 1).cast("long").alias("place"), parts_text(sc.get(F.col("m"), "content")).alias("text")).filter("text IS NOT NULL")
+
+
+def some_samples(samples: DataFrame, ids: list[str] | None) -> DataFrame:
+    """The samples of these ids; all, if none are given."""
+    return samples if ids is None else samples.filter(F.col("sample_id").isin(*ids))
+
+
 def export_turns(texts: DataFrame) -> DataFrame:
     """The answer in a markdown export: what follows the first paragraph after
     the first user header. ``texts``: path, text."""

@@ -86,3 +86,15 @@ def test_archive_and_newest(spark, tmp_path):
     (tmp_path / "d/e").mkdir(parents=True)
     (tmp_path / "d/e/x.jsonl").write_text("{}")
     assert files.newest_file(spark, f"{tmp_path}/d").first().path.endswith("d/e/x.jsonl")
+
+
+def test_message_logs(spark, tmp_path):
+    part = {"text": " two "}
+    (tmp_path / "a.jsonl").write_text("\n".join([json.dumps({"type": "user", "content": " one "}), "", "{bad", json.dumps({"content": ["", " x ", part, {"text": files.ATTACHED + " y"}, {"image": 1}, 4, {"text": 5}]}), json.dumps({"content": [{"text": " "}]}), json.dumps([1]), json.dumps({"content": {"text": "z"}})]))
+    got = files.message_lines(files.read_lines(spark, f"{tmp_path}/a.jsonl")).orderBy("place").collect()
+    assert [(r.place, r.text) for r in got] == [(1, "one"), (4, "x\n\ntwo")]
+    docs = [("p", json.dumps({"messages": [{"type": "Gemini", "content": "a"}, {"type": "user", "content": "b"}, 3, {"type": "model", "content": [part]}, {"type": "model", "content": []}, {"content": "c"}]})), ("q", json.dumps({"messages": {}})), ("r", "no"), ("s", None)]
+    got = files.message_documents(spark.createDataFrame(docs, "path string, text string")).orderBy("path", "place").collect()
+    assert [(r.path, r.place, r.text) for r in got] == [("p", 1, "a"), ("p", 4, "two")]
+    ids = spark.createDataFrame([("a",), ("b",), (None,)], "sample_id string")
+    assert files.some_samples(ids, None).count() == 3 and [r.sample_id for r in files.some_samples(ids, ["b", "z"]).collect()] == ["b"]
