@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quarrylight.functions import tagged
@@ -11,7 +9,7 @@ from quarrylight.operators import evaluation as e
 from quarrylight.plans import sqltext as s
 from quarrylight.plans.ranking_queries import read
 from quarrylight.plans.store_queries import parsed
-from quarrylight.session import shared_folder
+from quarrylight.session import scratch_folder
 from quarrylight.sources import files
 from quarrylight.streaming import queue
 
@@ -30,8 +28,8 @@ def query(sql: str | None = None):
 
 
 def scratch(spark) -> str:
-    """A new folder that driver and executors share."""
-    return f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share, until ``release_scratch``."""
+    return scratch_folder(spark, "queue")
 
 
 @query("SELECT conv_id || ':' || turn AS id, 0 AS index, 'done' AS status, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS text, conv_id || ':' || turn AS source_id FROM conversations WHERE length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) > 0 UNION ALL SELECT conv_id || ':' || turn, 0, 'failed', NULL, conv_id || ':' || turn FROM conversations WHERE length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) = 0")

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -47,6 +48,27 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, for what a result reads lazily; it stays until
+    ``release_scratch``."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Drop all scratch folders of this process, once their results have been written;
+    returns how many."""
+    n = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def share_package(spark: SparkSession) -> SparkSession:
     """Let Python workers of this session import the package from where the
     driver has it, whatever the working folder; for local and shared paths. Ship

@@ -98,3 +98,14 @@ def test_message_logs(spark, tmp_path):
     assert [(r.path, r.place, r.text) for r in got] == [("p", 1, "a"), ("p", 4, "two")]
     ids = spark.createDataFrame([("a",), ("b",), (None,)], "sample_id string")
     assert files.some_samples(ids, None).count() == 3 and [r.sample_id for r in files.some_samples(ids, ["b", "z"]).collect()] == ["b"]
+
+
+def test_scratch_folders_are_dropped(spark, tmp_path):
+    import os
+
+    from quarrylight.session import release_scratch, scratch_folder
+
+    release_scratch(spark)
+    path = scratch_folder(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path.removeprefix("file://")) and release_scratch(spark) == 1 and not os.path.exists(path.removeprefix("file://")) and release_scratch(spark) == 0
