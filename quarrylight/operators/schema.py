@@ -71,7 +71,8 @@ class Listed:
 class Obj:
     """An object. ``checks``: functions of a getter and the path that give (bad,
     path, message); ``only``: the message for keys that are not declared; ``after``:
-    the key after whose rule the checks come (else last)."""
+    the key after whose rule the checks come (else last). ``stops``: keys of which an
+    issue that begins so ends the object, as what follows would only repeat it."""
 
     fields: dict[str, object]
     message: str
@@ -80,6 +81,7 @@ class Obj:
     known: tuple[str, ...] = ()
     checks: tuple[Callable, ...] = ()
     after: str = ""
+    stops: tuple[tuple[str, str], ...] = ()
 
 
 def as_object(v: Column) -> Column:
@@ -124,6 +126,10 @@ def issue(bad: Column, path: Column | None, message: str, value: Column | None =
     return F.when(F.coalesce(bad, F.lit(False)), F.array(F.struct(at.alias("path"), F.concat(*parts).alias("message")))).otherwise(F.array().cast(ISSUES))
 
 
+def _begins(start: str) -> Callable[[Column], Column]:
+    return lambda x: x.message.startswith(start)
+
+
 def compiled(rule: object, v: Column, path: Column | None) -> Column:
     """The issues of the value ``v`` at ``path`` (None: no path)."""
     match rule:
@@ -165,15 +171,21 @@ def compiled(rule: object, v: Column, path: Column | None) -> Column:
             checks = [issue(*c) for make in rule.checks for c in make(lambda k: get(v, k), path)]
             if rule.only:
                 extra = F.filter(F.map_keys(as_object(v)), lambda k: ~k.isin(*rule.fields, *rule.known))
-                inner.append(F.transform(extra, lambda k: F.struct((F.lit("") if path is None else path).alias("path"), F.concat(F.lit(rule.only), k).alias("message"))))
+                inner.append((F.transform(extra, lambda k: F.struct((F.lit("") if path is None else path).alias("path"), F.concat(F.lit(rule.only), k).alias("message"))), None))
+            stops = dict(rule.stops)
             for key, own in rule.fields.items():
-                inner.append(compiled(own, get(v, key), below(path, key)))
+                inner.append((compiled(own, get(v, key), below(path, key)), stops.get(key)))
                 if key == rule.after:
-                    inner += checks
-            inner += [] if rule.after else checks
+                    inner += [(c, None) for c in checks]
+            inner += [] if rule.after else [(c, None) for c in checks]
+            told = F.array().cast(ISSUES)
+            for found, stop in reversed(inner):
+                if stop is not None:
+                    told = F.when(F.exists(found, _begins(stop)), F.array().cast(ISSUES)).otherwise(told)
+                told = F.concat(found, told)
             whole = as_object(v).isNotNull()
             bad = ~whole & ~absent(v) if rule.nullable else ~whole
-            return F.when(whole, F.concat(F.array().cast(ISSUES), *inner)).otherwise(issue(bad, path, rule.message, v))
+            return F.when(whole, told).otherwise(issue(bad, path, rule.message, v))
     raise TypeError(rule)
 
 
@@ -216,7 +228,7 @@ FACT = Obj(
 INDEXABLE = Obj(
     {"kind": Text(PRESENT, optional=True, one_of=("mnemonic", "fact_anchor", "workflow"), other="unsupported indexable kind: {value}"), "key": Text(), "steps": Listed("steps must be a list of non-empty strings", optional=True, texts=True), "tags": _LISTED}
     | dict.fromkeys(("target_memory_table", "target_memory_id"), _OPTIONAL) | {"salience": Number()} | dict.fromkeys(("reconstructive_hint", "evidence_text"), _OPTIONAL),
-    "indexable must be an object",
+    "indexable must be an object", stops=(("kind", "unsupported"), ("key", "")),
 )
 #: A storage decision.
 DECISION = Obj(

@@ -71,6 +71,7 @@ CASES = [
     (("facts", 0, "value"), None, []),
     (("indexables",), "x", [("$.indexables", "indexables must be a list when present")]),
     (("indexables",), [{"key": "k"}, {"kind": "odd", "key": "k"}, {"kind": "workflow", "key": "k", "steps": ["a", " "]}], [("$.indexables[1].kind", "unsupported indexable kind: odd"), ("$.indexables[2].steps", "steps must be a list of non-empty strings")]),
+    (("indexables",), [{"kind": "odd", "steps": 3}, {"kind": 4, "salience": "x", "tags": [1]}, {"kind": " ", "key": "k", "salience": "x", "tags": [1]}], [("$.indexables[0].kind", "unsupported indexable kind: odd"), ("$.indexables[1].kind", sc.PRESENT), ("$.indexables[1].key", "required non-empty string"), ("$.indexables[2].kind", sc.PRESENT), ("$.indexables[2].tags", "tags must be a list of non-empty strings"), ("$.indexables[2].salience", "must be a finite number when present")]),
     (("reasoning",), "", [("$.reasoning", "required non-empty string")]),
     (("confidence",), [], [("$.confidence", "must be a finite number when present")]),
 ]
