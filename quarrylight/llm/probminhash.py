@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import BLANKS, Scratch, maybe_in, split_by, text_slices
@@ -136,7 +136,7 @@ def _one(text: str, k: int) -> np.ndarray:
 
 
 def _compare(k: int):
-    """Sizes of two texts' shingle sets and of what they share."""
+    """Sizes of two texts' shingle sets and of what they share; the hub's weight travels along."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: OrderedDict[bytes, np.ndarray] = OrderedDict()
@@ -154,7 +154,7 @@ def _compare(k: int):
             for i in range(batch.num_rows):
                 x, y = of(a[i].as_py(), s[i].as_py()), of(b[i].as_py(), t[i].as_py())
                 out.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
-            yield pa.record_batch([a, b, *(pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], [])))], ["a", "b", "na", "nb", "shared"])
+            yield pa.record_batch([batch.column("weight"), a, b, *(pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], [])))], ["weight", "a", "b", "na", "nb", "shared"])
 
     return scan
 
@@ -178,25 +178,26 @@ def _grams(k: int):
     return scan
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """(node, comp): the least node reachable over ``edges``, by alternating
-    large-star and small-star steps, each staged in the shared folder."""
-    scratch = Scratch(edges.sparkSession, "stars")
-    now, mark, step = scratch.stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "0"), None, 0
+    large-star and small-star steps, each staged in the shared folder. They end
+    when every node has only larger neighbours or a single one: then each
+    component is a star about its least node."""
+    scratch = scratch or Scratch(edges.sparkSession, "stars")
+    now, step = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v"), 0
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.stage(both.groupBy("u").agg(F.min("v").alias("w")).withColumn("w", F.least("u", "w")), "low")
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("w").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("w"))
-        small = large.join(low, "u")
-        small = small.filter("v != w").select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(low.withColumnRenamed("w", "v"))
-        now = scratch.stage(small.distinct(), str(step + 1))
-        scratch.drop("low", str(step))
+        low = scratch.stage(both.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")), f"low-{step}")
+        least = low.select("u", F.least("u", "lo").alias("w"))
+        if low.filter("lo < u AND lo != hi").isEmpty():
+            scratch.drop(str(step))
+            return least.select(F.col("u").alias("node"), F.col("w").alias("comp"))
+        large = now.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("w").alias("v"))
+        small = large.groupBy("u").agg(F.min("v").alias("w"))
+        moved = large.join(small, "u").filter("v != w").select(F.col("v").alias("u"), F.col("w").alias("v"))
+        now = scratch.stage(moved.unionByName(small.withColumnRenamed("w", "v")).distinct(), str(step + 1))
+        scratch.drop(f"low-{step}", str(step))
         step += 1
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-        mark = tuple(seen)
 
 
 def _meet(scratch: Scratch, rows: DataFrame, key: list[str], apart: str, threshold: float) -> DataFrame:
@@ -263,15 +264,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     banded = stage(signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "banded")
     scratch.drop("signed")
     nodes = stage(banded.select("digest", "least", "n"), "nodes")
-    flat = banded.select("digest", "n", F.explode("bands").alias("bucket"))
+    flat = banded.select("digest", "least", "n", F.explode("bands").alias("bucket"))
     # what a join takes from an aggregate is staged first: only then can the join split hot keys
     sizes = stage(flat.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
     # most buckets hold one text; a bounded bitmap keeps those from the shuffle
     multi = stage(maybe_in(flat, "bucket", sizes, "bucket", sizes.count()).join(sizes, "bucket"), "buckets")
     scratch.drop("banded", "sizes")
-    weight = stage(multi.groupBy("digest").agg(F.sum("size").alias("weight")), "weight")
-    weighed = stage(multi.select("bucket", "digest", "n").join(weight, "digest"), "weighed")
-    scratch.drop("buckets", "weight")
+    # a text has at most 2 * bands rows here, so a window over it holds few
+    of_text = Window.partitionBy("digest")
+    weighed = stage(multi.select("bucket", "digest", "least", "n", F.sum("size").over(of_text).alias("weight"), (F.min("bucket").over(of_text) == F.col("bucket")).alias("lead")), "weighed")
+    scratch.drop("buckets")
     hubs = stage(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "digest", "n")).alias("hub")), "hubs")
     # sizes that differ by more than the threshold allows rule a pair out; a little below it the overlap still serves
     near_size = f"n >= {0.9 * threshold}D * hub.n AND hub.n >= {0.9 * threshold}D * n"
@@ -279,7 +281,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     tried = stage(tried.distinct(), "tried")
     scratch.drop("hubs")
 
-    wanted = stage(nodes.select("digest", "least").join(weighed.select("digest").distinct(), "digest"), "wanted")
+    wanted = weighed.filter("lead").select("digest", "least")  # a row for each text
     near = maybe_in(docs.filter("text IS NOT NULL"), "doc_id", wanted, "least", wanted.count())
     texts = stage(near.mapInArrow(_digest, "digest binary, text string").join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "texts")
 
@@ -287,27 +289,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
         # both sides of the join on the hub are read from tables, so that a hub of many texts is split
         some = stage(texts.join(pairs.select(F.col("a").alias("digest")).distinct(), "digest", "left_semi"), "compared")
         left, right = some.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-        found = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_compare(k), "a binary, b binary, na long, nb long, shared long")
+        found = pairs.join(right, "b").join(left, "a").select("weight", "a", "b", "text_a", "text_b").mapInArrow(_compare(k), "weight long, a binary, b binary, na long, nb long, shared long")
         found = stage(found, name)
         scratch.drop("compared")
         return found
 
     near_enough = f"shared >= {threshold}D * (na + nb - shared)"
-    checked = compared(tried.select("a", "b"), "checked")
+    checked = compared(tried, "checked")
     links = checked.filter(near_enough).select("a", "b")
-    comps = stage(components(links), "comps")
-    labelled = stage(weighed.select("bucket", "digest").join(comps, F.col("digest") == F.col("node"), "left").select("bucket", "digest", F.coalesce("comp", "digest").alias("comp")), "labelled")
-    scratch.drop("weighed", "wanted")
+    stars = [Scratch(docs.sparkSession, "stars") for _ in range(2)]
+    comps = components(links, scratch=stars[0])
+    labelled = stage(weighed.select("bucket", "digest", "n").join(comps, F.col("digest") == F.col("node"), "left").select("bucket", "digest", "n", F.coalesce("comp", "digest").alias("comp")), "labelled")
+    scratch.drop("weighed", "tried")
     mixed = stage(labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("bucket"), "mixed")
-    open_texts = labelled.join(mixed, "bucket", "left_semi").select("digest", "comp").distinct()
+    open_texts = labelled.join(mixed, "bucket", "left_semi").select("digest", "comp", "n").dropDuplicates(["digest"])
     # the family of a text: the heaviest hub that it was compared with, or itself
-    heaviest = tried.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("x")).select(F.col("b").alias("digest"), F.col("x.a").alias("family"))
+    heaviest = checked.groupBy("b").agg(F.max(F.struct("weight", "a", "na", "shared")).alias("x")).select(F.col("b").alias("digest"), F.col("x.a").alias("family"), "x.na", "x.shared")
     own = open_texts.join(heaviest, "digest", "left").withColumn("family", F.coalesce("family", "digest"))
-    facts = checked.select(F.col("a").alias("family"), F.col("b").alias("digest"), "na", "nb", "shared")
-    own = own.join(facts, ["digest", "family"], "left").join(nodes.select("digest", "n"), "digest")
     own = stage(own.select("digest", "comp", "family", "na", "n", "shared", F.monotonically_increasing_id().alias("num")), "open")
-    scratch.drop("labelled", "mixed", "tried")
-    more = _rest(scratch, own, texts, k, threshold).join(checked.select("a", "b"), ["a", "b"], "left_anti").join(checked.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    scratch.drop("labelled", "mixed")
+    done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _rest(scratch, own, texts, k, threshold).join(done, ["a", "b"], "left_anti").select(F.lit(0).cast("long").alias("weight"), "a", "b")
     more = stage(more, "more")
     scratch.drop("rare", "major", "meet", "open")
     extra = compared(more, "extra").filter(near_enough).select("a", "b")
@@ -316,7 +318,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
         final = comps
     else:
         links = links.unionByName(extra)
-        final = stage(components(links), "final")
+        # the classes so far are stars already, so few steps are left
+        final = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(extra), scratch=stars[1])
     degree = links.select(F.col("a").alias("digest")).unionByName(links.select(F.col("b").alias("digest"))).groupBy("digest").agg(F.count("*").alias("n_links"))
     named = nodes.select("digest", "least").join(final, F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("comp", "digest").alias("comp"))
     named = stage(named, "named")
@@ -324,7 +327,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHIN
     best = stage(best, "best")
     classes = named.join(best, "comp").join(degree, "digest", "left")
     classes = stage(classes.select("digest", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.expr("digest = stays").alias("first")), "classes")
-    scratch.drop("named", "best", "checked", "extra", "comps", "final", "nodes")
+    scratch.drop("named", "best", "checked", "extra", "nodes")
+    for x in stars:
+        x.drop(*list(x.paths))
     out = ids.join(classes, "digest", "left")
     return out.select("doc_id", "digest", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", F.lit(True)).alias("first"))
 

@@ -132,3 +132,13 @@ def test_components(spark):
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(50)} | {200: 200, 201: 200, 202: 200}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_star_ends_without_a_round_to_confirm_it(spark, monkeypatch):
+    from quarrylight.llm.common import Scratch
+
+    written, stage = [], Scratch.stage
+    monkeypatch.setattr(Scratch, "stage", lambda self, df, name: written.append(name) or stage(self, df, name))
+    edges = spark.createDataFrame([(50, i) for i in range(100) if i != 50], "a long, b long")
+    assert {(r.node, r.comp) for r in components(edges).collect()} == {(i, 0) for i in range(100)}
+    assert len(written) <= 3
