@@ -52,7 +52,7 @@ from quarrylight.llm.wordhash import Words, mix, text_buffer
 
 BASE, BITS, K, PRIOR = 1.5, 12, 7, 60.0
 MOST_BYTES, WORD_BYTES, HEAD = 192 << 20, 32 << 20, 1 << 18
-SEGMENT_BYTES, FLUSH, SLICE = 8 << 20, 3 << 20, 2 << 20
+SEGMENT_BYTES, FLUSH, SLICE, SENT = 8 << 20, 3 << 20, 2 << 20, 2 << 20
 U = np.uint64
 #: Hashes of the end and the start of a text; words are mixed, so these are as any other's.
 END, END2, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F), U(0xD1342543DE82EF95)
@@ -184,37 +184,61 @@ def _counted(segments: int):
     """Counts of words and pairs, a row for each kind and segment met."""
     shift = U(64 - segments.bit_length() + 1)
 
-    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], texts: int) -> pa.RecordBatch:
-        rows = []
-        one, two, both = (np.concatenate([x[k] for x in held]) for k in range(3))
-        pairs, m = summed(both)
-        words, first, n = np.unique(one, return_index=True, return_counts=True)
-        second = two[first]
-        for kind, grams, other, counts in ((WORD, words, second, n), (PAIR, pairs, None, m)):
-            cut = np.searchsorted(segment_of(grams, shift), np.arange(segments + 1))
-            for s in np.flatnonzero(np.diff(cut)):
-                a, b = cut[s], cut[s + 1]
-                rows.append((kind, int(s), _bytes(grams[a:b]), b"" if other is None else _bytes(other[a:b]), _bytes(counts[a:b].astype(np.int32)), 0))
-        rows.append((0, 0, b"", b"", b"", texts))
-        return pa.record_batch([pa.array(x) for x in zip(*rows)], schema=pa.schema([("kind", pa.int32()), ("segment", pa.int32()), ("grams", pa.binary()), ("grams2", pa.binary()), ("counts", pa.binary()), ("texts", pa.int64())]))
+    def rows(kind: int, grams: np.ndarray, other: np.ndarray | None, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Batches of about ``SENT`` bytes, as the executor holds each beside the worker."""
+        cut, held, size = np.searchsorted(segment_of(grams, shift), np.arange(segments + 1)), [], 0
+        for s in np.flatnonzero(np.diff(cut)):
+            a, b = cut[s], cut[s + 1]
+            held.append((kind, int(s), _bytes(grams[a:b]), b"" if other is None else _bytes(other[a:b]), _bytes(counts[a:b].astype(np.int32)), 0))
+            size += 20 * int(b - a)
+            if size >= SENT:
+                yield _batch(held)
+                held, size = [], 0
+        if held:
+            yield _batch(held)
+
+    def flush(held: list[list[np.ndarray]], texts: int) -> Iterator[pa.RecordBatch]:
+        """Takes the parts out of ``held``, so that each is held once."""
+        one, two, both = held
+        pairs, m = summed(_joined(both))
+        yield from rows(PAIR, pairs, None, m)
+        del pairs, m
+        words, first, n = np.unique(_joined(one), return_index=True, return_counts=True)
+        yield from rows(WORD, words, _joined(two)[first], n)
+        yield _batch([(0, 0, b"", b"", b"", texts)])
+        del words, first, n
+        give_back()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, texts = [], 0, 0
+        held, size, texts = ([], [], []), 0, 0
         for batch in text_slices(batches, "text", SLICE):
             t = Tokens(batch.column("text"))
-            held.append((t.hash, t.hash2, t.pairs()))
+            for part, x in zip(held, (t.hash, t.hash2, t.pairs())):
+                part.append(x)
             size, texts = size + len(t.hash), texts + batch.num_rows
+            del t, x
             if size >= FLUSH:
-                yield flush(held, texts)
-                held, size, texts = [], 0, 0
-        if held:
-            yield flush(held, texts)
-        held = None
+                yield from flush(held, texts)
+                size, texts = 0, 0
+        if held[0]:
+            yield from flush(held, texts)
         give_back()
 
     return scan
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array; ``parts`` is empty afterwards."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x) for x in zip(*rows)], schema=_COUNTED)
+
+
+_COUNTED = pa.schema([("kind", pa.int32()), ("segment", pa.int32()), ("grams", pa.binary()), ("grams2", pa.binary()), ("counts", pa.binary()), ("texts", pa.int64())])
 MERGED = "kind int, segment int, texts long, types long, tokens long, levels binary, slab binary, bytes long, grams binary, grams2 binary, counts binary"
 
 
@@ -256,6 +280,7 @@ def _exact(least: int, head: bool):
                 one, two, c = np.frombuffer(one.as_py(), np.int64), np.frombuffer(two.as_py(), np.int64), np.frombuffer(c.as_py(), np.int64)
                 at = (level_of(c) >= least) == head
                 yield pa.record_batch([pa.array(one[at]), pa.array(two[at]), pa.array(c[at])], ["h1", "h2", "c"])
+        give_back()
 
     return scan
 
@@ -325,6 +350,7 @@ def _scored(model, pairs, first: bool):
             tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(of[edge], np.arange(n + 1)).astype(np.int32)), values)
             known = np.bincount(t.of, weights=c > 0, minlength=n).astype(np.int64)
             yield pa.record_batch([batch.column("row"), batch.column("doc_id"), marks, batch.column("held_out"), pa.array(t.count), pa.array(known), pa.array(base), pa.array(score), tail], [x.split()[0] for x in SCORED.split(", ")[:8]] + ["tail"])
+        give_back()
 
     return scan
 

@@ -83,3 +83,16 @@ def test_no_training_and_empty(spark):
     got = lm.lm_scores(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in got) == [(1, 0, 0, 0.0, 0.0), (3, 0, 0, 0.0, 0.0)]
     assert lm.lm_scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_counts_leave_in_small_batches():
+    import pyarrow as pa
+
+    text = " ".join(f"word{i}" for i in range(400000))
+    batch = pa.record_batch([pa.array([text[a : a + 100000] for a in range(0, len(text), 100000)])], ["text"])
+    sent = list(lm._counted(64)(iter([batch])))
+    assert max(x.nbytes for x in sent) < 2 * lm.SENT < sum(x.nbytes for x in sent)
+    assert sum(x for b in sent for x in b.column("texts").to_pylist()) == batch.num_rows
+    counted = {k: sum(np.frombuffer(c, np.int32).sum() for b in sent for j, c in zip(b.column("kind").to_pylist(), b.column("counts").to_pylist()) if j == k) for k in (lm.WORD, lm.PAIR)}
+    n = sum(len(lm.Tokens(batch.column("text").slice(i, 1)).hash) for i in range(batch.num_rows))
+    assert counted == {lm.WORD: n, lm.PAIR: n}
