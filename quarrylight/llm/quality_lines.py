@@ -23,6 +23,8 @@ through; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,9 +99,8 @@ def _line_passes(line: Column) -> Column:
     marks = F.length(F.regexp_replace(line, WORDLIKE, ""))
     separators = F.length(line) - F.length(_without(line, SEPARATORS))
     ends = F.rtrim(line, F.lit(BLANKS)).rlike(TERMINAL)
-    low, boiler = F.lower(line), F.lit(False)
-    for phrase in BOILERPLATE:
-        boiler = boiler | low.contains(phrase)
+    # bound to a name: else each phrase would lower the line again
+    boiler = F.exists(F.array(F.lower(line)), lambda low: reduce(Column.__or__, [low.contains(phrase) for phrase in BOILERPLATE]))
     return ends & (marks <= F.lit(MARKS) * solid) & ~((separators >= 3) & (separators * 5 >= words)) & ~boiler
 
 

@@ -58,3 +58,8 @@ def test_cleaned(spark):
     assert out[13].text.startswith("t0 t1")
     assert "reserved" not in out[10].text and out[10].n_chars == len(out[10].text)
     assert quality(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_line_is_lowered_once(spark):
+    plan = quality(spark.createDataFrame(ROWS[:1], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
