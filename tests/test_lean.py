@@ -17,6 +17,17 @@ def test_numbers(spark):
     assert [r.t for r in got] == [f"{x:g}" for x in xs]
 
 
+def test_numbers_halfway_between_two_texts(spark):
+    xs = [111055.5, 113056.5, 113056.50000000001, 0.1234565, 2.5e-7 + 1e-12, 1.234565e23, 1.2345649999999999e23, 1000005e10, 5e-324, -1.7976931348623157e308, 8388608.5, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i")
+    assert [r.t for r in df.select(lean.number_text(F.col("x")).alias("t")).collect()] == ["" if x is None else f"{x:g}" for x in xs]
+    memory = lambda x: ("episodic", "x", x, None, None, x, [], None, None)
+    rows = [(i, "store_episodic", memory(x), [("a", "b", "c", y, None, "e", None, None) for y in (x, None, 113056.5)], "r") for i, x in enumerate(xs)]
+    out = spark.createDataFrame(rows, SCHEMA).orderBy("i").select(lean.at_tag(*[F.col(c) for c in ("action", "memory", "facts", "reasoning")]).alias("at")).collect()
+    for r, x in zip(out, xs):
+        assert [y for y in r.at.split("\n") if y.startswith(("@s", "@p", "conf="))] == ([] if x is None else [f"@s {x:g}", f"@p {x:g}"]) + ["conf=" + ("" if x is None else f"{x:g}"), "conf=", "conf=113056"]
+
+
 def test_round_trips(spark):
     odd = 'a "b" \\ | , = @c { } é ☃ =x'
     memory = ("semantic", odd, 0.8, None, 0.125, 1.0, ["a,b", "c|d"], "last week", None)
