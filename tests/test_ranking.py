@@ -32,6 +32,63 @@ def test_indexables_prefer_the_exact_key(spark):
     assert [r_.id for r_ in r.rank_indexables(q, x).orderBy("rank").collect()] == [2, 1]
 
 
+def paired_indexables(queries, indexables, top_k):
+    """R10 over all pairs of a user, by a plain loop; scores and positions only, as equal ones may change places."""
+    import re
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from quarrylight.functions import plain
+
+    out = []
+    for user, qid in sorted({(u, i) for u, i, _ in queries}):
+        found = []
+        for text in [x for u, i, x in queries if (u, i) == (user, qid)]:
+            norm, tokens = re.sub("[^a-z0-9]+", "-", text.lower()).strip("-"), plain.tokens(text)
+            for owner, _, pos, kind, key, salience, hint, tags, steps in indexables:
+                if owner != user:
+                    continue
+                low, hay = (key or "").lower(), set(plain.tokens(" ".join([key or "", hint or "", *(tags or []), *(steps or [])])))
+                score = 0.5 if salience is None else salience
+                score += 0.55 if low and (low in norm or norm in low) else 0.0
+                score += 0.1 if kind == "workflow" and re.search("review|workflow|procedure|how do i", norm.replace("-", " ")) else 0.0
+                score += sum(t in hay for t in tokens) / len(tokens) * 0.35 if tokens else 0.0
+                score = float(Decimal(repr(score)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+                found += [(-score, pos)] if score >= 0.35 else []
+        out += [(user, qid, k + 1, pos, -score) for k, (score, pos) in enumerate(sorted(found)[:top_k])]
+    return out
+
+
+INDEXABLE = "user_id string, id int, pos int, kind string, key string, salience double, reconstructive_hint string, tags array<string>, steps array<string>"
+
+
+def test_indexables_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["review", "the", "of", "at", "tea", "cats", "pull", "request", "a", "Paris", "deploy", "it", "12"]
+    some = lambda n: [rng.choice(words) for _ in range(rng.randrange(n))]
+    key = lambda: rng.choice(["-", "_", ""]).join(some(6)) + rng.choice(["", "", "x", "To-the-of-tea"])
+    x = [(rng.choice("ab"), i, i, rng.choice(["workflow", "mnemonic", None]), rng.choice([key(), key(), None]), rng.choice([None, 0.1, 0.3, 0.35, 0.6, rng.random()]), rng.choice([None, " ".join(some(5))]), rng.choice([None, some(3)]), rng.choice([None, some(3)])) for i in range(300)]
+    x += [("a", 7, 7, "workflow", "review", 0.2, None, None, None)] * 3
+    q = [(u, i, " ".join(some(8)) + rng.choice(["", "?", " how do I"])) for u in "abc" for i in range(40)]
+    q += [("a", 100, "..."), ("a", 101, "at"), ("a", 102, "to the of"), ("a", 103, "the-of"), ("a", 104, ""), ("b", 105, "e"), ("a", 1, "tea"), ("a", 2, "cats"), ("a", 2, "cats")]
+    queries = spark.createDataFrame(q, "user_id string, qid int, query string").repartition(3)
+    for k in (2, 9):
+        got = sorted((r_.user_id, r_.qid, r_.rank, r_.id, r_.score) for r_ in r.rank_indexables(queries, spark.createDataFrame(x, INDEXABLE).repartition(4), k).collect())
+        assert got == paired_indexables(q, x, k)
+
+
+def test_indexables_without_all_pairs(spark):
+    """Pairs with nothing in common are not made."""
+    x = spark.range(20_000).selectExpr("concat('u', id % 1) AS user_id", "id", "id AS pos", "'mnemonic' AS kind", "concat('zz', id) AS key", "0.4 AS salience", "'' AS reconstructive_hint", "CAST(NULL AS array<string>) AS tags", "CAST(NULL AS array<string>) AS steps")
+    q = spark.range(50).selectExpr("concat('u', id % 1) AS user_id", "id AS qid", "concat('question number ', id) AS query")
+    out = r.rank_indexables(q, x, 3)
+    assert {(r_.id, r_.score) for r_ in out.collect()} == {(0, 0.4), (1, 0.4), (2, 0.4)}
+    # no join by user alone; the one without a key brings the lengths of short questions, one row
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "user_id" in line]
+    assert joins and all("entry#" in line or "ask#" in line or "flavour#" in line for line in joins)
+
+
 def test_nearest_vectors_of_odd_lengths(spark, monkeypatch):
     import math
     import random
