@@ -24,7 +24,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import ceil, sqrt
 
 import pandas as pd
@@ -39,7 +41,7 @@ from quarrylight.operators import decisions as dc
 from quarrylight.operators import service as sv
 from quarrylight.operators.segment import segmented
 
-NEWEST, KEYS = 50, 1000
+NEWEST, KEYS, FOLDS = 50, 1000, 8
 LEAST_SCORE, LEAST_COSINE, RETAINED = 0.3, 0.5, 0.5
 TABLES = ("semantic", "episodic")
 #: Strength and confidence of a memory whose decision has none.
@@ -142,31 +144,50 @@ class Known:
 
     def __init__(self, packed: str | None = None):
         held = json.loads(packed) if packed else {}
-        self.rows = {t: held.get("rows", {}).get(t, []) for t in TABLES}
-        self.keys = {t: held.get("keys", {}).get(t, []) for t in TABLES}
-        self.memories = {t: [plain.Memory(t, r) for r in self.rows[t]] for t in TABLES}
+        self.rows = {t: deque(held.get("rows", {}).get(t, [])) for t in TABLES}
+        self.keys = {t: deque(held.get("keys", {}).get(t, [])) for t in TABLES}
+        self.memories = {t: deque(plain.Memory(t, r) for r in self.rows[t]) for t in TABLES}
+        self.index, self.sources = plain.Index(), defaultdict(list)
+        for table in TABLES:
+            for m in self.memories[table]:
+                self.index.add(m)
+            for key, source in self.keys[table]:
+                self.sources[key].append(source)
 
     def packed(self) -> str:
-        return json.dumps({"rows": self.rows, "keys": self.keys})
+        return json.dumps({"rows": {t: list(x) for t, x in self.rows.items()}, "keys": {t: list(x) for t, x in self.keys.items()}})
 
     def nearest(self, text: str) -> tuple[plain.Memory, float] | None:
         """The best memory of all, the earlier of equals: semantic, then newest first."""
         question = plain.Question(text)
-        scored = [(m, question.score(m)) for t in TABLES for m in self.memories[t]]
+        common = self.index.scores(question)
+        scored = [(m, common[m] if m in common else m.bare[question.temporal]) for t in TABLES for m in self.memories[t]]
         return max(scored, key=lambda x: x[1], default=None)
 
     def has_text(self, text: str, source: str) -> bool:
         """The same text from this source, its base or a chunk of that."""
         key, family = _digest(text), re.sub(r":chunk-[0-9]+$", "", source)
-        return bool(plain.content_key(text)) and any(k == key and (s in (source, family) or s.startswith(f"{family}:chunk-")) for t in TABLES for k, s in self.keys[t])
+        return any(s in (source, family) or s.startswith(f"{family}:chunk-") for s in self.sources.get(key, ())) and bool(plain.content_key(text))
 
     def write(self, table: str, row: dict) -> None:
         row = row | {"strength": STRENGTH[table] if row["strength"] is None else row["strength"], "confidence": CONFIDENCE[table] if row["confidence"] is None else row["confidence"]}
-        self.rows[table] = [row, *self.rows[table]][:NEWEST]
-        self.memories[table] = [plain.Memory(table, row), *self.memories[table]][:NEWEST]
-        self.keys[table] = [[_digest(row["content"]), row["source_id"] or ""], *self.keys[table]][:KEYS]
-
-
+        memory, key = plain.Memory(table, row), [_digest(row["content"]), row["source_id"] or ""]
+        self.rows[table].appendleft(row)
+        self.memories[table].appendleft(memory)
+        self.index.add(memory)
+        self.keys[table].appendleft(key)
+        self.sources[key[0]].append(key[1])
+        if len(self.rows[table]) > NEWEST:
+            self.rows[table].pop()
+            self.index.remove(self.memories[table].pop())
+        if len(self.keys[table]) > KEYS:
+            key, source = self.keys[table].pop()
+            self.sources[key].remove(source)
+            if not self.sources[key]:
+                del self.sources[key]
+
+
+@lru_cache(8)
 def _digest(text: str) -> str:
     return hashlib.blake2b(plain.content_key(text).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
@@ -235,7 +256,10 @@ def _folded(judge: Judge | None, embed: Embed | None):
 def remembered(requests: DataFrame, judge: Judge | None = None, embed: Embed | None = None) -> DataFrame:
     """OUT of each row of ``prepared`` requests, each user's in the order of (seq,
     request_id). Rows of a null user are one user's."""
-    dealt = requests.select(*[x.split()[0] for x in PREPARED.split(", ")]).repartition("user_id").sortWithinPartitions("user_id", "seq", "request_id")
+    spark = requests.sparkSession
+    # a number of partitions that is given is kept: folds cost much for few bytes
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), FOLDS * spark.sparkContext.defaultParallelism)
+    dealt = requests.select(*[x.split()[0] for x in PREPARED.split(", ")]).repartition(n, "user_id").sortWithinPartitions("user_id", "seq", "request_id")
     return dealt.mapInArrow(_folded(judge, embed), OUT)
 
 

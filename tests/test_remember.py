@@ -188,3 +188,23 @@ def test_idle_state_is_dropped():
     assert route(fold(("a",), iter([]), state)) == [] and not state.exists
     state.hasTimedOut = False
     assert route(fold(("a",), one(3), state)) == ["episodic_insert"]
+
+
+def test_only_memories_in_common_are_scored(monkeypatch):
+    """A question meets the memories that share something with it; the others' scores are known."""
+    known, seen = rm.Known(), []
+    for i in range(80):
+        row = {"id": str(i), "content": f"alpha{i} beta{i} gamma{i % 7}", "strength": None, "confidence": i / 80, "tags": ["turn"]}
+        known.write(rm.TABLES[i % 2], row | dict.fromkeys(rm.FIELDS))
+    plain_scores = lambda text: [plain.Question(text).score(m) for t in rm.TABLES for m in known.memories[t]]
+    for text in ("alpha3 of old", "Gamma5 in 2024?", "when was nothing", "turn"):
+        assert known.nearest(text)[1] == max(plain_scores(text))
+    monkeypatch.setattr(plain.Question, "scored", lambda *a, own=plain.Question.scored: seen.append(a) or own(*a))
+    known.nearest("alpha3 of old")
+    assert len(seen) == 1
+
+
+def test_folds_are_not_put_together(spark):
+    """Few bytes may be much work: tasks stay as many as cores can use."""
+    rows = spark.range(400).selectExpr("cast(id % 50 AS string) AS user_id", "id AS seq", "cast(id AS string) AS request_id", "'x' AS raw", "'' AS repaired", "'a text' AS text")
+    assert rm.remembered(rm.prepared(rows, "raw", "repaired", "text")).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
