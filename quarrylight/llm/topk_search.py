@@ -18,8 +18,11 @@ Search: a query's annuli are sorted by their lower bound, the most that any pivo
 p allows: |d(q, p) - [least, greatest]|. ``ROUNDS`` expand the nearest, then the
 next few, then more, each time only those whose bound does not exceed the
 distance of the k-th best so far; the search stops where none is left, as the
-others can't hold a better or equal score. Queries travel in blocks to the annuli
-they need, and a task does one matrix product for a block and a chunk.
+others can't hold a better or equal score. Queries travel in blocks to the groups of
+consecutive annuli of which they need any, once each and with a bit for each annulus; a
+task does one matrix product for a block and a chunk. The planner takes the blocks for
+small, as the queries are, but all in all they may be larger than any table, so they
+meet the chunks in a sort-merge join that is never a broadcast.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part, neither do rows with null vec_id; shorter vectors are padded with
@@ -44,6 +47,7 @@ from quarrylight.llm.common import hash_sample, staged
 
 K, SCALE, EVERY = 5, 256, 50
 PIVOTS, SAMPLE, ANNULI, CHUNK, BLOCK = 32, 1024, 4096, 256, 256
+GROUP, GROUPS, TASKS, HITS = 8192, 512, 8, 1 << 17
 ROUNDS = ((0, 1), (1, 4), (4, 32), (32, None))
 VALID = "vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))"
 INDEX = "annulus long, low array<double>, high array<double>, n int, ids binary, vectors binary"
@@ -130,9 +134,10 @@ def _annuli(limit: int, chunk: int, dim: int, most: float, pivots: np.ndarray, k
     return scan
 
 
-def _blocks(dim: int, most: float, pivots: np.ndarray, directory: tuple, lo: int, hi: int | None, block: int, kind: str):
-    """For blocks of queries, the annuli of rank lo to hi that may hold a better one."""
-    name, low, high = directory
+def _blocks(dim: int, most: float, pivots: np.ndarray, directory: tuple, lo: int, hi: int | None, block: int, per: int, kind: str):
+    """For blocks of queries, groups of ``per`` annuli, with a bit for each annulus of
+    rank lo to hi that may hold a better one; ``scored``: the pairs that are."""
+    low, high, size = directory
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -140,7 +145,7 @@ def _blocks(dim: int, most: float, pivots: np.ndarray, directory: tuple, lo: int
                 batch = whole.slice(a, block)
                 v = matrix(batch.column("embedding"), dim)
                 d = distances(np.hstack([v, np.zeros((len(v), 1))]), pivots)
-                bound = np.zeros((len(v), len(name)))
+                bound = np.zeros((len(v), len(size)))
                 for p in range(len(pivots)):
                     np.maximum(bound, np.maximum(low[:, p] - d[:, p : p + 1], d[:, p : p + 1] - high[:, p]), out=bound)
                 rank = np.argsort(np.argsort(bound, axis=1, kind="stable"), axis=1, kind="stable")
@@ -149,12 +154,16 @@ def _blocks(dim: int, most: float, pivots: np.ndarray, directory: tuple, lo: int
                 reach = np.where(np.isnan(reach), np.inf, reach * (1 + 1e-9) + 1e-6)
                 wanted = (bound <= reach[:, None]) & (rank >= lo) & (True if hi is None else rank < hi)
                 ids = batch.column("vec_id").to_numpy()
-                for j in np.flatnonzero(wanted.any(0)):
-                    rows = np.flatnonzero(wanted[:, j])
-                    yield pa.record_batch(
-                        [pa.array([name[j]]), pa.array([ids[rows].astype(np.int64).tobytes()]), pa.array([np.nextafter(np.nan_to_num(least[rows], nan=-np.inf, neginf=-np.inf), -np.inf).tobytes()]), pa.array([packed(v[rows], kind).tobytes()])],
-                        ["annulus", "query_ids", "leasts", "queries"],
-                    )
+                floor = np.nextafter(np.nan_to_num(least, nan=-np.inf, neginf=-np.inf), -np.inf)
+                for g in range(0, len(size), per):
+                    own = wanted[:, g : g + per]
+                    rows = np.flatnonzero(own.any(1))
+                    if len(rows):
+                        parts = [ids[rows].astype(np.int64), floor[rows], packed(v[rows], kind), np.packbits(own[rows], axis=1)]
+                        yield pa.record_batch(
+                            [pa.array([g // per]), *[pa.array([x.tobytes()]) for x in parts], pa.array([int((own @ size[g : g + per]).sum())])],
+                            ["group", "query_ids", "leasts", "queries", "wanted", "scored"],
+                        )
 
     return scan
 
@@ -172,15 +181,27 @@ def _products(dim: int, k: int, kind: str, whole: bool):
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
             for i in range(batch.num_rows):
+                if sum(len(x[0]) for x in out) > HITS:
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
+                    out = []
                 qid = np.frombuffer(batch.column("query_ids")[i].as_py(), np.int64)
-                ids, least = np.frombuffer(batch.column("ids")[i].as_py(), np.int64), np.frombuffer(batch.column("leasts")[i].as_py(), np.float64)
-                q = np.frombuffer(batch.column("queries")[i].as_py(), kind).reshape(len(qid), dim).astype(np.int64 if whole else np.float64)
+                place = batch.column("place")[i].as_py()
+                bits = np.frombuffer(batch.column("wanted")[i].as_py(), np.uint8).reshape(len(qid), -1)
+                rows = np.flatnonzero(bits[:, place >> 3] >> (7 - (place & 7)) & 1)
+                if not len(rows):
+                    continue
+                ids, least = np.frombuffer(batch.column("ids")[i].as_py(), np.int64), np.frombuffer(batch.column("leasts")[i].as_py(), np.float64)[rows]
+                q = np.frombuffer(batch.column("queries")[i].as_py(), kind).reshape(len(qid), dim)[rows].astype(np.int64 if whole else np.float64)
+                qid = qid[rows]
                 v = np.frombuffer(batch.column("vectors")[i].as_py(), kind).reshape(len(ids), dim).astype(q.dtype)
                 scores = q @ v.T  # exact: in whole numbers below 2^63, in floats below 2^53
-                for r in range(len(qid)):
-                    # what is below the k-th best so far can't be among the best
+                # what is below the k-th best so far can't be among the best
+                good = (scores >= least[:, None]) & (ids != qid[:, None])
+                many = good.sum(1) > k
+                r, c = np.nonzero(good & ~many[:, None])
+                out.append((qid[r], ids[c], scores[r, c].astype(np.int64)))
+                for r in np.flatnonzero(many):
                     at = best_of(scores[r], ids, k, qid[r])
-                    at = at[scores[r, at] >= least[r]]
                     out.append((np.full(len(at), qid[r]), ids[at], scores[r, at].astype(np.int64)))
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "vec_id", "score"])
@@ -217,7 +238,13 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIVO
     index = staged(index, "op1-index")
     ends = [F.array(*[f(F.col(c)[p]) for p in range(len(centres))]).alias(c) for c, f in (("low", F.min), ("high", F.max))]
     rows = index.groupBy("annulus").agg(*ends, F.sum("n").alias("n")).orderBy("annulus").collect()  # a row for each of ANNULI
-    directory = tuple(np.array([r[c] for r in rows]) for c in ("annulus", "low", "high"))
+    directory = tuple(np.array([r[c] for r in rows]) for c in ("low", "high", "n"))
+    # groups of consecutive annuli, about GROUP vectors each
+    groups = max(1, min(GROUPS, -(-n // GROUP), len(rows)))
+    per = -(-len(rows) // groups)
+    tasks = max(1, min(groups, TASKS * spark.sparkContext.defaultParallelism))
+    places = spark.createDataFrame([(r.annulus, i // per, i % per) for i, r in enumerate(rows)], "annulus long, group long, place int")
+    chunks = index.join(F.broadcast(places), "annulus").select("group", "place", "ids", "vectors").repartition(tasks, "group")
     queries = staged(valid.filter(f"vec_id % {every} = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "op1-queries")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = None
@@ -228,13 +255,13 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIVO
         if best is not None:
             least = best.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("least"))
             known = queries.join(least, "vec_id", "left")
-        pairs = known.select("vec_id", "embedding", "least").mapInArrow(_blocks(dim, most, centres, directory, lo, hi, BLOCK, kind), "annulus long, query_ids binary, leasts binary, queries binary")
+        pairs = known.select("vec_id", "embedding", "least").mapInArrow(_blocks(dim, most, centres, directory, lo, hi, BLOCK, per, kind), "group long, query_ids binary, leasts binary, queries binary, wanted binary, scored long")
         if report is not None:
-            size = spark.createDataFrame([(r.annulus, r.n) for r in rows], "annulus long, n long")
-            scored = pairs.join(size, "annulus").agg(F.sum(F.octet_length("query_ids") / 8 * F.col("n"))).first()[0] or 0
-            report["scored"] = report.get("scored", 0) + int(scored)
+            report["scored"] = report.get("scored", 0) + int(pairs.agg(F.sum("scored")).first()[0] or 0)
             report["pairs"] = queries.count() * n
-        found = pairs.join(index.select("annulus", "ids", "vectors"), "annulus").select("query_ids", "leasts", "queries", "ids", "vectors").mapInArrow(_products(dim, k, kind, whole), "query_id long, vec_id long, score long")
+        # a number of partitions that is given is kept, as few bytes are much work here
+        met = pairs.drop("scored").repartition(tasks, "group").hint("merge").join(chunks, "group")
+        found = met.select("query_ids", "leasts", "queries", "wanted", "place", "ids", "vectors").mapInArrow(_products(dim, k, kind, whole), "query_id long, vec_id long, score long")
         found = found if best is None else found.unionByName(best.drop("rank"))
         best = staged(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), f"op1-round{r}")
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -62,3 +62,20 @@ def test_small_tables(spark):
 
 def test_best_of_ties():
     assert best_of(np.array([1.0, 3, 3, 3, 9]), np.array([9, 8, 7, 6, 5]), 2, 5).tolist() == [3, 2]
+
+
+def test_blocks_of_queries_are_never_broadcast(spark, monkeypatch):
+    """All in all they may be larger than any table, though the planner takes them for small."""
+    monkeypatch.setattr(topk_search, "GROUP", 300)
+    monkeypatch.setattr(topk_search, "CHUNK", 32)
+    plans, own = [], topk_search.staged
+    monkeypatch.setattr(topk_search, "staged", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df, label))
+    rng = np.random.default_rng(2)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(2000, 6)))]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pivots=5).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 50, 5)
+    rounds = [p for p in plans if "query_ids" in p]
+    assert len(rounds) > 1
+    for plan in rounds:
+        join = next(line for line in plan.splitlines() if "Join" in line and ("group#" in line or "annulus#" in line))
+        assert "SortMergeJoin" in join
